@@ -49,6 +49,28 @@ def per_column(
     return union_all(frames)
 
 
+def tally(
+    df: DataFrame, fields: Sequence[str], entries: Sequence[tuple[Sequence[str | None], Column]], kind: str = "bigint"
+) -> DataFrame:
+    """Labelled aggregates of one scan as rows (<fields>..., n, row_count).
+
+    Each entry is its labels and the aggregate; equal aggregates are computed once.
+    """
+    frames = []
+    for part in chunks(list(entries), COLUMNS_PER_SCAN):
+        one = df.agg(F.count(F.lit(1)).alias("row_count"), *[agg.cast(kind).alias(f"n{i}") for i, (_, agg) in enumerate(part)])
+        structs = [
+            F.struct(
+                *[F.lit(label).cast("string").alias(field) for field, label in zip(fields, labels)],
+                F.col(f"n{i}").alias("n"),
+                F.col("row_count"),
+            )
+            for i, (labels, _) in enumerate(part)
+        ]
+        frames.append(one.select(F.inline(F.array(*structs))))
+    return union_all(frames)
+
+
 def spread(one_row: DataFrame, fields: Sequence[str], rows: Sequence[Sequence[Column]]) -> DataFrame:
     """Spread a one-row frame into several rows with the given fields."""
     structs = [F.struct(*[v.alias(f) for f, v in zip(fields, row)]) for row in rows]
