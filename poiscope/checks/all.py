@@ -1,4 +1,4 @@
 """Loads every registering module."""
 
-from poiscope.checks import dimension_queries, location_queries, pattern_queries, profile_queries  # noqa: F401
+from poiscope.checks import dimension_queries, issue_queries, location_queries, pattern_queries, profile_queries  # noqa: F401
 from poiscope.checks.registry import QUERIES, SQL  # noqa: F401
