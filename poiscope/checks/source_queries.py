@@ -71,6 +71,15 @@ def _csv_copy(t):
 query("export_csv", _csv_copy, "SELECT location_id, name, chain_id, address, latitude, opened_on FROM locations")
 
 
+def _csv_documents(t):
+    """Whole texts, with their quotes and line breaks."""
+    path = files.export_csv({"documents": t.documents}, scratch_path(t.spark, "csv"))["documents"]
+    return files.read_exported_csv(t.spark, path, t.documents.schema)
+
+
+query("export_csv_documents", _csv_documents, "SELECT * FROM documents", on_locations=False)
+
+
 def _csv_result(t):
     df = analyses.competitive_density(t.locations)
     path = files.export_csv({"density": df}, scratch_path(t.spark, "csv"))["density"]

@@ -16,7 +16,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
-from poiscope.functions.exprs import FLOATING_TYPES, NESTED_TYPES, NUMERIC_TYPES, col, missing, present, quoted, row_fingerprint
+from poiscope.functions.exprs import FLOATING_TYPES, NUMERIC_TYPES, col, missing, nested_as_text, present, quoted
 from poiscope.operators.issues import outlier_bounds
 from poiscope.operators.profile import analyze, duplicate_rows
 from poiscope.plans.longform import spread, union_all
@@ -232,10 +232,7 @@ def _deduplicate(fold: _Fold, step: RemoveDuplicates) -> None:
     if names is None or set(names) == set(df.columns):
         number = fold.note("Remove Duplicates", None, {})
         fold.log_removed(number, duplicate_rows(df), F.col("duplicate_count"))
-        if any(isinstance(f.dataType, NESTED_TYPES) for f in df.schema.fields):
-            fold.df = df.withColumn("_row_id", row_fingerprint(df)).dropDuplicates(["_row_id"]).drop("_row_id")
-        else:
-            fold.df = df.dropDuplicates()
+        fold.df = _distinct_rows(df)
         return
     if step.keep not in ("first", "last"):
         raise ValueError(f"keep is first or last, not {step.keep!r}")
@@ -253,6 +250,16 @@ def _deduplicate(fold: _Fold, step: RemoveDuplicates) -> None:
     fold.df = df.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
 
 
+def _distinct_rows(df: DataFrame) -> DataFrame:
+    """One of each group of equal rows; maps and variants, which cannot be grouped on, by their text."""
+    opaque = [f for f in df.schema.fields if isinstance(f.dataType, (T.MapType, T.VariantType))]
+    if not opaque:
+        return df.dropDuplicates()
+    texts = {f"_text_{i}": nested_as_text(f) for i, f in enumerate(opaque)}
+    keys = [c for c in df.columns if c not in {f.name for f in opaque}]
+    return df.withColumns(texts).dropDuplicates([*keys, *texts]).drop(*texts)
+
+
 def _convert(fold: _Fold, step: ConvertType) -> None:
     name, df = step.column, fold.df
     params = {"target_type": step.target_type}

@@ -31,7 +31,11 @@ from poiscope.plans.longform import per_column, spread, tally, union_all
 # Limits, patterns and date formats of the profile rules.
 SHORT_ADDRESS = 10
 PHONE_PATTERN = r"^\+?[0-9()\s-]{7,20}$"
-DATE_FORMATS = ("yyyy-M-d", "M/d/yyyy", "d/M/yyyy")
+DATE_FORMATS = {
+    "yyyy-M-d": "^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$",
+    "M/d/yyyy": "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$",
+    "d/M/yyyy": "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$",
+}
 UNPARSED_LIMIT = 0.5
 REPORTED_MISSING_PCT = 5
 CRITICAL_MISSING_PCT = 20
@@ -71,10 +75,11 @@ def overall_missing(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each group of equal rows.
 
-    Groups on a 32-byte identity of the row, so the shuffle carries that and a count instead of
+    Groups on the 16-byte identity of the row, so the shuffle carries that and a count instead of
     whole rows; copies are combined before the shuffle however many there are.
     """
-    groups = df.select(row_fingerprint(df).alias("row_id")).groupBy("row_id").agg(F.count(F.lit(1)).alias("copies"))
+    identity = df.select(*row_fingerprint(df))
+    groups = identity.groupBy(*identity.columns).agg(F.count(F.lit(1)).alias("copies"))
     total, extra = F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))
     return groups.agg(total.alias("row_count"), extra.alias("duplicate_count")).withColumn(
         "duplicate_pct", percent2(F.col("duplicate_count"), F.col("row_count"))
@@ -325,7 +330,11 @@ def _parse_attempts(df: DataFrame, name: str) -> list[Column]:
     if isinstance(df.schema[name].dataType, TEMPORAL_TYPES):
         return [col(name).cast("timestamp_ntz")]
     c = quoted(name)
-    exact = [F.expr(f"try_to_timestamp({c}, '{f}')").cast("timestamp_ntz") for f in DATE_FORMATS]
+    # The shape is tested first: a failing parse is far dearer than a failing match.
+    exact = [
+        F.when(col(name).rlike(shape), F.expr(f"try_to_timestamp({c}, '{f}')")).cast("timestamp_ntz")
+        for f, shape in DATE_FORMATS.items()
+    ]
     free = F.when(col(name).rlike("^[0-9]{4}-"), F.expr(f"try_to_timestamp({c})")).cast("timestamp_ntz")
     return [*exact, free]
 

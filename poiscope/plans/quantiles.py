@@ -1,30 +1,31 @@
 """Exact continuous percentiles without one task holding a whole column.
 
-Spark's `percentile` keeps every distinct value of a column in one buffer. That is used only for
-columns whose estimated distinct count is small. Otherwise every wanted order statistic is
-searched for inside an open interval. A sketch proposes two cut values near the wanted rank, an
-exact count says on which side of them (or on which of them) the rank lies, and the search goes
-on in that part only. A round is two scans with a constant-size result and divides the candidates
-by about ACCURACY / 4, so a trillion rows take two or three rounds. Only the exact counts decide;
-a poor sketch costs another round, never a wrong answer. Both cut values leave the interval, so
-hot values cannot stall the search.
+Spark's `percentile` keeps every distinct value of a column in the buffer of one task. Here every
+wanted order statistic is searched for inside an open interval instead. A sketch of a sample
+proposes two cut values near the wanted rank, an exact count says on which side of them (or on
+which of them) the rank lies, and the search goes on in that part only. A round is two scans of
+the asked columns with a constant-size result and leaves about one candidate in a hundred, so a
+trillion rows take three rounds; the few values left at the end are counted one by one. Only the
+exact counts decide: an unlucky sample costs another round, never a wrong answer. Both cut values
+leave the interval, so hot values cannot stall the search.
+
+The scans spread a row into one (target, value) pair per search and combine the pairs inside the
+task; only one row per search and task is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import ceil, floor
+from math import ceil, floor, sqrt
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from poiscope.functions.exprs import present
-from poiscope.plans.distincts import estimated_distincts
 
-# Distinct values one buffer may hold (16 bytes each and overhead: some tens of MiB).
-BUFFERED_DISTINCTS = 500_000
-# Candidates between the cuts that the final histogram may hold.
+# Candidates in an interval that the final histogram may hold.
 FINAL_CANDIDATES = 500_000
+SAMPLED_VALUES = 200_000
 ACCURACY = 10_000
 
 
@@ -52,113 +53,160 @@ class _Search:
             test = test & (v < F.lit(self.high))
         return test
 
-
-def _value(df: DataFrame, column: str) -> Column:
-    return present(df, column).cast("double")
+    def narrow(self, a: float, b: float, seen: _Counts) -> None:
+        """Move to the part around the cuts a <= b that holds the rank."""
+        upto_a = seen.under_a + seen.at_a
+        before_b = upto_a + seen.between
+        upto_b = before_b + seen.at_b
+        total = self.below + self.inside
+        if self.rank < seen.under_a:
+            self.high, self.inside = a, seen.under_a - self.below
+        elif self.rank < upto_a:
+            self.answer = a
+        elif self.rank < before_b:
+            self.low, self.high, self.below, self.inside = a, b, upto_a, seen.between
+        elif self.rank < upto_b:
+            self.answer = b
+        else:
+            self.low, self.below, self.inside = b, upto_b, total - upto_b
 
 
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probs: Sequence[float],
-    buffered: int = BUFFERED_DISTINCTS,
     final_candidates: int = FINAL_CANDIDATES,
-    accuracy: int = ACCURACY,
+    sampled: int = SAMPLED_VALUES,
 ) -> dict[str, list[float | None]]:
     """Continuous (interpolated) percentiles per column; None for a column without values."""
     if not columns:
         return {}
-    estimates = estimated_distincts(df, columns)
-    small = [c for c in columns if estimates[c] <= buffered]
-    large = [c for c in columns if estimates[c] > buffered]
-    result: dict[str, list[float | None]] = {}
-    if small:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(_value(df, c), wanted).alias(f"q{i}") for i, c in enumerate(small)]).first()
-        for i, c in enumerate(small):
-            result[c] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
-    if large:
-        result.update(_by_narrowing(df, large, probs, final_candidates, accuracy))
-    return result
-
-
-def _by_narrowing(df, columns, probs, final_candidates, accuracy):
-    counts = df.agg(*[F.count(_value(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    places = {c: [(counts[f"n{i}"] - 1) * float(p) for p in probs] for i, c in enumerate(columns)}
+    probs = [float(p) for p in probs]
+    fraction = min(1.0, sampled / max(df.count(), 1))
+    sketched = _sketch(_pairs(df, [(c, None) for c in columns], [fraction] * len(columns)), [probs] * len(columns), sampled)
+    # A column without sampled values gets a cut that any value is above; the counts then tell.
+    nothing = [(float("-inf"), float("-inf"))] * len(probs)
+    cuts = [cut for i in range(len(columns)) for cut in sketched.get(i, nothing)]
+    seen = _count(df, [c for c in columns for _ in probs], cuts)
+    found: dict[str, int] = {}
     searches: dict[tuple[str, int], _Search] = {}
-    for i, c in enumerate(columns):
-        n = counts[f"n{i}"]
-        for place in places[c]:
-            for rank in (floor(place), ceil(place)):
-                if n:
-                    searches.setdefault((c, rank), _Search(c, rank, n))
+    for i, (cut, counted) in enumerate(zip(cuts, seen)):
+        c, p = columns[i // len(probs)], probs[i % len(probs)]
+        if not counted.total:
+            continue
+        n = found[c] = counted.total
+        for rank in {floor((n - 1) * p), ceil((n - 1) * p)}:
+            if (c, rank) not in searches:
+                searches[c, rank] = _Search(c, rank, n)
+                searches[c, rank].narrow(*cut, counted)
     while active := [s for s in searches.values() if s.answer is None and s.inside > final_candidates]:
-        _narrow(df, active, accuracy)
+        fractions = [min(1.0, sampled / s.inside) for s in active]
+        near = [[(s.rank - s.below + 0.5) / s.inside] for s in active]
+        sketched = _sketch(_pairs(df, [(s.column, s) for s in active], fractions), near, sampled)
+        active = [s for i, s in enumerate(active) if i in sketched]
+        cuts = [cut for i in sorted(sketched) for cut in sketched[i]]
+        for s, cut, counted in zip(active, cuts, _count(df, [s.column for s in active], cuts)):
+            s.narrow(*cut, counted)
     _finish(df, [s for s in searches.values() if s.answer is None])
     result: dict[str, list[float | None]] = {}
-    for i, c in enumerate(columns):
-        if not counts[f"n{i}"]:
-            result[c] = [None] * len(probs)
-            continue
-        ends = [(searches[c, floor(p)].answer, searches[c, ceil(p)].answer, p - floor(p)) for p in places[c]]
-        result[c] = [a + (b - a) * weight for a, b, weight in ends]
+    for c in columns:
+        places = [(found[c] - 1) * p for p in probs] if c in found else []
+        ends = [(searches[c, floor(x)].answer, searches[c, ceil(x)].answer, x - floor(x)) for x in places]
+        result[c] = [a + (b - a) * weight for a, b, weight in ends] or [None] * len(probs)
     return result
 
 
-def _narrow(df: DataFrame, active: list[_Search], accuracy: int) -> None:
-    proposals = []
-    for i, s in enumerate(active):
-        v = _value(df, s.column)
-        at, slack = (s.rank - s.below) / s.inside, 2.0 / accuracy
-        around = F.array(F.lit(max(0.0, at - slack)), F.lit(min(1.0, at + slack)))
-        proposals.append(F.percentile_approx(F.when(s.holds(v), v), around, F.lit(accuracy)).alias(f"p{i}"))
-    cuts = df.agg(*proposals).first()
-    counters = []
-    for i, s in enumerate(active):
-        v = _value(df, s.column)
-        a, b = cuts[f"p{i}"]
-        counters += [
-            F.count_if(v < F.lit(a)).alias(f"under{i}"),
-            F.count_if(v == F.lit(a)).alias(f"at_a{i}"),
-            F.count_if((v > F.lit(a)) & (v < F.lit(b))).alias(f"mid{i}"),
-            F.count_if((v == F.lit(b)) & (v > F.lit(a))).alias(f"at_b{i}"),
+def _value(df: DataFrame, column: str) -> Column:
+    return present(df, column).cast("double")
+
+
+def _pairs(df: DataFrame, targets: Sequence[tuple[str, _Search | None]], fractions: Sequence[float] | None = None) -> DataFrame:
+    """(target, v) for each target and each value in its interval, thinned to the fractions."""
+    structs = []
+    for i, (c, search) in enumerate(targets):
+        v = _value(df, c)
+        structs.append(F.struct(F.lit(i).alias("target"), (F.when(search.holds(v), v) if search else v).alias("v")))
+    if fractions and min(fractions) == max(fractions) < 1.0 and all(s is None for _, s in targets):
+        return df.sample(fractions[0], seed=1).select(F.inline(F.array(*structs))).filter(F.col("v").isNotNull())
+    spread = df.select(F.inline(F.array(*structs))).filter(F.col("v").isNotNull())
+    if fractions and min(fractions) < 1.0:
+        spread = spread.filter(F.rand(1) < _of_target(fractions))
+    return spread
+
+
+def _of_target(values: Sequence[float]) -> Column:
+    """The value that belongs to the target of a pair."""
+    return F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("target"))
+
+
+def _sketch(pairs: DataFrame, near: Sequence[Sequence[float]], sampled: int) -> dict[int, list[tuple[float, float]]]:
+    """Per target: cut values four standard errors of the sample below and above each wanted place."""
+
+    def around(p: float) -> tuple[float, float]:
+        margin = 2.0 / ACCURACY + 4.0 * sqrt(max(p * (1.0 - p), 0.0) / sampled)
+        return max(0.0, p - margin), min(1.0, p + margin)
+
+    asked = sorted({end for wanted in near for p in wanted for end in around(p)})
+    sketch = F.percentile_approx("v", F.array(*[F.lit(p) for p in asked]), F.lit(ACCURACY))
+    rows = pairs.groupBy("target").agg(sketch.alias("q")).collect()
+    return {
+        r["target"]: [tuple(r["q"][asked.index(end)] for end in around(p)) for p in near[r["target"]]] for r in rows
+    }
+
+
+@dataclass(frozen=True)
+class _Counts:
+    total: int = 0
+    under_a: int = 0
+    at_a: int = 0
+    between: int = 0
+    at_b: int = 0
+
+
+def _count(df: DataFrame, columns: Sequence[str], cuts: Sequence[tuple[float, float]]) -> list[_Counts]:
+    """Exact counts around each pair of cuts, all pairs of one column from one spread value."""
+    names = list(dict.fromkeys(columns))
+    per_column = {c: [cut for name, cut in zip(columns, cuts) if name == c] for c in names}
+    most = max(len(v) for v in per_column.values())
+    v, aggs = F.col("v"), [F.count(F.lit(1)).alias("total")]
+    for k in range(most):
+        padded = [(per_column[c] * most)[k] for c in names]
+        a, b = _of_target([x for x, _ in padded]), _of_target([x for _, x in padded])
+        aggs += [
+            F.count_if(v < a).alias(f"under_a{k}"),
+            F.count_if(v == a).alias(f"at_a{k}"),
+            F.count_if((v > a) & (v < b)).alias(f"between{k}"),
+            F.count_if((v == b) & (v > a)).alias(f"at_b{k}"),
         ]
-    seen = df.agg(*counters).first()
-    for i, s in enumerate(active):
-        a, b = cuts[f"p{i}"]
-        upto_a = seen[f"under{i}"] + seen[f"at_a{i}"]
-        before_b = upto_a + seen[f"mid{i}"]
-        upto_b = before_b + seen[f"at_b{i}"]
-        total = s.below + s.inside
-        if s.rank < seen[f"under{i}"]:
-            s.high, s.inside = a, seen[f"under{i}"] - s.below
-        elif s.rank < upto_a:
-            s.answer = a
-        elif s.rank < before_b:
-            s.low, s.high, s.below, s.inside = a, b, upto_a, seen[f"mid{i}"]
-        elif s.rank < upto_b:
-            s.answer = b
-        else:
-            s.low, s.below, s.inside = b, upto_b, total - upto_b
+    rows = {names[r["target"]]: r for r in _pairs(df, [(c, None) for c in names]).groupBy("target").agg(*aggs).collect()}
+    used = dict.fromkeys(names, 0)
+    result = []
+    for c in columns:
+        r, k = rows.get(c), used[c]
+        used[c] += 1
+        result.append(_Counts(r["total"], *[r[f"{x}{k}"] for x in ("under_a", "at_a", "between", "at_b")]) if r else _Counts())
+    return result
 
 
-def _finish(df: DataFrame, open_searches: list[_Search]) -> None:
-    """Histogram of the few values left in each interval; the rank is read off running counts."""
-    if not open_searches:
+def _finish(df: DataFrame, searches: list[_Search]) -> None:
+    """Histogram of the few values left in each interval; the ranks are read off running counts."""
+    if not searches:
         return
-    tagged, keep = [], F.lit(False)
-    for i, s in enumerate(open_searches):
-        v = _value(df, s.column)
-        tagged.append(F.struct(F.lit(i).alias("target"), F.lit(s.rank - s.below).alias("skip"), F.when(s.holds(v), v).alias("v")))
-        keep = keep | s.holds(v)
-    histogram = (
-        df.filter(keep)
-        .select(F.inline(F.array(*tagged)))
-        .filter(F.col("v").isNotNull())
-        .groupBy("target", "skip", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    intervals: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        intervals.setdefault((s.column, s.low, s.high), []).append(s)
+    groups = list(intervals.values())
+    keep = F.lit(False)
+    for group in groups:
+        keep = keep | group[0].holds(_value(df, group[0].column))
+    left = _pairs(df.filter(keep), [(g[0].column, g[0]) for g in groups])
+    histogram = left.groupBy("target", "v").agg(F.count(F.lit(1)).alias("n"))
     running = histogram.withColumn("upto", F.sum("n").over(W.partitionBy("target").orderBy("v")))
-    found = running.filter(F.col("upto") > F.col("skip")).groupBy("target").agg(F.min("v").alias("v")).collect()
-    for row in found:
-        open_searches[row["target"]].answer = row["v"]
+    most = max(len(g) for g in groups)
+    aggs = []
+    for k in range(most):
+        skip = _of_target([(g * most)[k].rank - g[0].below for g in groups])
+        aggs.append(F.min(F.when(F.col("upto") > skip, F.col("v"))).alias(f"v{k}"))
+    for row in running.groupBy("target").agg(*aggs).collect():
+        for k, s in enumerate(groups[row["target"]]):
+            s.answer = row[f"v{k}"]

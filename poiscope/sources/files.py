@@ -9,15 +9,21 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+# Written for NULL, so that it stays apart from an empty string.
+NULL_MARK = r"\N"
 STAMP = "%Y%m%d%H%M%S"
 
 # Content is hashed up to this size; the reader cannot hold more than 2 GiB of a file in a row.
 HASHED_BYTES = 256 * 1024 * 1024
 
 
-def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """CSV with a header. Without a schema the types are inferred, which reads the data once more."""
-    reader = spark.read.options(header="true", escape='"')
+def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = True) -> DataFrame:
+    """CSV with a header. Without a schema the types are inferred, which reads the data once more.
+
+    With `multi_line` a quoted value may span lines, but one file is then read by one task; turn
+    it off for large files whose values do not.
+    """
+    reader = spark.read.options(header="true", escape='"', multiLine=str(multi_line).lower())
     return (reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")).csv(path)
 
 
@@ -49,13 +55,15 @@ def export_csv(results: Mapping[str, DataFrame], directory: str) -> dict[str, st
     paths = {}
     for name, df in results.items():
         paths[name] = f"{directory.rstrip('/')}/{name}"
-        df.write.mode("overwrite").option("header", True).option("nullValue", r"\N").option("escape", '"').csv(paths[name])
+        df.write.mode("overwrite").options(
+            header="true", nullValue=NULL_MARK, escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false"
+        ).csv(paths[name])
     return paths
 
 
 def read_exported_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     """Read back what `export_csv` wrote."""
-    return spark.read.options(header="true", nullValue=r"\N", escape='"').schema(schema).csv(path)
+    return spark.read.options(header="true", nullValue=NULL_MARK, escape='"', multiLine="true").schema(schema).csv(path)
 
 
 def export_results_json(metrics: DataFrame, directory: str, name: str, now: datetime | None = None) -> str:

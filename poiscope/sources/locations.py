@@ -7,8 +7,12 @@ is plain enough to mean the same in Spark SQL and in DuckDB.
 
 from __future__ import annotations
 
+from hashlib import sha1
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from poiscope.plans.durable import shared_dir
+
 COPIED_EVERY = 157  # every location whose id divides by this appears twice
 
 BASE_SQL = """
@@ -109,3 +113,21 @@ def locations(spark: SparkSession, directory: str) -> DataFrame:
     base = spark.sql(sql, **{t: read_table(spark, directory, t) for t in ("orders", "customer", "nation")})
     copies = F.when(F.col("location_id") % COPIED_EVERY == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return base.withColumn("_copy", F.explode(copies)).drop("_copy")
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_locations(spark: SparkSession, directory: str) -> DataFrame:
+    """The locations as a Parquet table, derived once per application into the shared folder.
+
+    A points-of-interest table is stored data, not a view over orders; reading it as such lets
+    every query prune its columns and push its filters into the scan.
+    """
+    key = (spark.sparkContext.applicationId, directory)
+    if key not in _STORED:
+        path = f"{shared_dir(spark).rstrip('/')}/locations-{key[0]}-{sha1(directory.encode()).hexdigest()[:12]}"
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        locations(spark, directory).repartition(parts).write.mode("overwrite").parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
