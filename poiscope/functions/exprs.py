@@ -28,6 +28,13 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def text_literal(value: str | None) -> str:
+    """SQL literal of a text, for expressions built as SQL."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def col(name: str) -> Column:
     """Column by its literal name, whatever characters it holds."""
     return F.col(quoted(name))
@@ -61,6 +68,18 @@ def missing(df: DataFrame, name: str) -> Column:
     return col(name).isNull()
 
 
+def missing_sql(df: DataFrame, name: str) -> str:
+    """`missing` as SQL text."""
+    c = quoted(name)
+    return f"({c} IS NULL OR isnan({c}))" if isinstance(df.schema[name].dataType, FLOATING_TYPES) else f"({c} IS NULL)"
+
+
+def present_sql(df: DataFrame, name: str) -> str:
+    """`present` as SQL text."""
+    c = quoted(name)
+    return f"CASE WHEN NOT isnan({c}) THEN {c} END" if isinstance(df.schema[name].dataType, FLOATING_TYPES) else c
+
+
 def present(df: DataFrame, name: str) -> Column:
     """The value, with NaN turned into NULL."""
     if isinstance(df.schema[name].dataType, FLOATING_TYPES):
@@ -95,10 +114,10 @@ def hour_of(clock: Column) -> Column:
     return F.substring(clock, 1, 2).cast("int")
 
 
-def first_by(value: Column, *order: str) -> Column:
-    """Non-NULL value of the row that comes first in the given order."""
-    keys = F.struct(*[col(o) for o in order]) if len(order) > 1 else col(order[0])
-    return F.min_by(value, F.when(value.isNotNull(), keys))
+def first_by_sql(value: str, *order: str) -> str:
+    """SQL for the non-NULL value of the row that comes first in the given order."""
+    keys = ", ".join(quoted(o) for o in order)
+    return f"min_by({value}, CASE WHEN {value} IS NOT NULL THEN struct({keys}) END)"
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

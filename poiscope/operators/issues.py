@@ -12,10 +12,20 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from poiscope.functions import roles
-from poiscope.functions.exprs import col, first_by, missing, numeric_columns, percent2, present, text_columns
+from poiscope.functions.exprs import (
+    col,
+    first_by_sql,
+    missing_sql,
+    numeric_columns,
+    percent2,
+    present,
+    present_sql,
+    quoted,
+    text_columns,
+)
 from poiscope.operators.profile import duplicate_rows, key_candidates
 from poiscope.plans.distincts import exact_distincts, few_valued
-from poiscope.plans.longform import per_column, spread, tally, union_all
+from poiscope.plans.longform import per_column, per_text_column, spread, tally, union_all
 from poiscope.plans.quantiles import exact_quantiles
 
 # Limits and patterns of the issue rules.
@@ -40,7 +50,7 @@ def critical_missing(df: DataFrame, overrides: Overrides = None) -> DataFrame:
     """Missing values of the columns the business depends on (only columns that have some)."""
     columns = _found(df, "critical", overrides)
     return (
-        per_column(df, columns, {"missing_count": lambda c: F.count_if(missing(df, c))})
+        per_column(df, columns, {"missing_count": lambda c: f"count_if({missing_sql(df, c)})"})
         .filter(F.col("missing_count") > 0)
         .select("column", "missing_count", percent2(F.col("missing_count"), F.col("row_count")).alias("missing_pct"))
     )
@@ -69,7 +79,7 @@ def _first_value_rows(df: DataFrame, columns: Sequence[str], order_by: Sequence[
     if not columns:
         return df.sparkSession.createDataFrame([], "`column` string, first_value string")
     return (
-        per_column(df, columns, {"first_value": lambda c: first_by(present(df, c), *order_by).cast("string")})
+        per_column(df, columns, {"first_value": lambda c: f"CAST({first_by_sql(present_sql(df, c), *order_by)} AS STRING)"})
         .filter(F.col("first_value").isNotNull())
         .select("column", "first_value")
     )
@@ -89,18 +99,20 @@ def date_as_text(df: DataFrame, order_by: Sequence[str], overrides: Overrides =
     return _first_value_rows(df, columns, order_by).filter(F.col("first_value").rlike(DATE_IN_TEXT))
 
 
-def _digits_only(c: str) -> Column:
-    return F.replace(col(c), F.lit("."), F.lit("")).rlike("^[0-9]+$")
+def _digits_only(text: Column) -> Column:
+    return F.replace(text, F.lit("."), F.lit("")).rlike("^[0-9]+$")
 
 
 def number_as_text(df: DataFrame, overrides: Overrides = None) -> DataFrame:
     """Text columns of which more than 80 % of the values are digits and points."""
     skipped = set(_found(df, "never_numeric_text", overrides))
     columns = [c for c in text_columns(df) if c not in skipped]
-    terms = {"digits_count": lambda c: F.count_if(_digits_only(c)), "value_count": lambda c: F.count(col(c))}
+    if not columns:
+        return df.sparkSession.createDataFrame([], "`column` string, digits_count bigint, value_count bigint, digits_share double")
+    terms = {"digits_count": lambda v: F.count_if(_digits_only(v)), "value_count": F.count}
     share = F.try_divide(F.col("digits_count").cast("double"), F.col("value_count").cast("double"))
     return (
-        per_column(df, columns, terms)
+        per_text_column(df, columns, terms)
         .withColumn("digits_share", F.round(share, 6))
         .filter(share > NUMERIC_SHARE)
         .select("column", "digits_count", "value_count", "digits_share")
@@ -230,12 +242,12 @@ def location_issues(df: DataFrame, overrides: Overrides = None) -> DataFrame:
     entries = []
     for c in address:
         if c in text:
-            entries.append((("empty_text", c), F.count_if(col(c) == "")))
-            entries.append((("short_text", c), F.count_if((F.length(col(c)) < SHORT_TEXT) & (col(c) != ""))))
+            entries.append((("empty_text", c), f"{quoted(c)} = ''"))
+            entries.append((("short_text", c), f"length({quoted(c)}) < {SHORT_TEXT} AND {quoted(c)} <> ''"))
     if address:
-        present_address = col(address[0]).isNotNull() & (col(address[0]).cast("string") != "")
+        there = f"CAST({quoted(address[0])} AS STRING) <> ''"
         for g in _found(df, "geo", overrides):
-            entries.append((("geo_missing_with_address", g), F.count_if(present_address & missing(df, g))))
+            entries.append((("geo_missing_with_address", g), f"{there} AND {missing_sql(df, g)}"))
     if not entries:
         return df.sparkSession.createDataFrame([], "issue_type string, `column` string, affected_rows bigint")
     return (
@@ -259,7 +271,7 @@ def find_issues(df: DataFrame, order_by: Sequence[str], overrides: Overrides = N
         )
 
     c, none = F.col("column"), F.lit(None)
-    gaps = per_column(df, df.columns, {"missing_count": lambda x: F.count_if(missing(df, x))}).filter(F.col("missing_count") > 0)
+    gaps = per_column(df, df.columns, {"missing_count": lambda x: f"count_if({missing_sql(df, x)})"}).filter(F.col("missing_count") > 0)
     critical = _found(df, "critical", overrides)
     copies = duplicate_rows(df)
     outliers = iqr_outliers(df, overrides=overrides)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poiscope.functions.exprs import WEEKDAYS, col, is_open, is_retail, missing, open_retail, percent
+from poiscope.functions.exprs import WEEKDAYS, col, is_open, is_retail, missing_sql, open_retail, percent
 from poiscope.operators.locations import CONFIDENCE
 from poiscope.plans.longform import per_column, spread
 
@@ -23,7 +23,7 @@ GARBLED = "�|Ã.|â€"
 def completeness_by_column(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Total, missing count and missing percentage of each column."""
     return per_column(
-        df, columns or df.columns, {"missing_count": lambda c: F.count_if(missing(df, c))}, name_as="column_name"
+        df, columns or df.columns, {"missing_count": lambda c: f"count_if({missing_sql(df, c)})"}, name_as="column_name"
     ).select(
         "column_name",
         F.col("row_count").alias("total_records"),

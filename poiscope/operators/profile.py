@@ -14,19 +14,20 @@ from poiscope.functions import roles
 from poiscope.functions.exprs import (
     NESTED_TYPES,
     TEMPORAL_TYPES,
-    chunks,
     col,
     comparable_columns,
     missing,
+    missing_sql,
     percent,
     percent2,
     quoted,
     row_fingerprint,
     text_columns,
+    text_literal,
 )
 from poiscope.plans.distincts import exact_distincts, nearly_unique
 from poiscope.plans.leading import leading_values
-from poiscope.plans.longform import per_column, spread, tally, union_all
+from poiscope.plans.longform import per_column, per_text_column, spread, tally, union_all
 
 # Limits, patterns and date formats of the profile rules.
 SHORT_ADDRESS = 10
@@ -56,7 +57,7 @@ def basic_stats(df: DataFrame) -> DataFrame:
 
 def missing_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Missing count and percentage of each column."""
-    return per_column(df, columns or df.columns, {"missing_count": lambda c: F.count_if(missing(df, c))}).withColumn(
+    return per_column(df, columns or df.columns, {"missing_count": lambda c: f"count_if({missing_sql(df, c)})"}).withColumn(
         "missing_pct", percent2(F.col("missing_count"), F.col("row_count"))
     )
 
@@ -147,7 +148,7 @@ def validate_table(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) ->
     """One row per failed check; no rows means the table is valid. An empty table fails only that check."""
     names = df.columns
     numbered = df.toDF(*[f"c{i}" for i in range(len(names))])
-    filled = per_column(numbered, numbered.columns, {"missing_count": lambda c: F.count_if(missing(numbered, c))})
+    filled = per_column(numbered, numbered.columns, {"missing_count": lambda c: f"count_if({missing_sql(numbered, c)})"})
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("position") + 1)
     all_null = (F.col("missing_count") == F.col("row_count")) & (F.col("row_count") > 0)
     verdict = filled.agg(
@@ -177,15 +178,12 @@ def size_profile(df: DataFrame) -> DataFrame:
         T.BooleanType: 1, T.DateType: 4, T.TimestampType: 8, T.TimestampNTZType: 8, T.DecimalType: 16,
     }
 
-    def size(c: str) -> Column:
-        kind = df.schema[c].dataType
-        width = widths.get(type(kind))
-        if width:
-            total = F.count(col(c)) * F.lit(width)
-        else:
-            value = F.to_json(F.struct(col(c))) if isinstance(kind, NESTED_TYPES) else col(c)
-            total = F.sum(F.when(col(c).isNotNull(), F.octet_length(value)).cast("long"))
-        return F.coalesce(total.cast("long"), F.lit(0).cast("long"))
+    def size(c: str) -> str:
+        kind, name = df.schema[c].dataType, quoted(c)
+        if type(kind) in widths:
+            return f"count({name}) * {widths[type(kind)]}"
+        value = f"CASE WHEN {name} IS NOT NULL THEN to_json(struct({name})) END" if isinstance(kind, NESTED_TYPES) else name
+        return f"coalesce(sum(CAST(octet_length({value}) AS BIGINT)), 0)"
 
     per = per_column(df, df.columns, {"bytes": size})
     total = per.agg(F.sum("bytes").alias("total")).scalar()
@@ -217,12 +215,12 @@ VALUE_CLASSES = {
 def mixed_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """How many values of each text column look like numbers, dates, booleans and text."""
 
-    def of_class(label: str):
-        return lambda c: F.count_if(col(c).rlike(VALUE_CLASSES[label]))
+    def of_class(pattern: str):
+        return lambda v: F.count_if(v.rlike(pattern))
 
-    terms = {f"{label}_count": of_class(label) for label in VALUE_CLASSES}
-    terms["value_count"] = lambda c: F.count(F.nullif(col(c), F.lit("")))
-    counted = per_column(df, list(columns or text_columns(df)), terms)
+    terms = {f"{label}_count": of_class(pattern) for label, pattern in VALUE_CLASSES.items()}
+    terms["value_count"] = lambda v: F.count(F.nullif(v, F.lit("")))
+    counted = per_text_column(df, list(columns or text_columns(df)), terms)
     known = [f"{label}_count" for label in VALUE_CLASSES]
     text_count = F.col("value_count") - sum((F.col(k) for k in known), F.lit(0))
     with_text = counted.withColumn("text_count", text_count)
@@ -325,18 +323,52 @@ def phone_quality(df: DataFrame, phone: str | None = None) -> DataFrame:
     return _missing_and(df, phone, "invalid", ~col(phone).rlike(PHONE_PATTERN))
 
 
-def _parse_attempts(df: DataFrame, name: str) -> list[Column]:
-    """The column read as a timestamp: as it is, or by each format and at last freely."""
-    if isinstance(df.schema[name].dataType, TEMPORAL_TYPES):
-        return [col(name).cast("timestamp_ntz")]
-    c = quoted(name)
+def _readings(text: Column) -> dict[str, Column]:
+    """Text read as a timestamp by each format, and at last freely."""
     # The shape is tested first: a failing parse is far dearer than a failing match.
-    exact = [
-        F.when(col(name).rlike(shape), F.expr(f"try_to_timestamp({c}, '{f}')")).cast("timestamp_ntz")
-        for f, shape in DATE_FORMATS.items()
-    ]
-    free = F.when(col(name).rlike("^[0-9]{4}-"), F.expr(f"try_to_timestamp({c})")).cast("timestamp_ntz")
-    return [*exact, free]
+    read = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f))) for f, shape in DATE_FORMATS.items()]
+    read.append(F.when(text.rlike("^[0-9]{4}-"), F.try_to_timestamp(text)))
+    return {f"t{j}": r.cast("timestamp_ntz") for j, r in enumerate(read)}
+
+
+def _text_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    last = len(DATE_FORMATS)
+    derived = {f"t{j}": lambda v, j=j: _readings(v)[f"t{j}"] for j in range(last + 1)}
+    terms = {"filled": F.count}
+    for j in range(last + 1):
+        terms |= {
+            f"n{j}": lambda v, j=j: F.count(f"t{j}"),
+            f"lo{j}": lambda v, j=j: F.min(f"t{j}"),
+            f"hi{j}": lambda v, j=j: F.max(f"t{j}"),
+        }
+
+    def chosen(kind: str) -> Column:
+        pick = F.col(f"{kind}{last}")
+        for j in reversed(range(last)):
+            unread = F.try_divide((F.col("row_count") - F.col(f"n{j}")).cast("double"), F.col("row_count").cast("double"))
+            pick = F.when(unread <= UNPARSED_LIMIT, F.col(f"{kind}{j}")).otherwise(pick)
+        return pick
+
+    return per_text_column(df, columns, terms, derived).select(
+        "column", "row_count", (F.col("row_count") - F.col("filled")).alias("missing_count"),
+        chosen("n").alias("parsed_count"), chosen("lo").alias("lo"), chosen("hi").alias("hi"),
+    )
+
+
+def _real_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    terms = {
+        "missing_count": lambda c: f"count_if({quoted(c)} IS NULL)",
+        "parsed_count": lambda c: f"count({quoted(c)})",
+        "lo": lambda c: f"CAST(min({quoted(c)}) AS TIMESTAMP_NTZ)",
+        "hi": lambda c: f"CAST(max({quoted(c)}) AS TIMESTAMP_NTZ)",
+    }
+    return per_column(df, columns, terms).drop("position")
+
+
+def temporal_columns_of(df: DataFrame, overrides: Mapping[str, list[str]] | None = None) -> list[str]:
+    """Date, timestamp and text columns of temporal name."""
+    kinds = (*TEMPORAL_TYPES, T.StringType)
+    return [c for c in roles.resolve(df.columns, "temporal", overrides) if isinstance(df.schema[c].dataType, kinds)]
 
 
 def temporal_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -345,31 +377,12 @@ def temporal_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     Text is read by the first format that leaves at most half of all rows unread, or else
     freely. A time of day alone names no date.
     """
-    kinds = (*TEMPORAL_TYPES, T.StringType)
-    if columns is None:
-        columns = [c for c in roles.resolve(df.columns, "temporal") if isinstance(df.schema[c].dataType, kinds)]
-    frames = []
-    for part in chunks(list(columns), 8):
-        aggs = [F.count(F.lit(1)).alias("row_count")]
-        for i, c in enumerate(part):
-            aggs.append(F.count_if(missing(df, c)).alias(f"m{i}"))
-            for j, stamp in enumerate(_parse_attempts(df, c)):
-                aggs += [F.count(stamp).alias(f"n{i}_{j}"), F.min(stamp).alias(f"lo{i}_{j}"), F.max(stamp).alias(f"hi{i}_{j}")]
-        rows = []
-        for i, c in enumerate(part):
-            last = len(_parse_attempts(df, c)) - 1
-
-            def chosen(kind: str, i=i, last=last) -> Column:
-                pick = F.col(f"{kind}{i}_{last}")
-                for j in reversed(range(last)):
-                    unread = F.try_divide((F.col("row_count") - F.col(f"n{i}_{j}")).cast("double"), F.col("row_count").cast("double"))
-                    pick = F.when(unread <= UNPARSED_LIMIT, F.col(f"{kind}{i}_{j}")).otherwise(pick)
-                return pick
-
-            rows.append((F.lit(c), F.col("row_count"), F.col(f"m{i}"), chosen("n"), chosen("lo"), chosen("hi")))
-        fields = ("column", "row_count", "missing_count", "parsed_count", "lo", "hi")
-        frames.append(spread(df.agg(*aggs), fields, rows))
-    return union_all(frames).select(
+    columns = list(columns) if columns is not None else temporal_columns_of(df)
+    if not columns:
+        raise ValueError(f"no temporal column among {df.columns}")
+    text = set(text_columns(df))
+    kinds = [(_text_dates, [c for c in columns if c in text]), (_real_dates, [c for c in columns if c not in text])]
+    return union_all([profile(df, cs) for profile, cs in kinds if cs]).select(
         "column",
         "missing_count",
         percent2(F.col("missing_count"), F.col("row_count")).alias("missing_pct"),
@@ -392,22 +405,22 @@ def _core_metrics(df: DataFrame, overrides: Mapping[str, list[str]] | None) -> D
     names = df.columns
     lat, lon = roles.first(names, "latitude", overrides), roles.first(names, "longitude", overrides)
     address, phone = roles.first(names, "address", overrides), roles.first(names, "phone", overrides)
-    entries = [(("missing_values", c, "missing"), F.count_if(missing(df, c))) for c in names]
+    entries = [(("missing_values", c, "missing"), missing_sql(df, c)) for c in names]
     for role, section in SCORED_ROLES.items():
         chosen = roles.first(names, role, overrides)
         if chosen:
-            entries.append(((section, chosen, "missing"), F.count_if(missing(df, chosen))))
+            entries.append(((section, chosen, "missing"), missing_sql(df, chosen)))
     if lat and lon:
-        valid = F.count_if(_valid_coordinates(lat, lon))
+        valid = f"{quoted(lat)} BETWEEN -90 AND 90 AND {quoted(lon)} BETWEEN -180 AND 180"
         entries += [
             (("location_data", lat, "valid"), valid),
-            (("location_data", lat, "invalid"), F.count(F.lit(1)) - valid),
-            (("location_data", lat, "null"), F.count_if(missing(df, lat) | missing(df, lon))),
+            (("location_data", lat, "invalid"), f"NOT coalesce({valid}, false)"),
+            (("location_data", lat, "null"), f"{missing_sql(df, lat)} OR {missing_sql(df, lon)}"),
         ]
     if address and address in text_columns(df):
-        entries.append((("addresses", address, "incomplete"), F.count_if(F.length(col(address)) < SHORT_ADDRESS)))
+        entries.append((("addresses", address, "incomplete"), f"length({quoted(address)}) < {SHORT_ADDRESS}"))
     if phone and phone in text_columns(df):
-        entries.append((("phone_numbers", phone, "invalid"), F.count_if(~col(phone).rlike(PHONE_PATTERN))))
+        entries.append((("phone_numbers", phone, "invalid"), f"NOT {quoted(phone)} RLIKE {text_literal(PHONE_PATTERN)}"))
     counted = tally(df, ("section", "column", "metric"), entries)
     copies = duplicate_rows(df).select(
         F.lit("duplicate_rows").alias("section"), F.lit(None).cast("string").alias("column"), F.lit("duplicate").alias("metric"),
@@ -496,8 +509,7 @@ def analyze(df: DataFrame, overrides: Mapping[str, list[str]] | None = None) ->
                 F.col("location_count").cast("double").alias("value"), F.col("category").alias("text"),
             )
         )
-    kinds = (*TEMPORAL_TYPES, T.StringType)
-    dates = [c for c in roles.resolve(df.columns, "temporal", overrides) if isinstance(df.schema[c].dataType, kinds)]
+    dates = temporal_columns_of(df, overrides)
     if dates:
         profile = temporal_profile(df, dates)
         cells = F.array(

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from poiscope.functions.exprs import NUMERIC_TYPES, TEMPORAL_TYPES, col, missing, present
+from poiscope.functions.exprs import NUMERIC_TYPES, TEMPORAL_TYPES, missing_sql, present_sql
 from poiscope.plans.distincts import few_valued, value_counts
 from poiscope.plans.leading import leading_values
-from poiscope.plans.longform import per_column
+from poiscope.plans.longform import per_column, per_text_column
 
 # The text patterns; `date` needs one matching value, the others all of them.
 DATE_TEXT = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}$"
@@ -30,24 +30,29 @@ def detect_types(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     kinds = {f.name: f.dataType for f in df.schema.fields}
     plain = lambda c: isinstance(kinds[c], T.StringType)
     numeric = lambda c: isinstance(kinds[c], NUMERIC_TYPES)
-    nothing = F.lit(None).cast("boolean")
+    def if_numeric(aggregate: str):
+        return lambda c: f"CAST({f'{aggregate}({present_sql(df, c)})' if numeric(c) else 'NULL'} AS DOUBLE)"
 
-    def all_match(pattern: str):
-        return lambda c: F.bool_and(col(c).rlike(pattern)) if plain(c) else F.first(nothing)
-
-    terms = {
-        "missing_count": lambda c: F.count_if(missing(df, c)),
-        "any_date": lambda c: F.bool_or(col(c).rlike(DATE_TEXT)) if plain(c) else F.first(nothing),
-        "all_phone": all_match(PHONE_TEXT),
-        "all_email": all_match(EMAIL_TEXT),
-        "all_url": all_match(URL_TEXT),
-        "min_value": lambda c: (F.min(present(df, c)) if numeric(c) else F.lit(None)).cast("double"),
-        "max_value": lambda c: (F.max(present(df, c)) if numeric(c) else F.lit(None)).cast("double"),
-        "mean_value": lambda c: (F.avg(present(df, c)) if numeric(c) else F.lit(None)).cast("double"),
+    range_terms = {
+        "missing_count": lambda c: f"count_if({missing_sql(df, c)})",
+        "min_value": if_numeric("min"),
+        "max_value": if_numeric("max"),
+        "mean_value": if_numeric("avg"),
     }
-    scanned = per_column(df, df.columns, terms)
+    scanned = per_column(df, df.columns, range_terms)
+    text = [c for c in df.columns if plain(c)]
+    if text:
+        patterns = {
+            "any_date": lambda v: F.bool_or(v.rlike(DATE_TEXT)),
+            "all_phone": lambda v: F.bool_and(v.rlike(PHONE_TEXT)),
+            "all_email": lambda v: F.bool_and(v.rlike(EMAIL_TEXT)),
+            "all_url": lambda v: F.bool_and(v.rlike(URL_TEXT)),
+        }
+        scanned = scanned.join(per_text_column(df, text, patterns).drop("position", "row_count"), "column", "left")
+    else:
+        scanned = scanned.withColumns({k: F.lit(False) for k in ("any_date", "all_phone", "all_email", "all_url")})
 
-    few = few_valued(df, [c for c in df.columns if plain(c)], CATEGORICAL_BELOW)
+    few = few_valued(df, text, CATEGORICAL_BELOW)
     listed = F.slice(F.array_sort(F.collect_list("value")), 1, SHOWN_CATEGORIES)
     # Only columns estimated at a few dozen values get here, so the list stays that short.
     categories = (

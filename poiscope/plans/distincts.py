@@ -33,9 +33,8 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, occurrences) of the non-missing values as text, all columns in one shuffle."""
     if not columns:
         return df.sparkSession.createDataFrame([], "`column` string, value string, occurrences bigint")
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), present(df, c).cast("string").alias("value")) for c in columns])
     return (
-        df.select(F.inline(pairs))
+        df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), present(df, c).cast("string").alias("value")) for c in columns])))
         .filter(F.col("value").isNotNull())
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("occurrences"))
