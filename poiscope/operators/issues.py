@@ -76,8 +76,6 @@ def numeric_as_categorical(df: DataFrame) -> DataFrame:
 
 def _first_value_rows(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """(column, first_value) of each column as text; no row for a column without values."""
-    if not columns:
-        return df.sparkSession.createDataFrame([], "`column` string, first_value string")
     return (
         per_column(df, columns, {"first_value": lambda c: f"CAST({first_by_sql(present_sql(df, c), *order_by)} AS STRING)"})
         .filter(F.col("first_value").isNotNull())
@@ -107,8 +105,6 @@ def number_as_text(df: DataFrame, overrides: Overrides = None) -> DataFrame:
     """Text columns of which more than 80 % of the values are digits and points."""
     skipped = set(_found(df, "never_numeric_text", overrides))
     columns = [c for c in text_columns(df) if c not in skipped]
-    if not columns:
-        return df.sparkSession.createDataFrame([], "`column` string, digits_count bigint, value_count bigint, digits_share double")
     terms = {"digits_count": lambda v: F.count_if(_digits_only(v)), "value_count": F.count}
     share = F.try_divide(F.col("digits_count").cast("double"), F.col("value_count").cast("double"))
     return (

@@ -42,6 +42,8 @@ def per_column(
 
     A term gives the SQL text of an aggregate for a column name.
     """
+    if not columns:  # no rows, with the schema of the terms
+        return per_column(df, df.columns[:1], terms, name_as, positions).filter(F.lit(False))
     where = positions or {c: i for i, c in enumerate(df.columns)}
     frames = []
     for part in chunks(columns, max(1, COLUMNS_PER_SCAN // max(1, len(terms)))):
@@ -87,7 +89,9 @@ def per_text_column(
     `derived` values are computed once per pair and may be used by the terms under their names.
     Counts are 0, other terms NULL, on an empty table.
     """
-    melted = df.selectExpr(_inlined([{"_target": str(i), "_text": quoted(c)} for i, c in enumerate(columns)]))
+    if not columns:  # no rows, with the schema of the terms
+        return per_text_column(df, df.columns[:1], terms, derived).filter(F.lit(False))
+    melted = df.selectExpr(_inlined([{"_target": str(i), "_text": f"CAST({quoted(c)} AS STRING)"} for i, c in enumerate(columns)]))
     text = F.col("_text")
     if derived:
         melted = melted.withColumns({name: make(text) for name, make in derived.items()})
