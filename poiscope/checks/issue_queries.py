@@ -72,7 +72,17 @@ NUMBER_SQL = union_per_column(
         FROM locations) WHERE digits_count / value_count > 0.8""",
 )
 query("number_as_text", lambda t: ops.number_as_text(t.locations), NUMBER_SQL)
-query("type_issues", lambda t: ops.type_issues(t.locations, ["location_id"]))
+ZERO_SQL = _first_sql("locations", IDENTIFIERS, "location_id", "starts_with(first_value, '0')")
+DATE_SQL = _first_sql(
+    "locations", [c for c in TEXT if roles.matches(c, "temporal")], "location_id",
+    "regexp_matches(first_value, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}')",
+)
+TYPE_SQL = f"""SELECT "column", arg_max(issue_type, rule) AS issue_type FROM (
+    SELECT "column", 1 AS rule, 'numeric_as_categorical' AS issue_type FROM ({_few_sql('locations', NUMBERS)})
+    UNION ALL SELECT "column", 2, 'id_leading_zero' FROM ({ZERO_SQL})
+    UNION ALL SELECT "column", 3, 'date_as_text' FROM ({DATE_SQL})
+    UNION ALL SELECT "column", 4, 'number_as_text' FROM ({NUMBER_SQL})) GROUP BY "column\""""
+query("type_issues", lambda t: ops.type_issues(t.locations, ["location_id"]), TYPE_SQL)
 
 
 def _outlier_sql(table: str, columns, money) -> str:
@@ -170,7 +180,32 @@ LOCATION_SQL = "\nUNION ALL ".join(
     + [_hits_sql("geo_missing_with_address", g, f"{ADDRESS[0]} <> '' AND {g} IS NULL") for g in GEO]
 )
 query("location_issues", lambda t: ops.location_issues(t.locations), LOCATION_SQL)
-query("find_issues", lambda t: ops.find_issues(t.locations, ["location_id"]))
+GAPS_SQL = f"""SELECT * FROM ({missing_sql('locations', LOCATION_COLUMNS)}) WHERE missing_count > 0"""
+OUTLIER_SQL = _outlier_sql("locations", CHECKED, {"price_amount"})
+JSON_SQL = union_per_column(
+    TEXT,
+    """SELECT "column" FROM (SELECT '{c}' AS "column", arg_min({c}, location_id) AS v FROM locations WHERE {c} IS NOT NULL)
+    WHERE v LIKE '{{%}}' AND json_valid(v)""",
+)
+FOUND = f"""WITH gaps AS ({GAPS_SQL}), outliers AS ({OUTLIER_SQL}),
+    found AS (SELECT 'missing_values' AS family, 'missing_values' AS issue_type, "column", NULL::VARCHAR AS detail, missing_count::DOUBLE AS value FROM gaps
+    UNION ALL SELECT 'critical_missing_fields', 'critical_missing', "column", NULL, missing_count FROM ({CRITICAL_SQL})
+    UNION ALL SELECT 'duplicate_rows', 'duplicate_rows', NULL, NULL, duplicate_count FROM ({duplicates_sql('locations')}) WHERE duplicate_count > 0
+    UNION ALL SELECT 'type_issues', issue_type, "column", NULL, NULL FROM ({TYPE_SQL})
+    UNION ALL SELECT 'outliers', 'iqr_outliers', "column", NULL, outlier_count FROM outliers
+    UNION ALL SELECT 'outlier_impact', 'outlier_impact', "column", NULL, impact_total FROM outliers WHERE impact_total IS NOT NULL
+    UNION ALL SELECT 'json_columns', 'json_text', "column", NULL, NULL FROM ({JSON_SQL})
+    UNION ALL SELECT 'category_hierarchy_issues', 'category_hierarchy', parent_column || '_to_' || child_column, first_parents, inconsistent_parents
+        FROM ({SUMMARY.format(detail=LOCATION_HIERARCHY)})
+    UNION ALL SELECT 'location_data_issues', issue_type, "column", NULL, affected_rows FROM ({LOCATION_SQL}))"""
+query(
+    "find_issues",
+    # The inferred JSON schema has no SQL counterpart, and sums of doubles are compared to four places.
+    lambda t: ops.find_issues(t.locations, ["location_id"]).selectExpr(
+        "family", "issue_type", "column", "CASE WHEN family <> 'json_columns' THEN detail END AS detail", "round(value, 4) AS value"
+    ),
+    FOUND + ' SELECT family, issue_type, "column", detail, round(value, 4) AS value FROM found',
+)
 
 # --- grades -----------------------------------------------------------------------------------
 
@@ -230,11 +265,7 @@ query(
     lambda t: grading.column_scores(t.locations),
     f"""SELECT "column", 100.0 - missing_pct AS score FROM ({missing_sql('locations', LOCATION_COLUMNS)})""",
 )
-query(
-    "recommend_operations",
-    lambda t: grading.recommend_operations(_graded(t)),
-    ISSUES
-    + f""", lines AS (
+ADVICE_SQL = f"""lines AS (
         SELECT 1 AS k, '{grading.DROP_COLUMNS}' || string_agg(affected_columns, ', ' ORDER BY position) AS recommendation
             FROM issues WHERE type = 'high_missing_values' HAVING count(*) > 0
         UNION ALL SELECT 2, '{grading.IMPUTE_COLUMNS}' || string_agg(affected_columns, ', ' ORDER BY position)
@@ -242,17 +273,26 @@ query(
         UNION ALL SELECT 3, '{grading.REMOVE_DUPLICATES}' FROM issues WHERE type = 'high_duplicate_rows'
         UNION ALL SELECT 4, '{grading.STANDARDIZE_TYPES}' || affected_columns FROM issues WHERE type = 'mixed_data_types'
         UNION ALL SELECT 5, '{grading.PROFILE_MORE}' FROM issues HAVING count(*) > 0
-        UNION ALL SELECT 6, '{grading.DOCUMENT_ISSUES}' FROM issues HAVING count(*) > 0)
-    SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS position, recommendation FROM lines""",
+        UNION ALL SELECT 6, '{grading.DOCUMENT_ISSUES}' FROM issues HAVING count(*) > 0)"""
+query(
+    "recommend_operations",
+    lambda t: grading.recommend_operations(_graded(t)),
+    f"{ISSUES}, {ADVICE_SQL} SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS position, recommendation FROM lines",
 )
 query(
     "quality_report",
     lambda t: grading.quality_report(t.locations, "locations").select(
         "table_name", "quality_score",
         F.expr("issues_summary['critical']").alias("critical"), F.expr("issues_summary['warning']").alias("warning"),
-        F.expr("issues_summary['info']").alias("info"), F.round(F.expr("column_quality['address']"), 6).alias("address_score"),
-        F.size("column_quality").alias("scored_columns"), F.array_join("recommendations", "; ").alias("recommendations"),
+        F.expr("issues_summary['info']").alias("info"), F.expr("column_quality['address']").alias("address_score"),
+        F.size("column_quality").cast("long").alias("scored_columns"), F.array_join("recommendations", "; ").alias("recommendations"),
     ),
+    f"""{ISSUES}, {ADVICE_SQL}
+    SELECT 'locations' AS table_name, greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE - coalesce(sum({WEIGHT}), 0))) AS quality_score,
+        count(*) FILTER (WHERE level = 'critical') AS critical, count(*) FILTER (WHERE level = 'warning') AS warning,
+        count(*) FILTER (WHERE level = 'info') AS info, (SELECT 100.0 - missing_pct FROM m WHERE "column" = 'address') AS address_score,
+        (SELECT count(*) FROM m) AS scored_columns, (SELECT string_agg(recommendation, '; ' ORDER BY k) FROM lines) AS recommendations
+    FROM issues""",
 )
 query(
     "key_metrics",
@@ -267,9 +307,24 @@ query(
     f"""SELECT "column", 100.0 - missing_pct AS score, CASE WHEN missing_pct >= 50 THEN 'red' WHEN missing_pct >= 25 THEN 'orange' ELSE 'green' END AS band
         FROM ({missing_sql('locations', LOCATION_COLUMNS)})""",
 )
+SAID = """CASE family WHEN 'missing_values' THEN 'Found ' || n || ' columns with missing values'
+    WHEN 'critical_missing_fields' THEN 'Found ' || n || ' critical columns with missing values'
+    WHEN 'duplicate_rows' THEN 'Found ' || CAST(total AS BIGINT) || ' duplicate rows'
+    WHEN 'type_issues' THEN 'Found ' || n || ' columns with potential data type issues'
+    WHEN 'outliers' THEN 'Found outliers in ' || n || ' numeric columns'
+    WHEN 'outlier_impact' THEN 'Found outliers in ' || n || ' price or quantity columns with potential business impact'
+    WHEN 'json_columns' THEN 'Found ' || n || ' columns with JSON data stored as strings'
+    WHEN 'category_hierarchy_issues' THEN 'Found ' || n || ' inconsistent category relationships'
+    ELSE 'Found issues with location/address data' END"""
+RULES = ", ".join(
+    "({}, '{}', '{}', '{}')".format(i + 1, family, title, "; ".join(actions)) for i, (family, (title, actions)) in enumerate(grading.ADVICE.items())
+)
 query(
     "cleaning_recommendations",
     lambda t: grading.cleaning_recommendations(ops.find_issues(t.locations, ["location_id"])).withColumn(
         "actions", F.array_join("actions", "; ")
     ),
+    f"""{FOUND}, counted AS (SELECT family, count(*) AS n, sum(value) AS total FROM found GROUP BY family)
+    SELECT position, title AS issue, {SAID} AS description, actions
+    FROM counted JOIN (VALUES {RULES}) AS r(position, family, title, actions) USING (family)""",
 )

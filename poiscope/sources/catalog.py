@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from math import isqrt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -55,14 +56,22 @@ def scan_table(spark: SparkSession, name: str, sample_size: int | None = None) -
 def random_sample(df: DataFrame, key: Sequence[str], n: int = DEFAULT_SAMPLE, seed: int = 0) -> DataFrame:
     """Exactly n rows (or all, if fewer), the same ones for the same seed.
 
-    Rows are ranked by a hash of their key, and a top-n takes the lowest: every task keeps at
-    most n rows, n being at most 100,000. Rows of equal key are equally likely.
+    Rows are ranked by a hash of their key and the lowest n are taken. Ranks are spread evenly, so
+    a threshold a little above n / rows leaves little more than n rows to sort; should it leave
+    fewer than n, the whole table is ranked instead.
     """
     low, high = SAMPLE_RANGE
     if not low <= n <= high:
         raise ValueError(f"sample size must be between {low} and {high}")
-    ranked = F.md5(F.concat_ws(":", F.lit(str(seed)), *[col(k).cast("string") for k in key]))
-    return df.withColumn("_rank", ranked).orderBy("_rank", *[col(k).asc_nulls_last() for k in key]).limit(n).drop("_rank")
+    ranked = df.withColumn("_rank", F.md5(F.concat_ws(":", F.lit(str(seed)), *[col(k).cast("string") for k in key])))
+    rows = df.count()
+    wanted = n + 6 * isqrt(n) + 10
+    if rows > 2 * wanted:
+        threshold = format((16**32 // rows) * wanted, "032x")
+        near = ranked.filter(F.col("_rank") < threshold)
+        if near.count() >= n:
+            ranked = near
+    return ranked.orderBy("_rank", *[col(k).asc_nulls_last() for k in key]).limit(n).drop("_rank")
 
 
 def filtered_view(df: DataFrame, view: str) -> DataFrame:
