@@ -33,9 +33,8 @@ def _scanned(t):
 query("scan_table", _scanned, "SELECT * FROM events", on_locations=False)
 query(
     "random_sample",
-    lambda t: catalog.random_sample(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_linenumber"], 1000, seed=7),
-    """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
-        ORDER BY md5('7:' || l_orderkey || ':' || l_linenumber), l_orderkey, l_linenumber LIMIT 1000""",
+    lambda t: catalog.random_sample(t.orders, ["o_orderkey"], 1000, seed=7),
+    "SELECT * FROM orders ORDER BY md5('7:' || o_orderkey) LIMIT 1000",
     on_locations=False,
 )
 query(

@@ -92,6 +92,16 @@ def percent(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double") * F.lit(100.0), whole.cast("double"))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """Round half away from zero in binary arithmetic: scale, round to a whole number, scale back.
+
+    Spark's own `round` goes through the decimal text of the number, which moves values such as
+    0.285 (stored a little below) up where binary arithmetic keeps them down.
+    """
+    scale = F.lit(10.0**places)
+    return F.round(value * scale, 0) / scale
+
+
 def percent2(part: Column, whole: Column) -> Column:
     """Percentage rounded half-even to two places, the rounding of the profile metrics."""
     return F.bround(percent(part, whole), 2)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poiscope.functions.exprs import distinct_list, has_chain, is_open, open_retail, percent
+from poiscope.functions.exprs import distinct_list, has_chain, is_open, open_retail, percent, rounded
 from poiscope.operators.locations import CONFIDENCE, LOW_CONFIDENCE
 from poiscope.plans.longform import spread
 
@@ -61,7 +61,7 @@ def distribution_quality(df: DataFrame) -> DataFrame:
         .groupBy("main_category")
         .agg(
             total.alias("total_locations"),
-            F.round(F.avg(CONFIDENCE) * F.lit(100.0), 1).alias("avg_confidence_score"),
+            rounded(F.avg(CONFIDENCE) * F.lit(100.0), 1).alias("avg_confidence_score"),
             percent(F.count_if(F.col("address").isNull()), total).alias("missing_address_pct"),
             percent(F.count_if(F.col("monday_open").isNull()), total).alias("missing_hours_pct"),
             percent(F.count_if(F.col(CONFIDENCE) < LOW_CONFIDENCE), total).alias("low_confidence_pct"),
@@ -113,7 +113,7 @@ def geographic_quality(df: DataFrame, min_locations: int = 10, top_n: int = 10)
         .groupBy("city")
         .agg(
             total.alias("total_locations"),
-            F.round(F.avg(CONFIDENCE) * F.lit(100.0), 1).alias("avg_confidence_score"),
+            rounded(F.avg(CONFIDENCE) * F.lit(100.0), 1).alias("avg_confidence_score"),
             percent(F.count_if(F.col("latitude").isNull() | F.col("longitude").isNull()), total).alias("missing_coordinates_pct"),
             percent(F.count_if(F.col("address").isNull()), total).alias("missing_address_pct"),
             percent(F.count_if(F.col(CONFIDENCE) < LOW_CONFIDENCE), total).alias("low_confidence_pct"),
@@ -193,7 +193,7 @@ def category_consistency(df: DataFrame) -> DataFrame:
         pairs.join(totals.filter(F.col("subcategory_count") > 1), "main_category")
         .select(
             "main_category", "sub_category", "record_count", "subcategory_count",
-            F.round(percent(F.col("record_count"), F.col("total_records")), 1).alias("pct_of_category"),
+            rounded(percent(F.col("record_count"), F.col("total_records")), 1).alias("pct_of_category"),
         )
         .orderBy(F.col("subcategory_count").desc(), "main_category", F.col("record_count").desc(), "sub_category")
     )

@@ -21,6 +21,7 @@ from poiscope.functions.exprs import (
     present,
     present_sql,
     quoted,
+    rounded,
     text_columns,
 )
 from poiscope.operators.profile import duplicate_rows, key_candidates
@@ -109,7 +110,7 @@ def number_as_text(df: DataFrame, overrides: Overrides = None) -> DataFrame:
     share = F.try_divide(F.col("digits_count").cast("double"), F.col("value_count").cast("double"))
     return (
         per_text_column(df, columns, terms)
-        .withColumn("digits_share", F.round(share, 6))
+        .withColumn("digits_share", rounded(share, 6))
         .filter(share > NUMERIC_SHARE)
         .select("column", "digits_count", "value_count", "digits_share")
     )

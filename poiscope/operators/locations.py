@@ -20,6 +20,7 @@ from poiscope.functions.exprs import (
     is_open,
     open_retail,
     percent,
+    rounded,
     value_list,
 )
 
@@ -123,7 +124,7 @@ def territory_coverage(df: DataFrame) -> DataFrame:
     """Locations and category diversity per city."""
     return (
         _city_coverage(df, "category_diversity")
-        .withColumn("diversity_ratio", F.round(F.try_divide(F.col("category_diversity").cast("double"), F.col("location_count").cast("double")), 2))
+        .withColumn("diversity_ratio", rounded(F.try_divide(F.col("category_diversity").cast("double"), F.col("location_count").cast("double")), 2))
         .orderBy(F.col("location_count").desc(), "city", "state")
     )
 
@@ -137,7 +138,7 @@ def retail_segments(df: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("location_count"))
     )
     total = counts.agg(F.sum("location_count").alias("total")).scalar()
-    return counts.withColumn("percentage", F.round(percent(F.col("location_count"), total), 2)).orderBy(
+    return counts.withColumn("percentage", rounded(percent(F.col("location_count"), total), 2)).orderBy(
         F.col("location_count").desc(), "category"
     )
 
@@ -167,9 +168,9 @@ def customer_engagement(df: DataFrame, min_locations: int = 5) -> DataFrame:
         .groupBy("main_category", "sub_category")
         .agg(
             F.count(F.lit(1)).alias("location_count"),
-            F.round(F.avg(F.col("popularity_score").cast("float")), 1).alias("avg_popularity"),
-            F.round(F.avg(F.col("sentiment_score").cast("float")), 2).alias("avg_sentiment"),
-            F.round(F.avg(F.col("dwell_time").cast("float")), 1).alias("avg_dwell_minutes"),
+            rounded(F.avg(F.col("popularity_score").cast("float")), 1).alias("avg_popularity"),
+            rounded(F.avg(F.col("sentiment_score").cast("float")), 2).alias("avg_sentiment"),
+            rounded(F.avg(F.col("dwell_time").cast("float")), 1).alias("avg_dwell_minutes"),
         )
         .filter(F.col("location_count") > min_locations)
         .orderBy(
@@ -190,8 +191,8 @@ def geographic_clusters(df: DataFrame, min_cluster_size: int = 3) -> DataFrame:
         .filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
         .groupBy(
             "postal_code",
-            F.round("latitude", 2).alias("latitude_area"),
-            F.round("longitude", 2).alias("longitude_area"),
+            rounded(F.col("latitude"), 2).alias("latitude_area"),
+            rounded(F.col("longitude"), 2).alias("longitude_area"),
             "main_category",
             "chain_name",
         )
@@ -233,7 +234,7 @@ def chain_data_quality(df: DataFrame, min_locations: int = 3) -> DataFrame:
             F.count_if(F.col("address").isNull()).alias("missing_address"),
             F.count_if(F.col("monday_open").isNull() | F.col("monday_close").isNull()).alias("missing_hours"),
             F.count_if(F.col("website").isNull()).alias("missing_website"),
-            F.round(F.avg(CONFIDENCE), 2).alias("avg_confidence_score"),
+            rounded(F.avg(CONFIDENCE), 2).alias("avg_confidence_score"),
         )
         .filter(F.col("total_locations") > min_locations)
         .orderBy(F.col("total_locations").desc(), F.col("avg_confidence_score").asc_nulls_last(), F.col("chain_name").asc_nulls_last())
@@ -255,7 +256,7 @@ def chain_spread(df: DataFrame, min_locations: int = 3) -> DataFrame:
             F.sum("n").alias("location_count"),
             F.count_distinct("postal_code").alias("postal_codes_covered"),
             F.count_distinct("city").alias("cities_covered"),
-            F.round(F.try_divide(F.sum("score"), F.sum("scored").cast("double")), 2).alias("avg_confidence"),
+            rounded(F.try_divide(F.sum("score"), F.sum("scored").cast("double")), 2).alias("avg_confidence"),
         )
         .filter(F.col("location_count") >= min_locations)
         .orderBy(F.col("location_count").desc(), F.col("chain_name").asc_nulls_last())

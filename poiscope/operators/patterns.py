@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poiscope.functions.exprs import WEEKDAYS, col, is_open, is_retail, missing_sql, open_retail, percent
+from poiscope.functions.exprs import WEEKDAYS, col, is_open, is_retail, missing_sql, open_retail, percent, rounded
 from poiscope.operators.locations import CONFIDENCE
 from poiscope.plans.longform import per_column, spread
 
@@ -28,7 +28,7 @@ def completeness_by_column(df: DataFrame, columns: Sequence[str] | None = None)
         "column_name",
         F.col("row_count").alias("total_records"),
         "missing_count",
-        F.round(percent(F.col("missing_count"), F.col("row_count")), 2).alias("missing_percentage"),
+        rounded(percent(F.col("missing_count"), F.col("row_count")), 2).alias("missing_percentage"),
     )
 
 
@@ -70,7 +70,7 @@ def hours_coverage(df: DataFrame) -> DataFrame:
     one = df.agg(F.count(F.lit(1)).alias("total"), *[F.count(f"{d}_open").alias(d) for d in WEEKDAYS])
     rows = [(F.lit(d), F.col("total"), F.col(d)) for d in WEEKDAYS]
     return spread(one, ("day_of_week", "total_locations", "hours_available"), rows).withColumn(
-        "completion_rate", F.round(percent(F.col("hours_available"), F.col("total_locations")), 2)
+        "completion_rate", rounded(percent(F.col("hours_available"), F.col("total_locations")), 2)
     )
 
 
@@ -100,9 +100,9 @@ def confidence_summary(df: DataFrame, score: str = CONFIDENCE) -> DataFrame:
     """Mean score and the share of low and high scores."""
     total = F.count(F.lit(1))
     return df.agg(
-        F.round(F.avg(col(score)), 6).alias("avg_score"),
-        F.round(percent(F.count_if(col(score) < MEDIUM_CONFIDENCE), total), 6).alias("low_pct"),
-        F.round(percent(F.count_if(col(score) > HIGH_CONFIDENCE), total), 6).alias("high_pct"),
+        rounded(F.avg(col(score)), 6).alias("avg_score"),
+        rounded(percent(F.count_if(col(score) < MEDIUM_CONFIDENCE), total), 6).alias("low_pct"),
+        rounded(percent(F.count_if(col(score) > HIGH_CONFIDENCE), total), 6).alias("high_pct"),
     )
 
 
@@ -119,14 +119,14 @@ def hierarchy_cardinality(df: DataFrame, parent: str = "main_category", child: s
 def open_retail_share(df: DataFrame) -> DataFrame:
     """Open retail locations and their share of all locations."""
     one = df.agg(F.count(F.lit(1)).alias("total_locations"), F.count_if(is_retail() & is_open()).alias("open_retail_locations"))
-    return one.withColumn("open_retail_pct", F.round(percent(F.col("open_retail_locations"), F.col("total_locations")), 2))
+    return one.withColumn("open_retail_pct", rounded(percent(F.col("open_retail_locations"), F.col("total_locations")), 2))
 
 
 def city_share(df: DataFrame) -> DataFrame:
     """Open retail locations of each city and their share."""
     counts = open_retail(df).groupBy("city").agg(F.count(F.lit(1)).alias("location_count"))
     total = counts.agg(F.sum("location_count").alias("total")).scalar()
-    return counts.withColumn("city_pct", F.round(percent(F.col("location_count"), total), 2)).orderBy(
+    return counts.withColumn("city_pct", rounded(percent(F.col("location_count"), total), 2)).orderBy(
         F.col("location_count").desc(), F.col("city").asc_nulls_last()
     )
 
@@ -146,7 +146,7 @@ def top_chains(df: DataFrame, n: int = 10) -> DataFrame:
 def encoding_suspects(df: DataFrame, column: str = "name", pattern: str = GARBLED) -> DataFrame:
     """Rows whose text looks wrongly decoded, and their share."""
     one = df.agg(F.count(F.lit(1)).alias("row_count"), F.count_if(col(column).rlike(pattern)).alias("suspect_count"))
-    return one.withColumn("suspect_pct", F.round(percent(F.col("suspect_count"), F.col("row_count")), 2))
+    return one.withColumn("suspect_pct", rounded(percent(F.col("suspect_count"), F.col("row_count")), 2))
 
 
 def encoding_suspect_rows(df: DataFrame, column: str = "name", pattern: str = GARBLED) -> DataFrame:

@@ -21,6 +21,7 @@ from poiscope.functions.exprs import (
     percent,
     percent2,
     quoted,
+    rounded,
     row_fingerprint,
     text_columns,
     text_literal,
@@ -187,7 +188,7 @@ def size_profile(df: DataFrame) -> DataFrame:
 
     per = per_column(df, df.columns, {"bytes": size})
     total = per.agg(F.sum("bytes").alias("total")).scalar()
-    return per.select("column", "position", "bytes", F.round(percent(F.col("bytes"), total), 6).alias("percent"))
+    return per.select("column", "position", "bytes", rounded(percent(F.col("bytes"), total), 6).alias("percent"))
 
 
 def key_candidates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -267,7 +268,7 @@ def valid_coordinates_flag(df: DataFrame, latitude: str | None = None, longitude
     """Valid coordinates with a warning below 90 %."""
     share = percent(F.col("valid_count"), F.col("row_count"))
     return coordinate_validity(df, latitude, longitude).select(
-        "valid_count", F.round(share, 6).alias("valid_pct"), (share < VALID_COORDINATES_PCT).alias("warning")
+        "valid_count", rounded(share, 6).alias("valid_pct"), (share < VALID_COORDINATES_PCT).alias("warning")
     )
 
 

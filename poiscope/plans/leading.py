@@ -24,14 +24,14 @@ def leading_values(df: DataFrame, columns: Sequence[str], order_by: Sequence[str
     lead = order_by[0]
     last = (
         df.select(*[col(o) for o in order_by]).orderBy(*order).limit(HEAD_ROWS)
-        .agg(F.count(F.lit(1)).alias("rows"), F.count(col(lead)).alias("keyed"), F.max(col(lead)).alias("bound"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.count(col(lead)).alias("keyed"), F.max(col(lead)).cast("string").alias("bound"))
         .first()
     )
     whole_seen = last["rows"] < HEAD_ROWS
     needed = list(dict.fromkeys([*columns, *order_by]))
     head = df.select(*[col(c) for c in needed])
     if not whole_seen and last["keyed"] == last["rows"]:
-        head = head.filter(col(lead) <= F.lit(last["bound"]))
+        head = head.filter(col(lead) <= F.lit(last["bound"]).cast(df.schema[lead].dataType))
     head = head.orderBy(*order).limit(HEAD_ROWS)
     filled = head.agg(*[F.count(present(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     sparse = [c for i, c in enumerate(columns) if filled[f"n{i}"] < count and not whole_seen]

@@ -54,7 +54,7 @@ def scan_table(spark: SparkSession, name: str, sample_size: int | None = None) -
 
 
 def random_sample(df: DataFrame, key: Sequence[str], n: int = DEFAULT_SAMPLE, seed: int = 0) -> DataFrame:
-    """Exactly n rows (or all, if fewer), the same ones for the same seed.
+    """Exactly n rows (or all, if fewer), the same ones for the same seed; the key must be unique.
 
     Rows are ranked by a hash of their key and the lowest n are taken. Ranks are spread evenly, so
     a threshold a little above n / rows leaves little more than n rows to sort; should it leave
