@@ -26,7 +26,7 @@ from poiscope.functions.exprs import (
 )
 from poiscope.operators.profile import duplicate_rows, key_candidates
 from poiscope.plans.distincts import exact_distincts, few_valued
-from poiscope.plans.longform import per_column, per_text_column, spread, tally, union_all
+from poiscope.plans.longform import per_column, per_text_column, tally, union_all
 from poiscope.plans.quantiles import exact_quantiles
 
 # Limits and patterns of the issue rules.
@@ -168,20 +168,30 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, overrides:
         schema = "`column` string, q1 double, q3 double, outlier_count bigint, impact_min double, impact_max double, impact_mean double, impact_total double"
         return df.sparkSession.createDataFrame([], schema)
     money = set(_found(df, "money_or_quantity", overrides))
-    aggs, rows = [], []
-    none = F.lit(None).cast("double")
-    for i, c in enumerate(kept):
-        q1, q3, low, high = bounds[c]
-        value = present(df, c).cast("double")
-        beyond = (value < F.lit(low)) | (value > F.lit(high))
-        aggs.append(F.count_if(beyond).alias(f"n{i}"))
-        impact = [none] * 4
-        if c in money:
-            picked = F.when(beyond, value)
-            aggs += [F.min(picked).alias(f"a{i}"), F.max(picked).alias(f"b{i}"), F.avg(picked).alias(f"c{i}"), F.sum(picked).alias(f"d{i}")]
-            impact = [F.col(f"{k}{i}") for k in "abcd"]
-        rows.append((F.lit(c), F.lit(q1), F.lit(q3), F.col(f"n{i}"), *impact))
-    return spread(df.agg(*aggs), fields, rows).filter(F.col("outlier_count") > 0)
+    pairs = F.array(*[F.struct(F.lit(i).alias("target"), present(df, c).cast("double").alias("v")) for i, c in enumerate(kept)])
+
+    def of_target(values: Sequence) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), F.col("target"))
+
+    # Each row is spread into (column, value) pairs that are combined inside the task.
+    v = F.col("v")
+    beyond = (v < of_target([bounds[c][2] for c in kept])) | (v > of_target([bounds[c][3] for c in kept]))
+    costly = F.when(beyond & of_target([c in money for c in kept]), v)
+    counted = (
+        df.select(F.inline(pairs))
+        .groupBy("target")
+        .agg(
+            F.count_if(beyond).alias("outlier_count"), F.min(costly).alias("impact_min"), F.max(costly).alias("impact_max"),
+            F.avg(costly).alias("impact_mean"), F.sum(costly).alias("impact_total"),
+        )
+        .filter(F.col("outlier_count") > 0)
+    )
+    return counted.select(
+        of_target(kept).alias("column"),
+        of_target([bounds[c][0] for c in kept]).alias("q1"),
+        of_target([bounds[c][1] for c in kept]).alias("q3"),
+        *[f for f in fields if f not in ("column", "q1", "q3")],
+    )
 
 
 # --- categories ------------------------------------------------------------------------------

@@ -4,8 +4,8 @@ Spark's `percentile` keeps every distinct value of a column in the buffer of one
 wanted order statistic is searched for inside an open interval instead. A sketch of a sample
 proposes two cut values near the wanted rank, an exact count says on which side of them (or on
 which of them) the rank lies, and the search goes on in that part only. A round is two scans of
-the asked columns with a constant-size result and leaves about one candidate in a hundred, so a
-trillion rows take three rounds; the few values left at the end are counted one by one. Only the
+the asked columns with a constant-size result and leaves about one candidate in sixty, so a
+trillion rows take four rounds; the few values left at the end are counted one by one. Only the
 exact counts decide: an unlucky sample costs another round, never a wrong answer. Both cut values
 leave the interval, so hot values cannot stall the search.
 
@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from poiscope.functions.exprs import present
 
 # Candidates in an interval that the final histogram may hold.
-FINAL_CANDIDATES = 500_000
-SAMPLED_VALUES = 200_000
+FINAL_CANDIDATES = 2_000_000
+SAMPLED_VALUES = 50_000
 ACCURACY = 10_000
 
 
