@@ -170,8 +170,82 @@ query(
     UNION ALL SELECT 'phone_numbers', 'invalid_pct',
         {pct(r"count(*) FILTER (WHERE NOT regexp_matches(phone, '^\+?[0-9()\s-]{7,20}$'))")} FROM locations""",
 )
-query("analyze", lambda t: ops.analyze(t.locations))
-query("analyze_lineitem", lambda t: ops.analyze(t.lineitem))
+
+
+def _two(section: str, column: str, metric: str, count: str) -> str:
+    """Count and percentage of one condition over the locations."""
+    return f"""SELECT '{section}', '{column}', '{metric}_count', CAST({count} AS DOUBLE), NULL FROM locations
+    UNION ALL SELECT '{section}', '{column}', '{metric}_pct', {pct(count)}, NULL FROM locations"""
+
+
+def _gaps(section: str, table: str, columns) -> str:
+    return f"""SELECT '{section}', "column", 'missing_count', CAST(missing_count AS DOUBLE), NULL FROM ({missing_sql(table, columns)})
+    UNION ALL SELECT '{section}', "column", 'missing_pct', missing_pct, NULL FROM ({missing_sql(table, columns)})"""
+
+
+def _copies(table: str) -> str:
+    return f"""SELECT 'duplicate_rows', NULL, 'duplicate_count', CAST(duplicate_count AS DOUBLE), NULL FROM ({duplicates_sql(table)})
+    UNION ALL SELECT 'duplicate_rows', NULL, 'duplicate_pct', duplicate_pct, NULL FROM ({duplicates_sql(table)})"""
+
+
+def _types(table: str, types: dict[str, str]) -> str:
+    return f"""SELECT 'basic' AS section, "column", 'column_type' AS metric, CAST(position AS DOUBLE) AS value, type AS text
+    FROM ({basic_sql(table, types)})"""
+
+
+def _dates(source: str) -> str:
+    return f"""SELECT 'temporal_data', "column", unnest(['missing_count', 'missing_pct', 'range_days', 'min_date', 'max_date']),
+        unnest([missing_count::DOUBLE, missing_pct, range_days::DOUBLE, NULL, NULL]), unnest([NULL, NULL, NULL, min_date, max_date])
+        FROM ({source})"""
+
+
+NAME_REPEATS = "count(*) - (SELECT count(*) FROM (SELECT DISTINCT name FROM locations))"
+query(
+    "analyze",
+    lambda t: ops.analyze(t.locations),
+    SCORE
+    + " UNION ALL ".join(
+        [
+            _types("locations", LOCATION_TYPES),
+            _gaps("missing_values", "locations", LOCATION_COLUMNS),
+            _gaps("addresses", "locations", ["address"]),
+            _gaps("business_names", "locations", ["name"]),
+            _gaps("phone_numbers", "locations", ["phone"]),
+            _copies("locations"),
+            _two("location_data", "latitude", "valid", f"count(*) FILTER (WHERE {VALID})"),
+            _two("location_data", "latitude", "invalid", f"count(*) - count(*) FILTER (WHERE {VALID})"),
+            _two("location_data", "latitude", "null", "count(*) FILTER (WHERE latitude IS NULL OR longitude IS NULL)"),
+            _two("addresses", "address", "incomplete", "count(*) FILTER (WHERE length(address) < 10)"),
+            _two("phone_numbers", "phone", "invalid", r"count(*) FILTER (WHERE NOT regexp_matches(phone, '^\+?[0-9()\s-]{7,20}$'))"),
+            _two("business_names", "name", "duplicate", NAME_REPEATS),
+            f"SELECT 'scores', NULL, 'quality_score', {SCORE_VALUE}, NULL FROM o, d",
+            "SELECT 'scores', NULL, 'completeness', round_even(100.0 - miss, 1), NULL FROM o",
+            "SELECT 'scores', NULL, 'overall_missing_pct', miss, NULL FROM o",
+            _dates(" UNION ALL ".join(_text_date_sql("locations", c) for c in TEMPORAL_TEXT)),
+        ]
+    ),
+)
+# No column of lineitem plays the part of an address, name, phone or coordinate.
+query(
+    "analyze_lineitem",
+    lambda t: ops.analyze(t.lineitem),
+    f"""WITH g AS (SELECT {pct('sum(missing_count)', 'sum(row_count)')} AS miss FROM ({missing_sql('lineitem', LINEITEM_COLUMNS)})),
+    c AS ({duplicates_sql('lineitem')})
+    """
+    + " UNION ALL ".join(
+        [
+            _types("lineitem", LINEITEM_TYPES),
+            _gaps("missing_values", "lineitem", LINEITEM_COLUMNS),
+            _copies("lineitem"),
+            """SELECT 'scores', NULL, 'quality_score',
+                round_even(greatest(0.0, 100.0 - (least(30.0, miss / 2) + least(20.0, duplicate_pct * 2))), 1), NULL FROM g, c""",
+            "SELECT 'scores', NULL, 'completeness', round_even(100.0 - miss, 1), NULL FROM g",
+            "SELECT 'scores', NULL, 'overall_missing_pct', miss, NULL FROM g",
+            _dates(_real_date_sql("lineitem", "l_shipdate")),
+        ]
+    ),
+    on_locations=False,
+)
 
 
 def _leading_sql(table: str, types: dict[str, str], order: str, count: int) -> dict[str, str]:
