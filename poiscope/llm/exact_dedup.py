@@ -60,7 +60,7 @@ def exact_groups(
         .agg(
             F.min("_id").alias("_keep"),
             F.count(F.lit(1)).alias("_size"),
-            F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("_slice"))).alias("_slices"),
+            F.bit_or(F.expr("shiftleft(1L, _slice)")).alias("_slices"),
         )
     )
     merged = (
