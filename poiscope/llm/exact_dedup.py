@@ -21,6 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from poiscope.llm.common import SPACE_CLASS, whole
+from poiscope.plans.durable import scratch_path
 
 SLICES = 64
 
@@ -68,11 +69,19 @@ def exact_groups(
         .groupBy("_key", "_text")
         .agg(F.min("_keep").alias("_keep"), F.sum("_size").alias("_size"), F.bit_or("_slices").alias("_slices"))
     )
-    # One row per digest; more than one element only where different texts share it.
+    # One row per digest; only where different texts share it is there more than one group, and the
+    # texts are needed on. The table is written, so that they are looked up only if there are any.
     by_key = merged.groupBy("_key").agg(F.collect_list(F.struct("_text", "_keep", "_size", "_slices")).alias("_groups"))
-    single = by_key.filter(F.size("_groups") == 1).select(
-        "_key", *[F.col("_groups")[0][c].alias(c) for c in ("_keep", "_size", "_slices")]
-    )
+    unique = F.size("_groups") == 1
+    grouped_at = scratch_path(docs.sparkSession, "exact-groups")
+    by_key.select(
+        "_key",
+        unique.alias("_unique"),
+        F.when(~unique, F.col("_groups")).alias("_groups"),
+        *[F.col("_groups")[0][c].alias(c) for c in ("_keep", "_size", "_slices")],
+    ).write.parquet(grouped_at)
+    grouped = docs.sparkSession.read.parquet(grouped_at)
+    single = grouped.filter("_unique")
     spread = single.select(
         "_key",
         "_keep",
@@ -83,13 +92,12 @@ def exact_groups(
     )
     rows = keyed.select("_id", "_key", "_slice", *["_row"] * carry)
     found = rows.join(spread, ["_key", "_slice"]).select("_id", "_key", "_keep", "_size", *["_row"] * carry)
-    shared = by_key.filter(F.size("_groups") > 1).select("_key", F.explode("_groups").alias("_g"))
-    # The few texts that share a digest with another, found by their whole text.
-    compared = keyed.join(
-        shared.select("_key", F.col("_g._text").alias("_text"), F.col("_g._keep").alias("_keep"), F.col("_g._size").alias("_size")),
-        ["_key", "_text"],
-    ).select("_id", "_key", "_keep", "_size", *["_row"] * carry)
-    return found.unionByName(compared).select(
+    shared = grouped.filter("NOT _unique").select("_key", F.explode("_groups").alias("_g"))
+    if not shared.isEmpty():
+        groups = shared.select("_key", *[F.col(f"_g.{c}").alias(c) for c in ("_text", "_keep", "_size")])
+        compared = keyed.join(groups, ["_key", "_text"])
+        found = found.unionByName(compared.select("_id", "_key", "_keep", "_size", *["_row"] * carry))
+    return found.select(
         F.col("_id").alias(id_col),
         F.col("_keep").alias("keep_id"),
         F.col("_size").alias("group_size"),
