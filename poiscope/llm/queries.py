@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from poiscope.llm.bpe import decode_documents, encode_documents
 from poiscope.llm.common import table
 from poiscope.llm.exact_dedup import exact_groups
 from poiscope.llm.line_dedup import drop_repeated_lines
@@ -56,3 +57,15 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 WINDOW same AS (PARTITION BY t)
 """
+
+
+@query
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = decode_documents(encode_documents(docs))
+    return done.select(
+        "doc_id",
+        F.col("tokens.n_tokens").alias("n_tokens"),
+        F.sha2("tokens.ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
