@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from poiscope.llm.bpe import decode_documents, encode_documents
-from poiscope.llm.common import table
+from poiscope.llm.common import held_out, table
 from poiscope.llm.exact_dedup import exact_groups
+from poiscope.llm.language_id import identify
 from poiscope.llm.line_dedup import drop_repeated_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +70,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("tokens.ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    done = identify(docs, teaches=~held_out(F.col("doc_id")))
+    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
