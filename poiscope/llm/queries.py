@@ -11,6 +11,8 @@ from poiscope.llm.common import held_out, table
 from poiscope.llm.exact_dedup import exact_groups
 from poiscope.llm.language_id import identify
 from poiscope.llm.line_dedup import drop_repeated_lines
+from poiscope.llm.toxicity import score_toxicity
+from poiscope.llm.url_filter import ALLOW, BLOCK, Rule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,3 +79,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     done = identify(docs, teaches=~held_out(F.col("doc_id")))
     return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+# The rules of the registered URL filter.
+URL_RULES = (
+    Rule(ALLOW, "com", "/"),
+    Rule(BLOCK, "example.com", "/en/"),
+    Rule(ALLOW, "www.example.com", "/en/"),
+    Rule(BLOCK, "net", "/es/"),
+    Rule(BLOCK, "net", "/fr/"),
+)
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    done = score_toxicity(docs, labels, teaches=~held_out(F.col("doc_id")))
+    return done.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
