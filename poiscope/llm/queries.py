@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from poiscope.llm.bpe import decode_documents, encode_documents
 from poiscope.llm.common import held_out, table
 from poiscope.llm.exact_dedup import exact_groups
+from poiscope.llm.extraction import extract_main_text
 from poiscope.llm.language_id import identify
 from poiscope.llm.line_dedup import drop_repeated_lines
 from poiscope.llm.toxicity import score_toxicity
@@ -103,3 +104,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
