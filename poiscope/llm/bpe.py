@@ -20,16 +20,18 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, types as T
 
 REMEMBERED = 150_000
+AT_ONCE = 30_000
+ROWS = 500
 NEVER = np.int64(2**40)
-ENCODED = "struct<n_tokens: long, ids: binary>"
 
 # The pattern of words, white space that str.split() knows and the pattern does not.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -199,28 +201,24 @@ class Vocabulary:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        rows = []
-        for text in texts:
-            segments, parts = [text or ""], []
-            if self.specials and "<" in segments[0]:
-                segments, parts = self.specials.split(segments[0]), self.specials.findall(segments[0])
-            chunks = [s.split() if not NOT_SPACE.search(s) else CHUNK.findall(s) for s in segments]
-            rows.append((chunks, [np.array([self.special[p]], "<u4").tobytes() for p in parts]))
-        out, start = [], 0
-        while start < len(rows):
-            # As many rows as bring at most REMEMBERED chunks, one row at least.
+        out, at = [], 0
+        while at < len(texts):
+            # As many texts as bring AT_ONCE new chunks, one at least.
             if len(self.remembered) > REMEMBERED:
                 self.remembered.clear()
-            known, new, stop = self.remembered, {}, start
-            while stop < len(rows) and (stop == start or len(new) < REMEMBERED):
-                for chunks in rows[stop][0]:
-                    new.update((c, None) for c in chunks if c not in known)
-                stop += 1
+            known, new, held = self.remembered, {}, []
+            while at < len(texts) and (not held or len(new) < AT_ONCE):
+                segments, parts = [texts[at] or ""], []
+                if self.specials and "<" in segments[0]:
+                    segments, parts = self.specials.split(segments[0]), self.specials.findall(segments[0])
+                chunks = [s.split() if not NOT_SPACE.search(s) else CHUNK.findall(s) for s in segments]
+                new.update((c, None) for cs in chunks for c in cs if c not in known)
+                held.append((chunks, [np.array([self.special[p]], "<u4").tobytes() for p in parts]))
+                at += 1
             self._learn(list(new))
-            for chunks, parts in rows[start:stop]:
+            for chunks, parts in held:
                 joined = [b"".join([known[c] for c in cs]) for cs in chunks]
                 out.append(b"".join([x for pair in zip(joined, [*parts, b""]) for x in pair]))
-            start = stop
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -233,36 +231,49 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encoded(text: Column, path: str) -> Column:
-    """struct(n_tokens, ids), the ids as little-endian unsigned 32-bit numbers in one binary."""
+def _extended(batch: pa.RecordBatch, kept: list[str], added: dict[str, pa.Array]) -> pa.RecordBatch:
+    names = [*kept, *added]
+    return pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], *added.values()], names)
 
-    @F.pandas_udf(ENCODED)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        ids = vocabulary(path).encode(texts.tolist())
-        return pd.DataFrame({"n_tokens": [len(i) // 4 for i in ids], "ids": ids})
-
-    return run(text)
 
+def encode_documents(
+    docs: DataFrame, path: str | None = None, text_col: str = "text", into: str = "ids", decoded_into: str | None = None
+) -> DataFrame:
+    """All columns of `docs` and the binary column `into`: the ids as little-endian unsigned 32-bit numbers.
 
-def decoded(ids: Column, path: str) -> Column:
-    """The text of ids as `encoded` gives them; null stays null."""
+    decoded_into: also decode the ids again, in the same pass. Columns of the names added are replaced.
+    """
+    path = path or vocabulary_path()
+    added = {into: T.BinaryType()} | ({decoded_into: T.StringType()} if decoded_into else {})
+    kept = [c for c in docs.columns if c not in added]
 
-    @F.pandas_udf("string")
-    def run(rows: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
-        return pd.Series([None if r is None else known.decode(r) for r in rows], dtype=object)
-
-    return run(ids)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):  # keeps what is held and sent small
+                part = batch.slice(start, ROWS)
+                ids = known.encode(part.column(text_col).to_pylist())
+                new = {into: pa.array(ids, pa.binary())}
+                if decoded_into:
+                    new[decoded_into] = pa.array(map(known.decode, ids), pa.string())
+                yield _extended(part, kept, new)
 
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, t) for n, t in added.items()])
+    return docs.mapInArrow(run, schema)
 
-def encode_documents(
-    docs: DataFrame, path: str | None = None, text_col: str = "text", into: str = "tokens"
-) -> DataFrame:
-    """All columns of `docs` and the struct column `into` (n_tokens, ids)."""
-    return docs.withColumn(into, encoded(F.col(text_col), path or vocabulary_path()))
 
+def decode_documents(docs: DataFrame, path: str | None = None, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
+    """All columns of `docs` and the text of their ids; null ids stay null."""
+    path = path or vocabulary_path()
+    kept = [c for c in docs.columns if c != into]
 
-def decode_documents(
-    docs: DataFrame, path: str | None = None, ids_col: str = "tokens.ids", into: str = "decoded"
-) -> DataFrame:
-    return docs.withColumn(into, decoded(F.col(ids_col), path or vocabulary_path()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary(path)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                texts = [None if i is None else known.decode(i) for i in part.column(ids_col).to_pylist()]
+                yield _extended(part, kept, {into: pa.array(texts, pa.string())})
+
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(into, T.StringType())])
+    return docs.mapInArrow(run, schema)

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from poiscope.llm.bpe import decode_documents, encode_documents
+from poiscope.llm.bpe import encode_documents
 from poiscope.llm.common import held_out, table
 from poiscope.llm.exact_dedup import exact_groups
 from poiscope.llm.extraction import extract_main_text
 from poiscope.llm.language_id import identify
 from poiscope.llm.line_dedup import drop_repeated_lines
+from poiscope.llm.near_dedup import near_duplicates
 from poiscope.llm.toxicity import score_toxicity
 from poiscope.llm.url_filter import ALLOW, BLOCK, Rule, judge_urls
 
@@ -66,22 +67,15 @@ WINDOW same AS (PARTITION BY t)
 @query
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = decode_documents(encode_documents(docs))
+    done = encode_documents(docs, decoded_into="decoded")
     return done.select(
         "doc_id",
-        F.col("tokens.n_tokens").alias("n_tokens"),
-        F.sha2("tokens.ids", 256).alias("ids_sha256"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
-@query
-def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    done = identify(docs, teaches=~held_out(F.col("doc_id")))
-    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
-
-
 # The rules of the registered URL filter.
 URL_RULES = (
     Rule(ALLOW, "com", "/"),
@@ -109,3 +103,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
