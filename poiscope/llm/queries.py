@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from poiscope.llm.bpe import encode_documents
 from poiscope.llm.common import held_out, table
+from poiscope.llm.decontamination import contaminated
 from poiscope.llm.exact_dedup import exact_groups
 from poiscope.llm.extraction import extract_main_text
 from poiscope.llm.language_id import identify
@@ -108,3 +109,8 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
