@@ -14,6 +14,7 @@ from poiscope.llm.extraction import extract_main_text
 from poiscope.llm.language_id import identify
 from poiscope.llm.line_dedup import drop_repeated_lines
 from poiscope.llm.near_dedup import near_duplicates
+from poiscope.llm.substring_dedup import repeated_passages
 from poiscope.llm.toxicity import score_toxicity
 from poiscope.llm.url_filter import ALLOW, BLOCK, Rule, judge_urls
 
@@ -114,3 +115,8 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
