@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from poiscope.llm.bpe import encode_documents
 from poiscope.llm.common import held_out, table
 from poiscope.llm.decontamination import contaminated
@@ -18,8 +19,8 @@ from poiscope.llm.substring_dedup import repeated_passages
 from poiscope.llm.toxicity import score_toxicity
 from poiscope.llm.url_filter import ALLOW, BLOCK, Rule, judge_urls
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
+SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
