@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where it lies, as on one machine or a shared folder."""
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(":") if p]
+    if root not in paths:
+        known["PYTHONPATH"] = ":".join([*paths, root])
+    return spark
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to lower case and nothing else."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

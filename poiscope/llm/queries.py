@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from poiscope.llm.bpe import encode_documents
-from poiscope.llm.common import held_out, table
+from poiscope.llm.common import held_out, importable, table
 from poiscope.llm.decontamination import contaminated
 from poiscope.llm.exact_dedup import exact_groups
 from poiscope.llm.extraction import extract_main_text
@@ -24,7 +24,7 @@ SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline":
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[build.__name__] = build
+    QUERIES[build.__name__] = lambda spark, sf_dir: build(importable(spark), sf_dir)
     return build
 
 
