@@ -141,7 +141,7 @@ class Vocabulary:
         """
         ids = self.ids
         symbols = np.array([t for w in words for t in [*[ids[c] for c in w[:-1]], ids[w[-1] + WORD_END]]], np.int64)
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        word = np.repeat(np.arange(len(words)), np.array([len(w) for w in words], np.int64))
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
             whole = np.full(len(symbols), NEVER)
@@ -168,7 +168,7 @@ class Vocabulary:
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word as little-endian 32-bit numbers."""
         proposed = [self.propose(w) or [] for w in words]
-        lengths = np.array(list(map(len, proposed)))
+        lengths = np.array(list(map(len, proposed)), np.int64)
         flat = np.array([t for p in proposed for t in p], np.int64)
         fine = lengths > 0
         word_of = np.repeat(np.arange(len(words)), lengths)
