@@ -204,7 +204,8 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
                 if len(held) > HOSTS_AT_ONCE:
                     yield rows()
                     held.clear()
-        yield rows()
+        if held:
+            yield rows()
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         slot = None

@@ -132,7 +132,7 @@ def learn_lexicon(rows: DataFrame, min_docs: int = 3, least: float = 2.0) -> dic
             for text, label in zip(f["text"], f["label"]):
                 seen[label].update({t for w in set(words_of(text)) for t in terms_of(w)})
             # Terms of clean texts only cannot enter, but clean sights of the others count.
-            for label, c in seen.items():
+            for label, c in ((label, c) for label, c in seen.items() if c):
                 yield pd.DataFrame({"term": list(c), "toxic": list(c.values()) if label else 0, "clean": 0 if label else list(c.values())})
 
     counted = rows.mapInPandas(count, "term string, toxic long, clean long").groupBy("term")
