@@ -119,6 +119,25 @@ query(
     """SELECT location_id, CASE WHEN CAST(store_number_text AS BIGINT) % 2 = 0 THEN 'store ' || store_number_text
         ELSE store_number_text END AS store_number_text FROM locations""",
 )
+query(
+    "standardize_values_numbers",
+    lambda t: ops.clean(t.part, [StandardizeValues("p_size", {1: 1.5, 2: 2.25}), StandardizeValues("p_partkey", {i: -i for i in range(0, 5000, 3)})]).frame,
+    """SELECT * REPLACE (
+        CAST(CASE p_size WHEN 1 THEN 1.5 WHEN 2 THEN 2.25 ELSE p_size END AS DOUBLE) AS p_size,
+        CASE WHEN p_partkey % 3 = 0 AND p_partkey < 5000 THEN -p_partkey ELSE p_partkey END AS p_partkey) FROM part""",
+    on_locations=False,
+)
+query(
+    "change_log_params",
+    lambda t: ops.clean(t.part, [StandardizeValues("p_partkey", {i: -i for i in range(3, 900, 3)}), StandardizeValues("p_brand", {"a": "b"})])
+    .change_log()
+    .select("step_no", "column", "params", "rows_affected"),
+    """SELECT 1 AS step_no, 'p_partkey' AS "column", '{"mapping": {' || (SELECT string_agg('"' || k || '": -' || k, ', ' ORDER BY k)
+            FROM (SELECT CAST(i AS VARCHAR) AS k FROM range(3, 900, 3) r(i))) || '}}' AS params,
+        (SELECT count(*) FROM part WHERE p_partkey % 3 = 0 AND p_partkey BETWEEN 3 AND 899) AS rows_affected
+    UNION ALL SELECT 2, 'p_brand', '{"mapping": {"a": "b"}}', 0""",
+    on_locations=False,
+)
 query(
     "standardize_column_names",
     lambda t: ops.standardize_column_names(t.part.select(

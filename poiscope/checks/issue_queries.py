@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from poiscope.checks.columns import LINEITEM_COLUMNS, LOCATION_COLUMNS, LOCATION_TYPES, union_per_column
-from poiscope.checks.profile_queries import SCORE, SCORE_VALUE, duplicates_sql, missing_sql
+from poiscope.checks.profile_queries import SCORE, SCORE_VALUE, duplicates_sql, keys_sql, missing_sql
 from poiscope.checks.registry import query
 from poiscope.functions import roles
 from poiscope.operators import grading, issues as ops, profile
@@ -197,6 +197,9 @@ FOUND = f"""WITH gaps AS ({GAPS_SQL}), outliers AS ({OUTLIER_SQL}),
     UNION ALL SELECT 'json_columns', 'json_text', "column", NULL, NULL FROM ({JSON_SQL})
     UNION ALL SELECT 'category_hierarchy_issues', 'category_hierarchy', parent_column || '_to_' || child_column, first_parents, inconsistent_parents
         FROM ({SUMMARY.format(detail=LOCATION_HIERARCHY)})
+    UNION ALL SELECT 'potential_primary_keys', 'key_candidate', "column", NULL, distinct_count
+        FROM ({keys_sql('(SELECT DISTINCT * FROM locations)', LOCATION_COLUMNS)})
+        WHERE (SELECT duplicate_count FROM ({duplicates_sql('locations')})) > 0
     UNION ALL SELECT 'location_data_issues', issue_type, "column", NULL, affected_rows FROM ({LOCATION_SQL}))"""
 query(
     "find_issues",
@@ -310,6 +313,7 @@ query(
 SAID = """CASE family WHEN 'missing_values' THEN 'Found ' || n || ' columns with missing values'
     WHEN 'critical_missing_fields' THEN 'Found ' || n || ' critical columns with missing values'
     WHEN 'duplicate_rows' THEN 'Found ' || CAST(total AS BIGINT) || ' duplicate rows'
+    WHEN 'potential_primary_keys' THEN 'Consider using one of these columns as a primary key: ' || array_to_string(names[1:3], ', ')
     WHEN 'type_issues' THEN 'Found ' || n || ' columns with potential data type issues'
     WHEN 'outliers' THEN 'Found outliers in ' || n || ' numeric columns'
     WHEN 'outlier_impact' THEN 'Found outliers in ' || n || ' price or quantity columns with potential business impact'
@@ -324,7 +328,7 @@ query(
     lambda t: grading.cleaning_recommendations(ops.find_issues(t.locations, ["location_id"])).withColumn(
         "actions", F.array_join("actions", "; ")
     ),
-    f"""{FOUND}, counted AS (SELECT family, count(*) AS n, sum(value) AS total FROM found GROUP BY family)
+    f"""{FOUND}, counted AS (SELECT family, count(*) AS n, sum(value) AS total, list_sort(list_distinct(list("column"))) AS names FROM found GROUP BY family)
     SELECT position, title AS issue, {SAID} AS description, actions
     FROM counted JOIN (VALUES {RULES}) AS r(position, family, title, actions) USING (family)""",
 )

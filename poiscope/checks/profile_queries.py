@@ -104,7 +104,7 @@ query("address_quality", lambda t: ops.address_quality(t.locations), _missing_an
 query(
     "phone_quality",
     lambda t: ops.phone_quality(t.locations),
-    _missing_and_sql("phone", "invalid", r"NOT regexp_matches(phone, '^\+?[0-9()\s-]{7,20}$')"),
+    _missing_and_sql("phone", "invalid", r"NOT regexp_matches(phone, '^\+?[0-9\-\(\)\s]{7,20}$')"),
 )
 
 # Text dates by the first format that reads half of the rows; the free reading needs a year in front.
@@ -168,7 +168,7 @@ query(
     UNION ALL SELECT 'location_data', 'null_pct', {pct('count(*) FILTER (WHERE latitude IS NULL OR longitude IS NULL)')} FROM locations
     UNION ALL SELECT 'phone_numbers', 'missing_pct', missing_pct FROM m WHERE "column" = 'phone'
     UNION ALL SELECT 'phone_numbers', 'invalid_pct',
-        {pct(r"count(*) FILTER (WHERE NOT regexp_matches(phone, '^\+?[0-9()\s-]{7,20}$'))")} FROM locations""",
+        {pct(r"count(*) FILTER (WHERE NOT regexp_matches(phone, '^\+?[0-9\-\(\)\s]{7,20}$'))")} FROM locations""",
 )
 
 
@@ -216,7 +216,7 @@ query(
             _two("location_data", "latitude", "invalid", f"count(*) - count(*) FILTER (WHERE {VALID})"),
             _two("location_data", "latitude", "null", "count(*) FILTER (WHERE latitude IS NULL OR longitude IS NULL)"),
             _two("addresses", "address", "incomplete", "count(*) FILTER (WHERE length(address) < 10)"),
-            _two("phone_numbers", "phone", "invalid", r"count(*) FILTER (WHERE NOT regexp_matches(phone, '^\+?[0-9()\s-]{7,20}$'))"),
+            _two("phone_numbers", "phone", "invalid", r"count(*) FILTER (WHERE NOT regexp_matches(phone, '^\+?[0-9\-\(\)\s]{7,20}$'))"),
             _two("business_names", "name", "duplicate", NAME_REPEATS),
             f"SELECT 'scores', NULL, 'quality_score', {SCORE_VALUE}, NULL FROM o, d",
             "SELECT 'scores', NULL, 'completeness', round_even(100.0 - miss, 1), NULL FROM o",
@@ -318,7 +318,7 @@ query("size_profile", lambda t: ops.size_profile(t.locations), _size_sql("locati
 query("size_profile_documents", lambda t: ops.size_profile(t.documents), _size_sql("documents", DOCUMENT_TYPES), on_locations=False)
 
 
-def _keys_sql(table: str, columns) -> str:
+def keys_sql(table: str, columns) -> str:
     return union_per_column(
         columns,
         f"""SELECT '{{c}}' AS "column", count(DISTINCT {{c}}) AS distinct_count FROM {table}
@@ -327,8 +327,13 @@ def _keys_sql(table: str, columns) -> str:
 
 
 CUSTOMER_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
-query("key_candidates", lambda t: ops.key_candidates(t.locations), _keys_sql("locations", LOCATION_COLUMNS))
-query("key_candidates_customer", lambda t: ops.key_candidates(t.customer), _keys_sql("customer", CUSTOMER_COLUMNS), on_locations=False)
+query("key_candidates", lambda t: ops.key_candidates(t.locations), keys_sql("locations", LOCATION_COLUMNS))
+query(
+    "distinct_row_keys",
+    lambda t: ops.distinct_row_keys(t.locations),
+    keys_sql("(SELECT DISTINCT * FROM locations)", LOCATION_COLUMNS),
+)
+query("key_candidates_customer", lambda t: ops.key_candidates(t.customer), keys_sql("customer", CUSTOMER_COLUMNS), on_locations=False)
 
 MIXED_COLUMNS = NOT_NULL_TEXT
 
@@ -356,8 +361,8 @@ query(
 
 # Type inference: one branch per column.
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
-URL = r"^https?://([-\w.]|%[0-9a-fA-F]{2})+"
-PHONE = r"^\+?[0-9\s()-]{7,20}$"
+URL = r"^https?://(?:[-\w.]|(?:%[0-9a-fA-F]{2}))+"
+PHONE = r"^\+?[0-9\s\(\)-]{7,20}$"
 DATE = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}$"
 KIND_NAMES = {"bigint": "numeric", "int": "numeric", "double": "numeric", "date": "datetime", "timestamp_ntz": "datetime"}
 

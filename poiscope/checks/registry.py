@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poiscope.sources.locations import LOCATIONS_CTE, read_table, stored_locations
+from poiscope.sources.locations import LOCATIONS_CTE, locations, read_table, stored_locations
 
 
 class Tables:
@@ -19,7 +19,9 @@ class Tables:
 
     @cached_property
     def locations(self) -> DataFrame:
-        return stored_locations(self.spark, self.directory)
+        """Stored once where the session names a shared folder, else derived in each query."""
+        named = self.spark.conf.get("spark.checkpoint.dir", None)
+        return stored_locations(self.spark, self.directory) if named else locations(self.spark, self.directory)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

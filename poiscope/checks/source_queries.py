@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
 from poiscope.checks.columns import LINEITEM_COLUMNS
 from poiscope.checks.location_queries import DENSITY, OPEN, RETAIL
 from poiscope.checks.profile_queries import missing_sql
 from poiscope.checks.registry import query
-from poiscope.operators import locations as analyses, profile
+from poiscope.operators import cleaning, locations as analyses, profile
 from poiscope.plans.durable import scratch_path
-from poiscope.sources import catalog, files
+from poiscope.sources import catalog, files, sinks
 
 # The provided tables with their numbers of columns.
 TABLE_WIDTHS = {
@@ -73,7 +78,7 @@ query("export_csv", _csv_copy, "SELECT location_id, name, chain_id, address, lat
 def _csv_documents(t):
     """Whole texts, with their quotes and line breaks."""
     path = files.export_csv({"documents": t.documents}, scratch_path(t.spark, "csv"))["documents"]
-    return files.read_exported_csv(t.spark, path, t.documents.schema)
+    return files.read_exported_csv(t.spark, path, t.documents.schema, multi_line=True)
 
 
 query("export_csv_documents", _csv_documents, "SELECT * FROM documents", on_locations=False)
@@ -116,4 +121,75 @@ def _json_copy(t):
 
 
 query("export_results_json", _json_copy, missing_sql("lineitem", LINEITEM_COLUMNS), on_locations=False)
-query("file_manifest", lambda t: files.file_manifest(t.spark, t.directory, "*.parquet"))
+query(
+    "manifest_documents",
+    lambda t: files.manifest(t.documents, "doc_id", "text"),
+    "SELECT doc_id AS key, CAST(strlen(text) AS BIGINT) AS length, md5(text) AS digest FROM documents",
+    on_locations=False,
+)
+query(
+    "manifest_pages",
+    lambda t: files.manifest(t.pages, "url", "html"),
+    "SELECT url AS key, CAST(strlen(html) AS BIGINT) AS length, md5(html) AS digest FROM pages",
+    on_locations=False,
+)
+query(
+    "manifest_changes",
+    lambda t: files.manifest_changes(
+        files.manifest(t.documents.filter("doc_id % 5 <> 0"), "doc_id", "text"),
+        files.manifest(t.documents.filter("doc_id % 7 <> 0").selectExpr("doc_id", "replace(text, 'an', 'en') AS text"), "doc_id", "text"),
+    ),
+    """SELECT doc_id AS key, CASE WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'removed' ELSE 'modified' END AS change
+        FROM documents WHERE (doc_id % 5 = 0) <> (doc_id % 7 = 0)
+            OR (doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND text <> replace(text, 'an', 'en'))""",
+    on_locations=False,
+)
+
+VIEWS = "poiscope_listed_"
+
+
+def _listed(t):
+    """Names of the session's views of all tables, each required to exist."""
+    for name in TABLE_WIDTHS:
+        getattr(t, name).createOrReplaceTempView(VIEWS + name)
+        catalog.require_table(t.spark, VIEWS + name)
+    return catalog.list_tables(t.spark).filter(F.col("name").startswith(VIEWS))
+
+
+query(
+    "list_tables",
+    _listed,
+    " UNION ALL ".join(f"SELECT '{VIEWS}{n}' AS name" for n in TABLE_WIDTHS),
+    on_locations=False,
+)
+
+
+def _stamped(t) -> tuple[str, datetime]:
+    """A table name and a time nobody else uses."""
+    return f"poi_{uuid.uuid4().hex}", datetime.now()
+
+
+def _loaded(t):
+    """Written as CSV, loaded into a table of the catalog and read from there."""
+    path = files.export_csv({"customer": t.customer}, scratch_path(t.spark, "loaded"))["customer"]
+    copy = f"{scratch_path(t.spark, 'parquet')}/{_stamped(t)[0]}.parquet"
+    files.read_exported_csv(t.spark, path, t.customer.schema).write.parquet(copy)
+    return files.register_loaded_file(t.spark, copy)[1]
+
+
+query("register_loaded_file", _loaded, "SELECT * FROM customer", on_locations=False)
+
+
+def _saved(t):
+    name, now = _stamped(t)
+    return t.spark.table(sinks.save_cleaned(cleaning.basic_clean(t.locations).frame, name, now))
+
+
+def _replaced(t):
+    name, _ = _stamped(t)
+    sinks.replace_cleaned(t.supplier, name)
+    return t.spark.table(sinks.replace_cleaned(t.part, name))
+
+
+query("save_cleaned", _saved, "SELECT DISTINCT * REPLACE (coalesce(address, 'Unknown') AS address) FROM locations")
+query("replace_cleaned", _replaced, "SELECT * FROM part", on_locations=False)

@@ -152,10 +152,36 @@ def chunks(items: Sequence, size: int) -> list[list]:
 
 
 def nested_as_text(field: T.StructField) -> Column:
-    """JSON text of a nested value, with NULL fields kept and full time precision."""
+    """JSON text of a nested value, with NULL fields kept and full time precision; map entries in the order of their keys."""
     stamp = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     options = {"timestampFormat": stamp + "XXX", "timestampNTZFormat": stamp, "ignoreNullFields": "false"}
-    return F.to_json(F.struct(col(field.name)), options)
+    return F.to_json(F.struct(_ordered(col(field.name), field.dataType).alias(field.name)), options)
+
+
+def _ordered(value: Column, kind: T.DataType) -> Column:
+    """The value with all maps in it as entries sorted by key."""
+    if isinstance(kind, T.MapType):
+        return F.array_sort(
+            F.transform(
+                F.map_entries(value),
+                lambda e: F.struct(F.to_json(F.struct(_ordered(e["key"], kind.keyType))).alias("key"), _ordered(e["value"], kind.valueType).alias("value")),
+            ),
+            lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0),
+        )
+    if isinstance(kind, T.ArrayType) and _has_map(kind):
+        return F.transform(value, lambda e: _ordered(e, kind.elementType))
+    if isinstance(kind, T.StructType) and _has_map(kind):
+        fields = [_ordered(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType)
 
 
 def row_fingerprint(df: DataFrame) -> list[Column]:

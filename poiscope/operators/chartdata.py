@@ -28,6 +28,8 @@ def missing_top(df: DataFrame, n: int = 10) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(a, b, correlation) of every pair of numeric columns, over the rows where both have a value."""
     columns = list(columns or numeric_columns(df))
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, correlation double")
     frames = []
     for part in chunks(list(combinations(columns, 2)), CORRELATIONS_PER_SCAN):
         one = df.agg(
@@ -40,9 +42,10 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Rows per equal-width bin (the last bin includes the maximum); empty bins are left out.
 
-    A column of one value is given a range of one around it.
+    A column of one value is given a range of one around it. Infinite values are outside every bin.
     """
-    value = present(df, column).cast("double")
+    number = present(df, column).cast("double")
+    value = F.when(F.abs(number) < F.lit(float("inf")), number)
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
     lo, hi = ends["lo"], ends["hi"]
     if lo is None:

@@ -23,8 +23,8 @@ from poiscope.plans.longform import spread, union_all
 from poiscope.plans.ordering import fill_along, with_index
 from poiscope.plans.quantiles import exact_quantiles
 
-# Mappings up to this size become one CASE expression; larger ones are joined.
-CASE_ENTRIES = 200
+# A mapping is held by the driver; up to this many entries it is sent to every task instead of being joined by a shuffle.
+SENT_ENTRIES = 100_000
 
 
 @dataclass(frozen=True)
@@ -316,20 +316,11 @@ def _standardize(fold: _Fold, step: StandardizeValues) -> None:
     name, mapping = step.column, dict(step.mapping)
     if not mapping:
         return
-    small = len(mapping) <= CASE_ENTRIES
-    said = {str(k): v for k, v in mapping.items()} if small else f"{len(mapping)} entries"
-    number = fold.note("Standardize Values", name, {"mapping": said})
-    if small:
-        fold.flag(number, col(name).isin(list(mapping)))
-        pick = None
-        for old, new in mapping.items():
-            pick = (F.when if pick is None else pick.when)(col(name) == F.lit(old), F.lit(new))
-        fold.df = fold.df.withColumn(name, pick.otherwise(col(name)))
-        return
-    kind = fold.df.schema[name].dataType
-    schema = T.StructType([T.StructField("_old", kind), T.StructField("_new", kind), T.StructField("_hit", T.BooleanType())])
-    table = fold.df.sparkSession.createDataFrame([(k, v, True) for k, v in mapping.items()], schema)
-    fold.df = fold.df.join(table, col(name) == F.col("_old"), "left")
+    number = fold.note("Standardize Values", name, {"mapping": {str(k): v for k, v in mapping.items()}})
+    entries = fold.df.sparkSession.createDataFrame([(k, v, True) for k, v in mapping.items()], ["_old", "_new", "_hit"])
+    if len(mapping) <= SENT_ENTRIES:
+        entries = F.broadcast(entries)
+    fold.df = fold.df.join(entries, col(name) == F.col("_old"), "left")
     fold.flag(number, F.col("_hit").isNotNull())
     fold.df = fold.df.withColumn(name, F.when(F.col("_hit"), F.col("_new")).otherwise(col(name))).drop("_old", "_new", "_hit")
 

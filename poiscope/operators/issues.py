@@ -24,7 +24,7 @@ from poiscope.functions.exprs import (
     rounded,
     text_columns,
 )
-from poiscope.operators.profile import duplicate_rows, key_candidates
+from poiscope.operators.profile import distinct_row_keys, duplicate_rows
 from poiscope.plans.distincts import exact_distincts, few_valued
 from poiscope.plans.longform import per_column, per_text_column, tally, union_all
 from poiscope.plans.quantiles import exact_quantiles
@@ -296,8 +296,8 @@ def find_issues(df: DataFrame, order_by: Sequence[str], overrides: Overrides = N
         ),
         shaped(location_issues(df, overrides), "location_data_issues", F.col("issue_type"), c, none, F.col("affected_rows")),
     ]
-    # Keys are proposed only where there are duplicates to prevent.
-    keys = key_candidates(df)
+    # Keys are proposed only where there are duplicates to prevent: columns that tell the distinct rows apart.
     has_copies = copies.select((F.col("duplicate_count") > 0).alias("yes")).scalar()
-    frames.append(shaped(keys.filter(has_copies), "potential_primary_keys", text("key_candidate"), c, none, F.col("distinct_count")))
+    keys = distinct_row_keys(df).filter(has_copies)
+    frames.append(shaped(keys, "potential_primary_keys", text("key_candidate"), c, none, F.col("distinct_count")))
     return union_all(frames)

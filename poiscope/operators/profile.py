@@ -32,7 +32,7 @@ from poiscope.plans.longform import per_column, per_text_column, spread, tally,
 
 # Limits, patterns and date formats of the profile rules.
 SHORT_ADDRESS = 10
-PHONE_PATTERN = r"^\+?[0-9()\s-]{7,20}$"
+PHONE_PATTERN = r"^\+?[0-9\-\(\)\s]{7,20}$"
 DATE_FORMATS = {
     "yyyy-M-d": "^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$",
     "M/d/yyyy": "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$",
@@ -205,6 +205,14 @@ def key_candidates(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     )
 
 
+def distinct_row_keys(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Columns that would be keys if every row were kept once: `key_candidates` of the distinct rows."""
+    ids = row_fingerprint(df)
+    names = list(columns or comparable_columns(df))
+    once = df.withColumns({f"_row{i}": c for i, c in enumerate(ids)}).dropDuplicates([f"_row{i}" for i in range(len(ids))])
+    return key_candidates(once.select(*[col(n) for n in names]), names)
+
+
 # What a piece of text looks like, tried in this order; anything else is text.
 VALUE_CLASSES = {
     "number": r"^[+-]?[0-9]+([.][0-9]+)?$",

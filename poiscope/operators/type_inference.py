@@ -13,9 +13,9 @@ from poiscope.plans.longform import per_column, per_text_column
 
 # The text patterns; `date` needs one matching value, the others all of them.
 DATE_TEXT = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}$"
-PHONE_TEXT = r"^\+?[0-9\s()-]{7,20}$"
+PHONE_TEXT = r"^\+?[0-9\s\(\)-]{7,20}$"
 EMAIL_TEXT = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
-URL_TEXT = r"^https?://([-\w.]|%[0-9a-fA-F]{2})+"
+URL_TEXT = r"^https?://(?:[-\w.]|(?:%[0-9a-fA-F]{2}))+"
 CATEGORICAL_BELOW = 20
 CATEGORICAL_RATIO = 0.1
 SHOWN_CATEGORIES = 10

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from poiscope.functions.exprs import chunks, col, present
 
@@ -29,12 +29,20 @@ def estimated_distincts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]
     return found
 
 
+def as_text(df: DataFrame, column: str) -> Column:
+    """A non-missing value as text; negative zero is zero, as in every comparison."""
+    value = present(df, column)
+    if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
+        value = F.when(value == 0, F.lit(0).cast(df.schema[column].dataType)).otherwise(value)
+    return value.cast("string")
+
+
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, occurrences) of the non-missing values as text, all columns in one shuffle."""
     if not columns:
         return df.sparkSession.createDataFrame([], "`column` string, value string, occurrences bigint")
     return (
-        df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), present(df, c).cast("string").alias("value")) for c in columns])))
+        df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), as_text(df, c).alias("value")) for c in columns])))
         .filter(F.col("value").isNotNull())
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("occurrences"))

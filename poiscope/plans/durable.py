@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: the session's checkpoint directory.
 
-    A local temporary folder is used only when the session names none, as in tests.
+    A session that names none gets a temporary folder if it runs in one process; on a cluster that
+    folder would be out of reach of the executors, so it is an error there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
         configured = tempfile.mkdtemp(prefix="poiscope-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured

@@ -13,17 +13,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 NULL_MARK = r"\N"
 STAMP = "%Y%m%d%H%M%S"
 
-# Content is hashed up to this size; the reader cannot hold more than 2 GiB of a file in a row.
-HASHED_BYTES = 256 * 1024 * 1024
 
-
-def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema=None, multi_line: bool = False) -> DataFrame:
     """CSV with a header. Without a schema the types are inferred, which reads the data once more.
 
-    With `multi_line` a quoted value may span lines, but one file is then read by one task; turn
-    it off for large files whose values do not.
+    Large files are split among tasks. Files whose quoted values span lines need `multi_line`, and
+    one file is then read by one task. Records that do not fit are an error, so values over several
+    lines are not torn silently.
     """
-    reader = spark.read.options(header="true", escape='"', multiLine=str(multi_line).lower())
+    reader = spark.read.options(header="true", escape='"', multiLine=str(multi_line).lower(), mode="FAILFAST")
     return (reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")).csv(path)
 
 
@@ -31,19 +29,21 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """Read by file extension."""
+def read_any(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Read by file extension; `multi_line` is for CSV."""
     extension = os.path.splitext(path.rstrip("/"))[1].lower()
     if extension == ".csv":
-        return read_csv(spark, path)
+        return read_csv(spark, path, multi_line=multi_line)
     if extension == ".parquet":
         return read_parquet(spark, path)
     raise ValueError(f"unsupported file format {extension!r}; use CSV or Parquet")
 
 
-def register_loaded_file(spark: SparkSession, path: str, now: datetime | None = None) -> tuple[str, DataFrame]:
+def register_loaded_file(
+    spark: SparkSession, path: str, now: datetime | None = None, multi_line: bool = False
+) -> tuple[str, DataFrame]:
     """Load a file into a new table `<file>_<yyyymmddHHMMSS>`; returns its name and the table."""
-    df = read_any(spark, path)
+    df = read_any(spark, path, multi_line)
     stem = re.sub(r"[^A-Za-z0-9_]", "_", os.path.basename(path.rstrip("/")).split(".")[0])
     name = f"{stem}_{(now or datetime.now()).strftime(STAMP)}"
     df.write.mode("errorifexists").saveAsTable(name)
@@ -61,9 +61,10 @@ def export_csv(results: Mapping[str, DataFrame], directory: str) -> dict[str, st
     return paths
 
 
-def read_exported_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Read back what `export_csv` wrote."""
-    return spark.read.options(header="true", nullValue=NULL_MARK, escape='"', multiLine="true").schema(schema).csv(path)
+def read_exported_csv(spark: SparkSession, path: str, schema, multi_line: bool = False) -> DataFrame:
+    """Read back what `export_csv` wrote; `multi_line` where values hold line breaks."""
+    options = {"header": "true", "nullValue": NULL_MARK, "escape": '"', "multiLine": str(multi_line).lower(), "mode": "FAILFAST"}
+    return spark.read.options(**options).schema(schema).csv(path)
 
 
 def export_results_json(metrics: DataFrame, directory: str, name: str, now: datetime | None = None) -> str:
@@ -73,28 +74,30 @@ def export_results_json(metrics: DataFrame, directory: str, name: str, now: date
     return path
 
 
-def file_manifest(spark: SparkSession, directory: str, pattern: str = "*", hashed_bytes: int = HASHED_BYTES) -> DataFrame:
-    """(path, length, modified, digest) of the files below a directory.
+def manifest(df: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, length, digest) per row: size of the content in bytes and its MD5."""
+    value = F.col(content)
+    return df.select(
+        F.col(key).alias("key"), F.octet_length(value).cast("long").alias("length"), F.md5(value.cast("binary")).alias("digest")
+    )
 
-    The digest is the MD5 of the content. A file above `hashed_bytes` would have to pass through
-    one row whole, so it is identified by length and modification time instead.
-    """
-    def listed() -> DataFrame:
-        return (
-            spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(directory)
-        )
 
-    small = listed().filter(F.col("length") <= hashed_bytes)
-    large = listed().filter(F.col("length") > hashed_bytes)
-    stamp = F.concat_ws(":", F.lit("stat"), F.col("length"), F.unix_millis("modificationTime"))
-    columns = ["path", "length", F.col("modificationTime").alias("modified")]
-    return small.select(*columns, F.md5("content").alias("digest")).unionByName(large.select(*columns, stamp.alias("digest")))
+def file_manifest(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
+    """(key, length, digest) of the files below a directory, the key being the path.
+
+    Files pass through one row each; the reader refuses files of more than 2 GiB.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(directory)
+    return manifest(listed, "path", "content")
 
 
 def manifest_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(path, change): added, removed or modified files between two manifests."""
-    old, new = before.select("path", F.col("digest").alias("old")), after.select("path", F.col("digest").alias("new"))
+    """(key, change): added, removed or modified entries between two manifests."""
+    old = before.select("key", F.col("digest").alias("old"), F.lit(True).alias("was"))
+    new = after.select("key", F.col("digest").alias("new"), F.lit(True).alias("is"))
     change = (
-        F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "modified")
+        F.when(F.col("was").isNull(), "added")
+        .when(F.col("is").isNull(), "removed")
+        .when(~F.col("old").eqNullSafe(F.col("new")), "modified")
     )
-    return old.join(new, "path", "full_outer").withColumn("change", change).filter(F.col("change").isNotNull()).select("path", "change")
+    return old.join(new, "key", "full_outer").withColumn("change", change).filter(F.col("change").isNotNull()).select("key", "change")

@@ -19,6 +19,7 @@ BASE_SQL = """
 SELECT
   o.o_orderkey AS location_id,
   CASE WHEN o.o_orderkey % 211 = 0 THEN NULL
+       WHEN o.o_orderkey % 331 = 7 THEN 'CafÃ© ' || CAST(o.o_orderkey % 50 AS STRING)
        WHEN c.c_custkey % 3 = 0 THEN 'Chain ' || CAST(c.c_custkey % 60 AS STRING)
        ELSE 'Shop ' || CAST(o.o_orderkey % 9000 AS STRING) END AS name,
   CASE WHEN c.c_custkey % 3 = 0 THEN 'ch' || CAST(c.c_custkey % 60 AS STRING)
@@ -81,7 +82,7 @@ SELECT
        ELSE lpad(CAST(16 + o.o_orderkey % 7 AS STRING), 2, '0') || ':00:00' END AS sunday_close,
   CASE o.o_orderstatus WHEN 'P' THEN 'closed' ELSE 'open' END AS open_closed_status,
   CAST(o.o_orderdate AS DATE) AS opened_on,
-  CASE WHEN o.o_orderkey % 71 = 0 THEN 'unknown'
+  CASE WHEN o.o_orderkey % 71 = 35 THEN 'unknown'
        ELSE CAST(CAST(o.o_orderdate AS DATE) AS STRING) END AS opened_date_text,
   CAST((o.o_orderkey * 37) % 128 AS DOUBLE) / 128 AS data_quality_confidence_score,
   CASE WHEN o.o_orderkey % 13 = 0 THEN NULL ELSE CAST(o.o_orderkey % 101 AS DOUBLE) END AS popularity_score,

@@ -202,3 +202,47 @@ def test_shares_and_counts_add_up(places):
         assert 0 <= r.missing_count <= r.row_count
     hist = chartdata.histogram(places, "price_amount").agg(F.sum("rows")).first()[0]
     assert hist == places.filter("price_amount IS NOT NULL").count()
+
+
+def test_negative_zero_is_zero(spark):
+    from poiscope.plans.distincts import exact_distincts
+
+    df = spark.createDataFrame([(0.0,), (-0.0,), (1.5,)], "x double")
+    assert exact_distincts(df, ["x"]).first()["distinct_count"] == 2
+
+
+def test_infinite_values_are_outside_every_bin(spark):
+    from poiscope.operators.chartdata import correlation_matrix, histogram
+
+    df = spark.createDataFrame([(0.0,), (1.0,), (float("inf"),), (float("-inf"),), (None,)], "x double")
+    assert [(r["bin"], r["rows"]) for r in histogram(df, "x", 2).orderBy("bin").collect()] == [(0, 1), (1, 1)]
+    assert correlation_matrix(df).count() == 0
+
+
+def test_maps_in_another_order_are_equal(spark):
+    from poiscope.operators.profile import duplicate_rows
+
+    df = spark.sql("SELECT map('a', 1, 'b', 2) AS m, array(map(1, map('x', 1, 'y', 2))) AS n UNION ALL "
+                   "SELECT map('b', 2, 'a', 1), array(map(1, map('y', 2, 'x', 1)))")
+    assert duplicate_rows(df).first()["duplicate_count"] == 1
+
+
+def test_keys_of_distinct_rows(spark):
+    from poiscope.operators.profile import distinct_row_keys, key_candidates
+
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (3, None)], "k int, s string")
+    assert key_candidates(df).count() == 0
+    assert [tuple(r) for r in distinct_row_keys(df).collect()] == [("k", 3)]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from poiscope.plans.durable import shared_dir
+
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda *a: None),
+        sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", setCheckpointDir=None),
+    )
+    with pytest.raises(ValueError):
+        shared_dir(session)

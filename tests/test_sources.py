@@ -27,14 +27,16 @@ def test_sample_is_exact_and_repeatable(spark):
     assert first == {r.id for r in catalog.random_sample(df.repartition(7), ["id"], 100, seed=1).collect()}
     assert first != {r.id for r in catalog.random_sample(df, ["id"], 100, seed=2).collect()}
     with pytest.raises(ValueError):
-        catalog.random_sample(df, ["id"], 10)
+        catalog.random_sample(df, ["id"], 0)
+    assert len({r.id for r in catalog.random_sample(df, ["id"], 3).collect()}) == 3
+    assert catalog.random_sample(df, ["id"], 200_000).count() == 1000
 
 
 def test_csv_keeps_null_empty_and_line_breaks(spark, tmp_path):
     data = [(1, None), (2, ""), (3, ' "a", b\nc '), (None, None), (4, "\\N x")]
     df = spark.createDataFrame(data, "id int, s string")
     path = files.export_csv({"t": df}, str(tmp_path))["t"]
-    back = files.read_exported_csv(spark, path, df.schema)
+    back = files.read_exported_csv(spark, path, df.schema, multi_line=True)
     assert sorted(map(tuple, back.collect()), key=str) == sorted(data, key=str)
 
 
@@ -71,9 +73,20 @@ def test_manifest_and_changes(spark, tmp_path):
     (tmp_path / "b.txt").write_text("2")
     (tmp_path / "c.txt").write_text("three")
     changes = files.manifest_changes(before, files.file_manifest(spark, str(tmp_path)))
-    assert {(r.path.rsplit("/", 1)[1], r.change) for r in changes.collect()} == {("b.txt", "modified"), ("c.txt", "added")}
-    large = files.file_manifest(spark, str(tmp_path), hashed_bytes=2)
-    assert sum(r.digest.startswith("stat:") for r in large.collect()) == 2
+    assert {(r.key.rsplit("/", 1)[1], r.change) for r in changes.collect()} == {("b.txt", "modified"), ("c.txt", "added")}
+
+
+def test_manifest_of_rows(spark):
+    df = spark.createDataFrame([(1, "one"), (2, None), (3, "é")], "k int, s string")
+    rows = {r.key: (r.length, r.digest) for r in files.manifest(df, "k", "s").collect()}
+    assert rows == {1: (3, "f97c5d29941bfb1b2fdab0874906ab82"), 2: (None, None), 3: (2, rows[3][1])}
+
+
+def test_broken_csv_is_an_error(spark, tmp_path):
+    (tmp_path / "broken.csv").write_text('id,name\n1,"a\nb"\n2,c\n')
+    assert files.read_csv(spark, str(tmp_path / "broken.csv"), multi_line=True).count() == 2
+    with pytest.raises(Exception, match="MALFORMED"):
+        files.read_csv(spark, str(tmp_path / "broken.csv"), schema="id int, name string").collect()
 
 
 def test_filtered_view(spark, places):
