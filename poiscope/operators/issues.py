@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from poiscope.functions import roles
 from poiscope.functions.exprs import (
+    chunks,
     col,
     first_by_sql,
     missing_sql,
@@ -26,7 +27,7 @@ from poiscope.functions.exprs import (
 )
 from poiscope.operators.profile import distinct_row_keys, duplicate_rows
 from poiscope.plans.distincts import exact_distincts, few_valued
-from poiscope.plans.longform import per_column, per_text_column, tally, union_all
+from poiscope.plans.longform import per_column, per_text_column, spread, tally, union_all
 from poiscope.plans.quantiles import exact_quantiles
 
 # Limits and patterns of the issue rules.
@@ -34,6 +35,7 @@ CATEGORY_LIKE_BELOW = 15
 DATE_IN_TEXT = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}"
 NUMERIC_SHARE = 0.8
 FENCE = 1.5
+OUTLIERS_PER_SCAN = 24
 SHORT_TEXT = 8
 LISTED_PARENTS = 10
 
@@ -168,30 +170,23 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, overrides:
         schema = "`column` string, q1 double, q3 double, outlier_count bigint, impact_min double, impact_max double, impact_mean double, impact_total double"
         return df.sparkSession.createDataFrame([], schema)
     money = set(_found(df, "money_or_quantity", overrides))
-    pairs = F.array(*[F.struct(F.lit(i).alias("target"), present(df, c).cast("double").alias("v")) for i, c in enumerate(kept)])
-
-    def of_target(values: Sequence) -> Column:
-        return F.get(F.array(*[F.lit(v) for v in values]), F.col("target"))
-
-    # Each row is spread into (column, value) pairs that are combined inside the task.
-    v = F.col("v")
-    beyond = (v < of_target([bounds[c][2] for c in kept])) | (v > of_target([bounds[c][3] for c in kept]))
-    costly = F.when(beyond & of_target([c in money for c in kept]), v)
-    counted = (
-        df.select(F.inline(pairs))
-        .groupBy("target")
-        .agg(
-            F.count_if(beyond).alias("outlier_count"), F.min(costly).alias("impact_min"), F.max(costly).alias("impact_max"),
-            F.avg(costly).alias("impact_mean"), F.sum(costly).alias("impact_total"),
-        )
-        .filter(F.col("outlier_count") > 0)
-    )
-    return counted.select(
-        of_target(kept).alias("column"),
-        of_target([bounds[c][0] for c in kept]).alias("q1"),
-        of_target([bounds[c][1] for c in kept]).alias("q3"),
-        *[f for f in fields if f not in ("column", "q1", "q3")],
-    )
+    frames = []
+    for part in chunks(kept, OUTLIERS_PER_SCAN):
+        terms = []
+        for i, c in enumerate(part):
+            v, (_, _, low, high) = present(df, c).cast("double"), bounds[c]
+            beyond = (v < F.lit(low)) | (v > F.lit(high))
+            costly = F.when(beyond, v) if c in money else F.lit(None).cast("double")
+            terms += [
+                F.count_if(beyond).alias(f"n{i}"),
+                *[f(costly).alias(f"{label}{i}") for label, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("total", F.sum))],
+            ]
+        rows = [
+            (F.lit(c), F.lit(bounds[c][0]), F.lit(bounds[c][1]), *[F.col(f"{label}{i}") for label in ("n", "min", "max", "mean", "total")])
+            for i, c in enumerate(part)
+        ]
+        frames.append(spread(df.agg(*terms), fields, rows))
+    return union_all(frames).filter(F.col("outlier_count") > 0)
 
 
 # --- categories ------------------------------------------------------------------------------

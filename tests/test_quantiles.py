@@ -16,16 +16,16 @@ def check(spark, values, **limits):
 
 
 def test_many_rounds(spark):
-    check(spark, np.random.default_rng(1).lognormal(0, 5, 5000), final_candidates=5, sampled=60)
+    check(spark, np.random.default_rng(1).lognormal(0, 5, 5000), final_candidates=5, sketch_size=8, margin=0.05)
 
 
 def test_hot_values(spark):
     values = [1.0] * 700 + [2.0] * 700 + list(np.linspace(1, 2, 300)) + [-1e300, 1e300]
-    check(spark, values, final_candidates=3, sampled=50)
+    check(spark, values, final_candidates=3, sketch_size=8, margin=0.02)
 
 
 def test_two_values_only(spark):
-    check(spark, [0.0] * 500 + [1.0] * 501, final_candidates=1, sampled=20)
+    check(spark, [0.0] * 500 + [1.0] * 501, final_candidates=1, sketch_size=8)
 
 
 def test_no_values_and_few_values(spark):
@@ -35,10 +35,10 @@ def test_no_values_and_few_values(spark):
 
 def test_rare_values_missed_by_the_sample(spark):
     df = spark.range(5000).selectExpr("CASE WHEN id % 1000 = 0 THEN CAST(id AS DOUBLE) END AS x")
-    assert exact_quantiles(df, ["x"], [0.5], sampled=10, final_candidates=2) == {"x": [2000.0]}
+    assert exact_quantiles(df, ["x"], [0.5], sketch_size=8, final_candidates=2) == {"x": [2000.0]}
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(values=st.lists(st.integers(-20, 20), min_size=1, max_size=60))
 def test_any_integers(spark, values):
-    check(spark, values, final_candidates=2, sampled=8)
+    check(spark, values, final_candidates=2, sketch_size=8)
