@@ -16,7 +16,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
-from poiscope.functions.exprs import FLOATING_TYPES, NUMERIC_TYPES, col, missing, nested_as_text, present, quoted
+from poiscope.functions.exprs import FLOATING_TYPES, NUMERIC_TYPES, col, comparable_columns, missing, nested_as_text, present, quoted
 from poiscope.operators.issues import outlier_bounds
 from poiscope.operators.profile import analyze, duplicate_rows
 from poiscope.plans.longform import spread, union_all
@@ -25,6 +25,7 @@ from poiscope.plans.quantiles import exact_quantiles
 
 # A mapping is held by the driver; up to this many entries it is sent to every task instead of being joined by a shuffle.
 SENT_ENTRIES = 100_000
+NULL_SPREAD = 1024
 
 
 @dataclass(frozen=True)
@@ -267,10 +268,14 @@ def _convert(fold: _Fold, step: ConvertType) -> None:
         values = fold.plain.filter(present(df, name).isNotNull()).select(col(name).alias("_value")).distinct()
         codes = with_index(values, ["_value"], "_code")
         fold.flag(fold.note("Convert Data Type", name, params), F.lit(True))
+        # Missing values have no code; a second key spreads them, as they would all meet in one task.
+        apart = F.when(present(df, name).isNull(), F.pmod(F.xxhash64(*map(col, comparable_columns(df))), F.lit(NULL_SPREAD))).otherwise(0)
+        coded = codes.withColumn("_apart", F.lit(0).cast("long"))
         fold.df = (
-            fold.df.join(codes, col(name) == F.col("_value"), "left")
+            fold.df.withColumn("_spread", apart.cast("long"))
+            .join(coded, (col(name) == F.col("_value")) & (F.col("_spread") == F.col("_apart")), "left")
             .withColumn(f"{name}_code", F.col("_code"))
-            .drop("_value", "_code")
+            .drop("_value", "_code", "_spread", "_apart")
         )
         return
     if step.target_type == "date":
