@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Paths handed out, by application.
+_SCRATCH: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: the session's checkpoint directory.
@@ -26,7 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """Fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to fresh paths; frames that read them end with it."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for text in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def pinned(df: DataFrame) -> DataFrame:

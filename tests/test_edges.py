@@ -235,6 +235,22 @@ def test_keys_of_distinct_rows(spark):
     assert [tuple(r) for r in distinct_row_keys(df).collect()] == [("k", 3)]
 
 
+def test_scratch_is_removed(spark):
+    import os
+
+    from poiscope.plans import durable
+
+    held = dict(durable._SCRATCH)
+    durable._SCRATCH.clear()
+    path = durable.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    local = path.removeprefix("file://")
+    assert os.path.isdir(local)
+    durable.remove_scratch(spark)
+    assert not os.path.exists(local)
+    durable._SCRATCH.update(held)
+
+
 def test_shared_folder_is_asked_for_on_a_cluster():
     from types import SimpleNamespace
 
