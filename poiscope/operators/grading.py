@@ -37,6 +37,12 @@ def _capital(level: Column) -> Column:
     return F.when(level == "critical", "High").when(level == "warning", "Medium").otherwise("Low")
 
 
+# Texts of graded issues.
+MISSING_SAID = " percentage of missing values in column "
+DUPLICATES_SAID = " percentage of duplicate rows: %.2f%%"
+MIXED_SAID = ("Mixed data types detected in ", " columns")
+
+
 def graded_issues(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(level, type, description, affected_columns, details) for missing values, duplicates and mixed types."""
     per = missing_values(df).withColumn("level", _level(F.col("missing_pct"), limits.missing)).filter(F.col("level").isNotNull())
@@ -44,7 +50,7 @@ def graded_issues(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
         "level",
         F.concat(_prefix(F.col("level")), F.lit("_missing_values")).alias("type"),
         F.concat(
-            _capital(F.col("level")), F.lit(" percentage of missing values in column "), F.col("column"),
+            _capital(F.col("level")), F.lit(MISSING_SAID), F.col("column"),
             F.format_string(": %.2f%%", F.col("missing_pct")),
         ).alias("description"),
         F.array("column").alias("affected_columns"),
@@ -55,7 +61,7 @@ def graded_issues(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     repeats = copies.select(
         "level",
         F.concat(_prefix(F.col("level")), F.lit("_duplicate_rows")).alias("type"),
-        F.concat(_capital(F.col("level")), F.format_string(" percentage of duplicate rows: %.2f%%", F.col("duplicate_pct"))).alias("description"),
+        F.concat(_capital(F.col("level")), F.format_string(DUPLICATES_SAID, F.col("duplicate_pct"))).alias("description"),
         F.array().cast("array<string>").alias("affected_columns"),
         F.create_map(F.lit("count"), F.col("duplicate_count").cast("double"), F.lit("percent"), F.col("duplicate_pct")).alias("details"),
         F.lit(-1).alias("position"),
@@ -64,7 +70,7 @@ def graded_issues(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     blends = mixed.filter(F.size("m") > 0).select(
         F.lit("warning").alias("level"),
         F.lit("mixed_data_types").alias("type"),
-        F.concat(F.lit("Mixed data types detected in "), F.size("m").cast("string"), F.lit(" columns")).alias("description"),
+        F.concat(F.lit(MIXED_SAID[0]), F.size("m").cast("string"), F.lit(MIXED_SAID[1])).alias("description"),
         F.transform("m", lambda s: s["column"]).alias("affected_columns"),
         F.map_from_entries(F.transform("m", lambda s: F.struct(s["column"], F.size(F.split(s["classes"], ", ")).cast("double")))).alias("details"),
         F.lit(-1).alias("position"),
@@ -227,6 +233,7 @@ ADVICE = {
 
 def _describe(family: Column) -> Column:
     n = F.col("n").cast("string")
+    # The description of each family.
     said = {
         "missing_values": F.concat(F.lit("Found "), n, F.lit(" columns with missing values")),
         "critical_missing_fields": F.concat(F.lit("Found "), n, F.lit(" critical columns with missing values")),
