@@ -177,7 +177,9 @@ def items_found(
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, item_id, n_shared, n_item, containment), one row for each item that a document contains."""
     found = docs.select(F.col(id_col).alias("_id"), items_found(benchmark, F.col(text_col), **options).alias("_found"))
-    return found.select(F.col("_id").alias(id_col), F.explode("_found").alias("f")).select(
+    # The outer form keeps the optimizer from testing, and so computing, the array a second time.
+    each = found.select(F.col("_id").alias(id_col), F.explode_outer("_found").alias("f")).filter("f IS NOT NULL")
+    return each.select(
         id_col, "f.item_id", "f.n_shared", "f.n_item", (F.col("f.n_shared") / F.col("f.n_item")).alias("containment")
     )
 
