@@ -26,6 +26,7 @@ from poiscope.llm.perfect_hash import PerfectHash, build
 from poiscope.plans.durable import scratch_path
 
 HOT_SHARE = 2000
+NO_ID = int(np.iinfo(np.int64).min)  # stands for a missing id
 MOST = np.iinfo(np.uint16).max
 INDEX = "shard long, sizes array<long>, bits binary, prints binary, counts binary, last binary"
 PROBE = "id long, a long, b long, target long, dropped boolean"
@@ -57,7 +58,7 @@ def _shard_row(shard: int, frame: pd.DataFrame) -> dict:
         "bits": bits,
         "prints": _print(b[order]).tobytes(),
         "counts": np.minimum(frame["n"].to_numpy(np.int64)[order], MOST).astype(np.uint16).tobytes(),
-        "last": frame["last"].fillna(np.iinfo(np.int64).min).to_numpy(np.int64)[order].tobytes(),
+        "last": frame["last"].to_numpy(np.int64)[order].tobytes(),
     }
 
 
@@ -74,7 +75,8 @@ class _Shard:
         found = slot >= 0
         found[found] = self.prints[slot[found]] == _print(b[found])
         at = slot[found]
-        other = ids.isna().to_numpy()[found] | (ids.fillna(0).to_numpy(np.int64)[found] != self.last[at])
+        ids = ids.to_numpy(np.int64)[found]
+        other = (ids == NO_ID) | (ids != self.last[at])
         dropped = np.zeros(len(a), bool)
         dropped[found] = (self.counts[at] >= min_docs) & other
         return found, dropped
@@ -96,7 +98,8 @@ def drop_repeated_lines(
     if not 1 <= min_docs <= MOST:
         raise ValueError(f"min_docs must be between 1 and {MOST}")
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    row_id = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    base = docs.select(row_id.alias("id"), F.col(text_col).alias("text"))
     long_keys = F.filter(F.transform(lines_of(F.col("text")), _key), lambda k: F.length(k) >= min_chars)
     probes = base.select("id", F.explode(F.array_distinct(F.transform(long_keys, _hash))).alias("h")).select("id", "h.a", "h.b")
 
@@ -143,7 +146,7 @@ def drop_repeated_lines(
     resolved_at = scratch_path(spark, "line-probes")
     probed.write.parquet(resolved_at)
     probed = spark.read.parquet(resolved_at)
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("a", "long"), ("b", "long"))]
+    nothing = [F.lit(0).cast(t).alias(c) for c, t in (("id", "long"), ("a", "long"), ("b", "long"))]
     empty = [F.lit(None).cast(t.strip().split(" ", 1)[1]).alias(t.strip().split(" ", 1)[0]) for t in INDEX.split(", ")[1:]]
     together = (
         probed.filter(F.col("dropped").isNull())
@@ -156,7 +159,7 @@ def drop_repeated_lines(
     dropped = cold.unionByName(probed.filter("dropped").select("id", "a", "b"))
     per_doc = dropped.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
 
-    joined = base.join(per_doc, F.col("id").eqNullSafe(F.col("_id")), "left")
+    joined = base.join(per_doc, F.col("id") == F.col("_id"), "left")
     lines = lines_of(F.col("text"))
 
     def stays(line: Column) -> Column:
@@ -165,7 +168,7 @@ def drop_repeated_lines(
 
     kept = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, stays))
     return joined.select("id", F.size(lines).cast("long").alias("n_lines"), kept.alias("_kept")).select(
-        F.col("id").alias(id_col),
+        F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col),
         "n_lines",
         (F.col("n_lines") - F.size("_kept")).alias("n_dropped"),
         F.array_join("_kept", "\n").alias("text"),
