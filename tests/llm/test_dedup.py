@@ -14,7 +14,7 @@ from poiscope.llm.exact_dedup import drop_exact_copies, exact_groups
 from poiscope.llm.line_dedup import drop_repeated_lines
 from poiscope.llm.near_dedup import drop_near_duplicates, near_duplicates
 from poiscope.llm.perfect_hash import PerfectHash, build
-from poiscope.llm.substring_dedup import Fenwick, chains, repeated_passages, words_of
+from poiscope.llm.substring_dedup import Fenwick, chains, passages, repeated_passages, words_of
 from poiscope.llm.words import byte_words
 
 
@@ -213,3 +213,21 @@ def test_chain_is_best():
     tree = Fenwick(3)
     tree.put(2, 5.0, 7)
     assert tree.get(2) == (float("-inf"), -1) and tree.get(3) == (5.0, 7)
+
+
+@pytest.mark.parametrize("filling", [(60, 60), (45, 80)])
+def test_passages_with_other_words_between(documents, filling):
+    """Two passages in one order with unlike words between them are both reported."""
+    rng = random.Random(8)
+    one, two = text_of(rng, 60, 10**6), text_of(rng, 60, 10**6)
+    rows = [(i, f"{one} {text_of(rng, n, 10**6)} {two}") for i, n in enumerate(filling)]
+    got = sorted((r["start_word"], r["end_word"]) for r in repeated_passages(documents(rows)).collect())
+    assert got == [(0, 60), (60 + filling[1], 120 + filling[1])]
+
+
+def test_passages_cut_by_identity():
+    """A chain under the identity keeps the parts that reach it, each as long as it can be."""
+    path = [(1, 1, 1)] * 60 + [(1, 1, 0)] * 70 + [(1, 1, 1)] * 50 + [(1, 0, 0)] * 5
+    assert passages(path, 50, 80) == [(0, 60, 0, 60, 60), (130, 180, 130, 180, 50)]
+    assert passages(path, 61, 80) == [] and passages([], 50, 80) == []
+    assert passages([(1, 1, 1)] * 60 + [(1, 1, 0)] * 20 + [(1, 1, 1)] * 60, 50, 80) == [(0, 140, 0, 140, 120)]
