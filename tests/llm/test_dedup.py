@@ -215,6 +215,24 @@ def test_chain_is_best():
     assert tree.get(2) == (float("-inf"), -1) and tree.get(3) == (5.0, 7)
 
 
+@pytest.mark.parametrize("identity, least", [(0.8, 0.95), (0.9, 1), (0.95, 1)])
+def test_passages_at_the_identity_promised(documents, identity, least):
+    """Passages of 60 words with edited words spread at random, found with nearly all of their words."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(100):
+        shared = text_of(rng, 60, 10**6).split()
+        edited = list(shared)
+        for j in rng.sample(range(1, 59), round(60 * (1 - identity))):
+            edited[j] = f"edited{rng.randrange(10**6)}"
+        for k, inside in ((2 * i, shared), (2 * i + 1, edited)):
+            rows.append((k, " ".join([text_of(rng, 40, 10**6), *inside, text_of(rng, 40, 10**6)])))
+    got = {r["doc_id"]: r for r in repeated_passages(documents(rows)).collect()}
+    assert all(r["other_id"] == i - 1 and r["identity"] >= 0.8 for i, r in got.items())
+    whole = [i for i, r in got.items() if r["start_word"] <= 44 and r["end_word"] >= 96]
+    assert len(whole) >= least * 100
+
+
 @pytest.mark.parametrize("filling", [(60, 60), (45, 80)])
 def test_passages_with_other_words_between(documents, filling):
     """Two passages in one order with unlike words between them are both reported."""
