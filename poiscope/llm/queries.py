@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 from poiscope.llm.bpe import encode_documents
 from poiscope.llm.common import held_out, importable, table
+from poiscope.llm.conversations import damaged, repair_reports
 from poiscope.llm.decontamination import contaminated
 from poiscope.llm.exact_dedup import exact_groups
 from poiscope.llm.extraction import extract_main_text
 from poiscope.llm.language_id import identify
 from poiscope.llm.line_dedup import drop_repeated_lines
 from poiscope.llm.near_dedup import near_duplicates
+from poiscope.llm.simhash import fingerprint_groups
+from poiscope.llm.spelling import spelling_groups
 from poiscope.llm.substring_dedup import repeated_passages
 from poiscope.llm.toxicity import score_toxicity
 from poiscope.llm.url_filter import ALLOW, BLOCK, Rule, judge_urls
@@ -128,3 +131,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_reports(damaged(table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
+@query
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
