@@ -15,6 +15,7 @@ from poiscope.functions import roles
 from poiscope.functions.exprs import (
     chunks,
     col,
+    comparable_columns,
     first_by_sql,
     missing_sql,
     numeric_columns,
@@ -24,9 +25,11 @@ from poiscope.functions.exprs import (
     quoted,
     rounded,
     text_columns,
+    text_literal,
 )
-from poiscope.operators.profile import distinct_row_keys, duplicate_rows
-from poiscope.plans.distincts import exact_distincts, few_valued
+from poiscope.operators.profile import duplicate_rows
+from poiscope.plans.distincts import distinct_hashes, estimated_distincts, exact_distincts, few_valued, may_be_few, may_be_unique
+from poiscope.plans.fused import Facts
 from poiscope.plans.longform import per_column, per_text_column, spread, tally, union_all
 from poiscope.plans.quantiles import exact_quantiles
 
@@ -223,22 +226,22 @@ def category_hierarchy(df: DataFrame, columns: Sequence[str] | None = None, over
 def category_hierarchy_summary(df: DataFrame, columns: Sequence[str] | None = None, overrides: Overrides = None) -> DataFrame:
     """Per pair: how many parents are inconsistent, and the first ten of them by name."""
     detail = category_hierarchy(df, columns, overrides)
-    place = F.row_number().over(W.partitionBy("parent_column", "child_column").orderBy("parent"))
-    shown = (
-        detail.withColumn("_place", place)
-        .filter(F.col("_place") <= LISTED_PARENTS)
+    pair = W.partitionBy("parent_column", "child_column")
+    return (
+        detail.withColumn("_place", F.row_number().over(pair.orderBy("parent")))
         .groupBy("parent_column", "child_column")
-        .agg(F.expr("listagg(parent, ', ') WITHIN GROUP (ORDER BY parent)").alias("first_parents"))
+        .agg(
+            F.count(F.lit(1)).alias("inconsistent_parents"),
+            F.expr(f"listagg(parent, ', ') WITHIN GROUP (ORDER BY parent) FILTER (WHERE _place <= {LISTED_PARENTS})").alias("first_parents"),
+        )
     )
-    counted = detail.groupBy("parent_column", "child_column").agg(F.count(F.lit(1)).alias("inconsistent_parents"))
-    return counted.join(shown, ["parent_column", "child_column"])
 
 
 # --- locations -------------------------------------------------------------------------------
 
 
-def location_issues(df: DataFrame, overrides: Overrides = None) -> DataFrame:
-    """Empty and short address texts, and coordinates missing although there is an address."""
+def location_tests(df: DataFrame, overrides: Overrides = None) -> list[tuple[tuple[str, str], str]]:
+    """((issue_type, column), SQL test of a row) of every location issue."""
     address = _found(df, "address_part", overrides)
     text = set(text_columns(df))
     entries = []
@@ -250,6 +253,12 @@ def location_issues(df: DataFrame, overrides: Overrides = None) -> DataFrame:
         there = f"CAST({quoted(address[0])} AS STRING) <> ''"
         for g in _found(df, "geo", overrides):
             entries.append((("geo_missing_with_address", g), f"{there} AND {missing_sql(df, g)}"))
+    return entries
+
+
+def location_issues(df: DataFrame, overrides: Overrides = None) -> DataFrame:
+    """Empty and short address texts, and coordinates missing although there is an address."""
+    entries = location_tests(df, overrides)
     if not entries:
         return df.sparkSession.createDataFrame([], "issue_type string, `column` string, affected_rows bigint")
     return (
@@ -262,37 +271,108 @@ def location_issues(df: DataFrame, overrides: Overrides = None) -> DataFrame:
 # --- all of them -----------------------------------------------------------------------------
 
 
+ISSUE = {"family": "string", "issue_type": "string", "column": "string", "detail": "string", "value": "double"}
+TYPE_RULES = ("numeric_as_categorical", "id_leading_zero", "date_as_text", "number_as_text")
+
+
 def find_issues(df: DataFrame, order_by: Sequence[str], overrides: Overrides = None) -> DataFrame:
-    """Every issue as (family, issue_type, column, detail, value)."""
+    """Every issue as (family, issue_type, column, detail, value).
+
+    Sketches, duplicates and quartiles are looked up first. All counters, first values and outliers then share one scan
+    (`Facts`), all exact distinct counts a second, category pairs a third. Distinct values of keys are counted only
+    where there are duplicates that a key would prevent, and on hashes.
+    """
+    copies = duplicate_rows(df).first()
+    once = copies["row_count"] - copies["duplicate_count"]
+    numeric, comparable = numeric_columns(df), comparable_columns(df)
+    sketched = estimated_distincts(df, comparable if copies["duplicate_count"] else numeric)
+    exempt = set(_found(df, "outlier_exempt", overrides))
+    bounds = outlier_bounds(df, [c for c in numeric if c not in exempt])
+
+    facts = _facts(df, order_by, bounds, overrides).frame()
+    few = [c for c in numeric if may_be_few(sketched[c], CATEGORY_LIKE_BELOW)]
+    keys = [c for c in comparable if copies["duplicate_count"] and may_be_unique(sketched[c], once)]
     text = lambda s: F.lit(s).cast("string")
+    none = F.lit(None)
 
-    def shaped(frame: DataFrame, family: str, kind: Column, column: Column, detail: Column, value: Column) -> DataFrame:
+    def shaped(frame: DataFrame, family: str, kind: str, column: Column, detail: Column, value: Column, rule: int = 0) -> DataFrame:
         return frame.select(
-            text(family).alias("family"), kind.alias("issue_type"), column.alias("column"),
-            detail.cast("string").alias("detail"), value.cast("double").alias("value"),
+            text(family).alias("family"), text(kind).alias("issue_type"), column.alias("column"),
+            detail.cast("string").alias("detail"), value.cast("double").alias("value"), F.lit(rule).alias("rule"),
         )
 
-    c, none = F.col("column"), F.lit(None)
-    gaps = per_column(df, df.columns, {"missing_count": lambda x: f"count_if({missing_sql(df, x)})"}).filter(F.col("missing_count") > 0)
-    critical = _found(df, "critical", overrides)
-    copies = duplicate_rows(df)
-    outliers = iqr_outliers(df, overrides=overrides)
-    frames = [
-        shaped(gaps, "missing_values", text("missing_values"), c, none, F.col("missing_count")),
-        shaped(gaps.filter(c.isin(critical)), "critical_missing_fields", text("critical_missing"), c, none, F.col("missing_count")),
-        shaped(copies.filter("duplicate_count > 0"), "duplicate_rows", text("duplicate_rows"), none.cast("string"), none, F.col("duplicate_count")),
-        shaped(type_issues(df, order_by, overrides), "type_issues", F.col("issue_type"), c, none, none),
-        shaped(outliers, "outliers", text("iqr_outliers"), c, none, F.col("outlier_count")),
-        shaped(outliers.filter("impact_total IS NOT NULL"), "outlier_impact", text("outlier_impact"), c, none, F.col("impact_total")),
-        shaped(json_text_columns(df, order_by), "json_columns", text("json_text"), c, F.col("json_schema"), none),
+    frames = [facts]
+    if few or keys:
+        # Each column is looked at for both: few values, or one for every distinct row.
+        counted = distinct_hashes(df, list(dict.fromkeys([*few, *keys])))
+        n, c = F.col("distinct_count"), F.col("column")
+        is_few = c.isin(few) & (n > 1) & (n < CATEGORY_LIKE_BELOW)
+        is_key = c.isin(keys) & (n == once) & (F.col("non_null_count") == copies["row_count"])
+        kinds = F.array(
+            F.when(is_few, F.struct(text("type_issues").alias("family"), text(TYPE_RULES[0]).alias("issue_type"), none.cast("double").alias("value"), F.lit(1).alias("rule"))),
+            F.when(is_key, F.struct(text("potential_primary_keys").alias("family"), text("key_candidate").alias("issue_type"), n.cast("double").alias("value"), F.lit(0).alias("rule"))),
+        )
+        frames.append(
+            counted.select("column", F.inline(F.array_compact(kinds))).select("family", "issue_type", "column", text(None).alias("detail"), "value", "rule")
+        )
+    if copies["duplicate_count"]:
+        one = df.sparkSession.range(1)
+        frames.append(shaped(one, "duplicate_rows", "duplicate_rows", text(None), none, F.lit(copies["duplicate_count"])))
+    frames.append(
         shaped(
-            category_hierarchy_summary(df, overrides=overrides), "category_hierarchy_issues", text("category_hierarchy"),
+            category_hierarchy_summary(df, overrides=overrides), "category_hierarchy_issues", "category_hierarchy",
             F.concat("parent_column", F.lit("_to_"), "child_column"), F.col("first_parents"), F.col("inconsistent_parents"),
-        ),
-        shaped(location_issues(df, overrides), "location_data_issues", F.col("issue_type"), c, none, F.col("affected_rows")),
-    ]
-    # Keys are proposed only where there are duplicates to prevent: columns that tell the distinct rows apart.
-    has_copies = copies.select((F.col("duplicate_count") > 0).alias("yes")).scalar()
-    keys = distinct_row_keys(df).filter(has_copies)
-    frames.append(shaped(keys, "potential_primary_keys", text("key_candidate"), c, none, F.col("distinct_count")))
-    return union_all(frames)
+        )
+    )
+    found = union_all(frames)
+    # At most one type issue per column: the one of the last rule.
+    apart = F.when(F.col("family") == "type_issues", "").otherwise(F.col("issue_type"))
+    last = found.groupBy("family", "column", apart.alias("_kind")).agg(F.max_by(F.struct("issue_type", "detail", "value"), "rule").alias("_last"))
+    return last.select("family", "_last.issue_type", "column", "_last.detail", "_last.value")
+
+
+def _facts(
+    df: DataFrame, order_by: Sequence[str], bounds: Mapping[str, tuple[float, float, float, float]], overrides: Overrides
+) -> Facts:
+    """All issues that plain aggregates of the table can tell."""
+    facts = Facts(df, ISSUE | {"rule": "int"})
+    numeric, text = set(numeric_columns(df)), text_columns(df)
+    roles_of = lambda role: set(_found(df, role, overrides))
+    critical, identifiers, temporal, worded = map(roles_of, ("critical", "identifier", "temporal", "never_numeric_text"))
+    money = roles_of("money_or_quantity")
+
+    def issue(terms: Sequence[str], keep: str, family: str, kind: str, column: str, **more: str) -> None:
+        facts.row(terms, keep, family=f"'{family}'", issue_type=f"'{kind}'", column=text_literal(column), rule=str(more.pop("rule", 0)), **more)
+
+    rows = facts.term("count(1)")
+    for c in df.columns:
+        gaps = facts.term(f"count_if({missing_sql(df, c)})")
+        issue([gaps], f"{gaps} > 0", "missing_values", "missing_values", c, value=gaps)
+        if c in critical:
+            issue([gaps], f"{gaps} > 0", "critical_missing_fields", "critical_missing", c, value=gaps)
+        if c in identifiers & numeric:
+            first = facts.term(f"CAST({first_by_sql(present_sql(df, c), *order_by)} AS STRING)")
+            issue([first], f"startswith({first}, '0')", "type_issues", TYPE_RULES[1], c, rule=2)
+        if c in text:
+            first = facts.term(first_by_sql(quoted(c), *order_by))
+            if c in temporal:
+                issue([first], f"{first} RLIKE '{DATE_IN_TEXT}'", "type_issues", TYPE_RULES[2], c, rule=3)
+            if c not in worded:
+                digits = facts.term(f"count_if(replace({quoted(c)}, '.', '') RLIKE '^[0-9]+$')")
+                share = f"try_divide(CAST({digits} AS DOUBLE), CAST({rows} - {gaps} AS DOUBLE))"
+                issue([digits, gaps, rows], f"{share} > {NUMERIC_SHARE}D", "type_issues", TYPE_RULES[3], c, rule=4)
+            parsed = f"try_parse_json({first})"
+            shown = f"startswith({first}, '{{') AND endswith({first}, '}}') AND {parsed} IS NOT NULL"
+            issue([first], shown, "json_columns", "json_text", c, detail=f"CASE WHEN {shown} THEN schema_of_variant({parsed}) END")
+        if c in bounds:
+            v, (low, high) = f"CAST({present_sql(df, c)} AS DOUBLE)", bounds[c][2:]
+            beyond = f"({v} < double('{low!r}') OR {v} > double('{high!r}'))"
+            n = facts.term(f"count_if({beyond})")
+            issue([n], f"{n} > 0", "outliers", "iqr_outliers", c, value=n)
+            if c in money:
+                total = facts.term(f"sum(CASE WHEN {beyond} THEN {v} END)")
+                issue([n, total], f"{n} > 0 AND {total} IS NOT NULL", "outlier_impact", "outlier_impact", c, value=total)
+    for (kind, c), test in location_tests(df, overrides):
+        n = facts.term(f"count_if({test})")
+        issue([n], f"{n} > 0", "location_data_issues", kind, c, value=n)
+    return facts

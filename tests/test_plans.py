@@ -65,3 +65,44 @@ def test_duplicates_shuffle_identities_only(places):
 def test_no_cross_joins(places, name):
     text = plan(locations.ANALYSES[name](places))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def jobs_of(spark, work) -> int:
+    """Spark jobs that a piece of work runs; adaptive execution makes each shuffle a job of its own."""
+    group = f"counted-{id(work)}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def scans_of(df) -> int:
+    return plan(df).count("Scan parquet") // 2
+
+
+def test_all_issues_share_scans(spark, places):
+    built = []
+    jobs = jobs_of(spark, lambda: built.append(issues.find_issues(places, ["location_id"])))
+    assert scans_of(built[0]) <= 4
+    assert jobs <= 13
+    for name in ("kll", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert name not in plan(built[0])
+
+
+def test_issues_without_copies_look_for_no_keys(spark, places):
+    found = issues.find_issues(places.dropDuplicates(), ["location_id"])
+    assert found.filter("family IN ('potential_primary_keys', 'duplicate_rows')").isEmpty()
+
+
+def test_keys_shuffle_hashes_of_one_width(places):
+    text = plan(profile.distinct_row_keys(places))
+    outputs = [line for line in text.splitlines() if line.startswith("Arguments: hashpartitioning")]
+    assert any("h1" in line and "h2" in line for line in outputs) and not any("address" in line for line in outputs)
+    assert scans_of(profile.distinct_row_keys(places)) == 1
+
+
+def test_quartiles_take_few_jobs(spark, places):
+    assert jobs_of(spark, lambda: issues.outlier_bounds(places, ["latitude", "dwell_time", "popularity_score"])) <= 9
+    assert scans_of(issues.iqr_outliers(places)) == 1
