@@ -23,8 +23,8 @@ def _filled(step, *columns):
 
 query(
     "fill_constant",
-    _filled(FillMissing("address", "Unknown"), "address"),
-    "SELECT location_id, coalesce(address, 'Unknown') AS address FROM locations",
+    lambda t: _cleaned(t, FillMissing("address", "Unknown")),
+    "SELECT * REPLACE (coalesce(address, 'Unknown') AS address) FROM locations",
 )
 query(
     "fill_mean",
@@ -48,21 +48,32 @@ query(
 )
 query(
     "fill_forward",
-    _filled(FillMissing("phone", method="forward_fill", order_by=ID), "phone"),
-    """SELECT location_id, last_value(phone IGNORE NULLS) OVER (ORDER BY location_id
-        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS phone FROM locations""",
+    lambda t: _cleaned(t, FillMissing("phone", method="forward_fill", order_by=ID)),
+    """SELECT * REPLACE (last_value(phone IGNORE NULLS) OVER (ORDER BY location_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS phone) FROM locations""",
 )
 query(
     "fill_backward",
-    _filled(FillMissing("phone", method="backward_fill", order_by=ID), "phone"),
-    """SELECT location_id, last_value(phone IGNORE NULLS) OVER (ORDER BY location_id DESC
-        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS phone FROM locations""",
+    lambda t: _cleaned(t, FillMissing("phone", method="backward_fill", order_by=ID)),
+    """SELECT * REPLACE (last_value(phone IGNORE NULLS) OVER (ORDER BY location_id DESC
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS phone) FROM locations""",
 )
 query(
     "fill_forward_by_state",
-    _filled(FillMissing("chain_name", method="forward_fill", order_by=ID, partition_by=["state"]), "state", "chain_name"),
-    """SELECT location_id, state, last_value(chain_name IGNORE NULLS) OVER (PARTITION BY state ORDER BY location_id
-        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chain_name FROM locations""",
+    lambda t: _cleaned(t, FillMissing("chain_name", method="forward_fill", order_by=ID, partition_by=["state"])),
+    """SELECT * REPLACE (last_value(chain_name IGNORE NULLS) OVER (PARTITION BY state ORDER BY location_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chain_name) FROM locations""",
+)
+query(
+    "fill_backward_orders",
+    lambda t: ops.clean(
+        t.orders.withColumn("o_totalprice", F.when(F.col("o_totalprice") > 200000, F.col("o_totalprice"))),
+        [FillMissing("o_totalprice", method="backward_fill", order_by=["o_orderdate", "o_orderkey"], partition_by=["o_orderpriority"])],
+    ).frame,
+    """SELECT * REPLACE (last_value(CASE WHEN o_totalprice > 200000 THEN o_totalprice END IGNORE NULLS) OVER (
+        PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o_totalprice) FROM orders""",
+    on_locations=False,
 )
 query("remove_duplicates", lambda t: _cleaned(t, RemoveDuplicates()), "SELECT DISTINCT * FROM locations")
 query(
@@ -90,22 +101,22 @@ query(
 )
 query(
     "convert_to_categorical",
-    _filled(ConvertType("sub_category", "categorical"), "sub_category", "sub_category_code"),
-    """SELECT location_id, sub_category, CASE WHEN sub_category IS NOT NULL
+    lambda t: _cleaned(t, ConvertType("sub_category", "categorical")),
+    """SELECT *, CASE WHEN sub_category IS NOT NULL
         THEN dense_rank() OVER (ORDER BY sub_category NULLS LAST) - 1 END AS sub_category_code FROM locations""",
 )
 FENCES = """f AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM
     (SELECT quantile_cont(price_amount, 0.25) AS q1, quantile_cont(price_amount, 0.75) AS q3 FROM locations))"""
 query(
     "cap_outliers",
-    lambda t: _cleaned(t, HandleOutliers("price_amount")).select("location_id", F.round("price_amount", 6).alias("price_amount")),
-    f"""WITH {FENCES} SELECT location_id, round(CASE WHEN price_amount < lo THEN lo WHEN price_amount > hi THEN hi ELSE price_amount END, 6)
-        AS price_amount FROM locations, f""",
+    lambda t: _cleaned(t, HandleOutliers("price_amount")).withColumn("price_amount", F.round("price_amount", 6)),
+    f"""WITH {FENCES} SELECT locations.* REPLACE (round(CASE WHEN price_amount < lo THEN lo WHEN price_amount > hi THEN hi
+        ELSE price_amount END, 6) AS price_amount) FROM locations, f""",
 )
 query(
     "remove_outliers",
-    lambda t: _cleaned(t, HandleOutliers("price_amount", "remove")).select("location_id", "price_amount"),
-    f"WITH {FENCES} SELECT location_id, price_amount FROM locations, f WHERE price_amount IS NULL OR price_amount BETWEEN lo AND hi",
+    lambda t: _cleaned(t, HandleOutliers("price_amount", "remove")),
+    f"WITH {FENCES} SELECT locations.* FROM locations, f WHERE price_amount IS NULL OR price_amount BETWEEN lo AND hi",
 )
 query(
     "standardize_values",
@@ -127,6 +138,22 @@ query(
         CASE WHEN p_partkey % 3 = 0 AND p_partkey < 5000 THEN -p_partkey ELSE p_partkey END AS p_partkey) FROM part""",
     on_locations=False,
 )
+query(
+    "standardize_values_types",
+    lambda t: ops.clean(
+        t.part,
+        [
+            StandardizeValues("p_size", {1: "one", 2: "two", "three": "unreadable"}),
+            StandardizeValues("p_partkey", {1: 1.5, 2: 7}),
+            StandardizeValues("p_brand", {"Brand#11": None, "Brand#12": None}),
+        ],
+    ).frame,
+    """SELECT * REPLACE (
+        CASE p_size WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE CAST(p_size AS VARCHAR) END AS p_size,
+        CAST(CASE p_partkey WHEN 1 THEN 1.5 WHEN 2 THEN 7 ELSE p_partkey END AS DOUBLE) AS p_partkey,
+        CASE WHEN p_brand NOT IN ('Brand#11', 'Brand#12') THEN p_brand END AS p_brand) FROM part""",
+    on_locations=False,
+)
 query(
     "change_log_params",
     lambda t: ops.clean(t.part, [StandardizeValues("p_partkey", {i: -i for i in range(3, 900, 3)}), StandardizeValues("p_brand", {"a": "b"})])

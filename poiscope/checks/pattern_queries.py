@@ -135,3 +135,10 @@ query(
     f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{ops.GARBLED}')",
     on_locations=False,
 )
+query(
+    "encoding_suspect_rows_garbled",
+    lambda t: ops.encoding_suspect_rows(t.documents.selectExpr("doc_id", "replace(text, 'é', 'Ã©') AS text"), "text"),
+    f"""SELECT doc_id, replace(text, 'é', 'Ã©') AS text FROM documents
+        WHERE regexp_matches(replace(text, 'é', 'Ã©'), '{ops.GARBLED}')""",
+    on_locations=False,
+)

@@ -136,12 +136,13 @@ query(
 query(
     "manifest_changes",
     lambda t: files.manifest_changes(
-        files.manifest(t.documents.filter("doc_id % 5 <> 0"), "doc_id", "text"),
-        files.manifest(t.documents.filter("doc_id % 7 <> 0").selectExpr("doc_id", "replace(text, 'an', 'en') AS text"), "doc_id", "text"),
+        files.manifest(t.documents.selectExpr("doc_id * 2 AS doc_id", "text"), "doc_id", "text"),
+        files.manifest(t.documents.selectExpr("doc_id * 3 AS doc_id", "replace(text, 'an', 'en') AS text"), "doc_id", "text"),
     ),
-    """SELECT doc_id AS key, CASE WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'removed' ELSE 'modified' END AS change
-        FROM documents WHERE (doc_id % 5 = 0) <> (doc_id % 7 = 0)
-            OR (doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND text <> replace(text, 'an', 'en'))""",
+    """SELECT coalesce(a.k, b.k) AS key, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'modified' END AS change
+        FROM (SELECT doc_id * 2 AS k, text FROM documents) a
+        FULL JOIN (SELECT doc_id * 3 AS k, replace(text, 'an', 'en') AS text FROM documents) b ON a.k = b.k
+        WHERE a.k IS NULL OR b.k IS NULL OR a.text <> b.text""",
     on_locations=False,
 )
 
@@ -149,17 +150,19 @@ VIEWS = "poiscope_listed_"
 
 
 def _listed(t):
-    """Names of the session's views of all tables, each required to exist."""
+    """Views of all tables as the session lists them, each required to exist and counted."""
     for name in TABLE_WIDTHS:
         getattr(t, name).createOrReplaceTempView(VIEWS + name)
-        catalog.require_table(t.spark, VIEWS + name)
-    return catalog.list_tables(t.spark).filter(F.col("name").startswith(VIEWS))
+    names = [r["name"] for r in catalog.list_tables(t.spark).filter(F.col("name").startswith(VIEWS)).collect()]
+    for name in names:
+        catalog.require_table(t.spark, name)
+    return catalog.table_catalog({name: catalog.scan_table(t.spark, name) for name in names})
 
 
 query(
     "list_tables",
     _listed,
-    " UNION ALL ".join(f"SELECT '{VIEWS}{n}' AS name" for n in TABLE_WIDTHS),
+    " UNION ALL ".join(f"SELECT '{VIEWS}{n}' AS name, count(*) AS row_count, {w} AS column_count FROM {n}" for n, w in TABLE_WIDTHS.items()),
     on_locations=False,
 )
 

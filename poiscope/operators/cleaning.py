@@ -12,6 +12,8 @@ import json
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from datetime import date, datetime
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
@@ -23,9 +25,11 @@ from poiscope.plans.longform import spread, union_all
 from poiscope.plans.ordering import fill_along, with_index
 from poiscope.plans.quantiles import exact_quantiles
 
-# A mapping is held by the driver; up to this many entries it is sent to every task instead of being joined by a shuffle.
-SENT_ENTRIES = 100_000
-NULL_SPREAD = 1024
+# Bytes of a dictionary that is sent to every task; a larger one is joined by a shuffle, with its hot values spread.
+SENT_BYTES = 8 << 20
+# A value is hot if it holds more than this share of the rows, so hot values are few whatever the table.
+HOT_SHARE = 1 / 256
+SPREAD = 256
 
 
 @dataclass(frozen=True)
@@ -265,18 +269,8 @@ def _convert(fold: _Fold, step: ConvertType) -> None:
     name, df = step.column, fold.df
     params = {"target_type": step.target_type}
     if step.target_type == "categorical":
-        values = fold.plain.filter(present(df, name).isNotNull()).select(col(name).alias("_value")).distinct()
-        codes = with_index(values, ["_value"], "_code")
         fold.flag(fold.note("Convert Data Type", name, params), F.lit(True))
-        # Missing values have no code; a second key spreads them, as they would all meet in one task.
-        apart = F.when(present(df, name).isNull(), F.pmod(F.xxhash64(*map(col, comparable_columns(df))), F.lit(NULL_SPREAD))).otherwise(0)
-        coded = codes.withColumn("_apart", F.lit(0).cast("long"))
-        fold.df = (
-            fold.df.withColumn("_spread", apart.cast("long"))
-            .join(coded, (col(name) == F.col("_value")) & (F.col("_spread") == F.col("_apart")), "left")
-            .withColumn(f"{name}_code", F.col("_code"))
-            .drop("_value", "_code", "_spread", "_apart")
-        )
+        fold.df = with_codes(fold.df, name, fold.plain)
         return
     if step.target_type == "date":
         converted = F.coalesce(*_date_readings(df, name))
@@ -288,6 +282,31 @@ def _convert(fold: _Fold, step: ConvertType) -> None:
     fold.df = fold.df.withColumn(name, converted)
 
 
+def with_codes(df: DataFrame, name: str, source: DataFrame | None = None, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """Adds `<name>_code`, the 0-based place of a value among the sorted values; no code for a missing one.
+
+    The dictionary of values is sent to the tasks if its counted bytes allow it. Else it is joined by a shuffle, to
+    which rows of a hot value, and rows without one, go under many keys.
+    """
+    value, source = present(df, name), source if source is not None else df
+    counts = source.groupBy(present(source, name).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
+    size = F.sum(F.octet_length(F.col("_value").cast("string")) + 16)
+    total = counts.agg(F.sum("_rows").alias("rows"), size.alias("bytes")).first()
+    codes = with_index(counts.filter(F.col("_value").isNotNull()).select("_value"), ["_value"], "_code")
+    if (total["bytes"] or 0) <= sent_bytes:
+        joined = df.join(F.broadcast(codes), value == F.col("_value"), "left")
+        return joined.withColumn(f"{name}_code", F.col("_code")).drop("_value", "_code")
+    hot = counts.filter((F.col("_rows") > total["rows"] * HOT_SHARE) & F.col("_value").isNotNull()).select("_value")
+    hot_values = [r["_value"] for r in hot.collect()]  # at most 1 / HOT_SHARE of them
+    spread_out = lambda v: v.isNull() | (v.isin(hot_values) if hot_values else F.lit(False))
+    turn = F.pmod(F.xxhash64(*map(col, comparable_columns(df))), F.lit(SPREAD)).cast("int")
+    keyed = df.withColumn("_turn", F.when(spread_out(value), turn).otherwise(0))
+    turns = F.when(spread_out(F.col("_value")), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    entries = codes.withColumn("_in", F.explode(turns))
+    joined = keyed.join(entries, (value == F.col("_value")) & (F.col("_turn") == F.col("_in")), "left")
+    return joined.withColumn(f"{name}_code", F.col("_code")).drop("_value", "_code", "_turn", "_in")
+
+
 def _date_readings(df: DataFrame, name: str) -> list[Column]:
     """ISO dates and times as they are, then month/day/year."""
     if not isinstance(df.schema[name].dataType, T.StringType):
@@ -317,17 +336,53 @@ def _outliers(fold: _Fold, step: HandleOutliers) -> None:
         fold.df = fold.df.withColumn(name, F.when(under, F.lit(low)).when(over, F.lit(high)).otherwise(col(name)))
 
 
+def _mapped_type(kind: T.DataType, targets: Sequence[Any]) -> T.DataType:
+    """Type of a column of which some values become the targets: one that holds both, else text."""
+    given = {type(v) for v in targets if v is not None}
+    if not given:
+        return kind
+    if isinstance(kind, T.BooleanType) and given == {bool}:
+        return kind
+    if isinstance(kind, NUMERIC_TYPES) and given <= {int, float, Decimal}:
+        if isinstance(kind, (*FLOATING_TYPES, T.DecimalType)) and (given == {int} or isinstance(kind, T.DoubleType)):
+            return kind
+        return T.LongType() if given == {int} else T.DoubleType()
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType) and given == {datetime}:
+        return kind
+    if isinstance(kind, T.DateType) and given == {date}:
+        return kind
+    return T.StringType()
+
+
+def _said(value: Any, kind: T.DataType) -> str | None:
+    """Text of a Python value, as a cast to the type reads it."""
+    if value is None:
+        return None
+    if isinstance(value, bool):
+        return str(value).lower() if not isinstance(kind, NUMERIC_TYPES) else str(int(value))
+    if isinstance(value, float) and value.is_integer() and not isinstance(kind, (*FLOATING_TYPES, T.StringType)):
+        return str(int(value))
+    return str(value)
+
+
 def _standardize(fold: _Fold, step: StandardizeValues) -> None:
+    """Old values are read as the column's type (those it cannot hold match nothing); of equal ones the last counts."""
     name, mapping = step.column, dict(step.mapping)
     if not mapping:
         return
     number = fold.note("Standardize Values", name, {"mapping": {str(k): v for k, v in mapping.items()}})
-    entries = fold.df.sparkSession.createDataFrame([(k, v, True) for k, v in mapping.items()], ["_old", "_new", "_hit"])
-    if len(mapping) <= SENT_ENTRIES:
+    kind = fold.df.schema[name].dataType
+    result = _mapped_type(kind, list(mapping.values()))
+    said = [(i, _said(k, kind), _said(v, result)) for i, (k, v) in enumerate(mapping.items())]
+    entries = fold.df.sparkSession.createDataFrame(said, "_at int, _old string, _new string")
+    old = F.col("_old").try_cast(kind)
+    entries = entries.filter(old.isNotNull()).groupBy(old.alias("_old")).agg(F.max_by("_new", "_at").alias("_new"), F.lit(True).alias("_hit"))
+    if sum(len(k or "") + len(v or "") + 16 for _, k, v in said) <= SENT_BYTES:
         entries = F.broadcast(entries)
     fold.df = fold.df.join(entries, col(name) == F.col("_old"), "left")
     fold.flag(number, F.col("_hit").isNotNull())
-    fold.df = fold.df.withColumn(name, F.when(F.col("_hit"), F.col("_new")).otherwise(col(name))).drop("_old", "_new", "_hit")
+    new = F.when(F.col("_hit"), F.col("_new").cast(result)).otherwise(col(name).cast(result))
+    fold.df = fold.df.withColumn(name, new).drop("_old", "_new", "_hit")
 
 
 _APPLY = {

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from math import isqrt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from poiscope.functions.exprs import col, open_retail
 from poiscope.plans.longform import union_all
+from poiscope.plans.quantiles import nth_smallest
 
 # Fixed value: the sample size offered first.
 DEFAULT_SAMPLE = 10_000
@@ -57,21 +57,25 @@ def scan_table(spark: SparkSession, name: str, sample_size: int | None = None) -
 def random_sample(df: DataFrame, key: Sequence[str], n: int = DEFAULT_SAMPLE, seed: int = 0) -> DataFrame:
     """Exactly n rows (or all, if fewer), the same ones for the same seed; the key must be unique.
 
-    Rows are ranked by a hash of their key and the lowest n are taken. Ranks are spread evenly, so
-    a threshold a little above n / rows leaves little more than n rows to sort; should it leave
-    fewer than n, the whole table is ranked instead.
+    Rows are ranked by a hash of their key. The n-th smallest rank is found by radix selection; what is below it is a
+    plain filter of the table, so no task orders the sample. Only rows that tie with it in the first 52 bits of
+    the hash, nearly always none, are ordered by the rest.
     """
-    if n < 1:
-        raise ValueError("sample size must be at least 1")
-    ranked = df.withColumn("_rank", F.md5(F.concat_ws(":", F.lit(str(seed)), *[col(k).cast("string") for k in key])))
-    rows = df.count()
-    wanted = n + 6 * isqrt(n) + 10
-    if rows > 2 * wanted:
-        threshold = format((16**32 // rows) * wanted, "032x")
-        near = ranked.filter(F.col("_rank") < threshold)
-        if near.count() >= n:
-            ranked = near
-    return ranked.orderBy("_rank", *[col(k).asc_nulls_last() for k in key]).limit(n).drop("_rank")
+    if n < 0:
+        raise ValueError("sample size must not be negative")
+    if n == 0:
+        return df.limit(0)
+    rank = F.md5(F.concat_ws(":", F.lit(str(seed)), *[col(k).cast("string") for k in key]))
+    ranked = df.withColumn("_rank", rank).withColumn("_lead", F.conv(F.substring("_rank", 1, 13), 16, 10).cast("double"))
+    found = nth_smallest(ranked, "_lead", n)
+    if found is None:
+        return df
+    lead, ties, wanted = found
+    kept = ranked.filter(F.col("_lead") <= lead)
+    if wanted < ties:
+        at = ranked.filter(F.col("_lead") == lead).orderBy("_rank", *[col(k).asc_nulls_last() for k in key]).limit(wanted)
+        kept = ranked.filter(F.col("_lead") < lead).unionByName(at)
+    return kept.drop("_rank", "_lead")
 
 
 def filtered_view(df: DataFrame, view: str) -> DataFrame:

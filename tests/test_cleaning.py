@@ -1,12 +1,14 @@
 """Cleaning steps on small frames, and their invariants."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from poiscope.operators import cleaning, issues, profile
-from poiscope.operators.cleaning import ConvertType, FillMissing, HandleOutliers, RemoveDuplicates, StandardizeValues, clean
+from poiscope.operators.cleaning import ConvertType, FillMissing, HandleOutliers, RemoveDuplicates, StandardizeValues, clean, with_codes
+from poiscope.plans.ordering import fill_along, with_index
 
 FILL = "k string, ord int, v string"
 GAPS = [("a", 1, None), ("a", 2, "x"), ("a", 3, None), ("b", 4, None), ("b", 5, "y"), ("b", 6, None), ("a", 7, None)]
@@ -130,3 +132,65 @@ def test_before_after(places):
     row = change.filter("section = 'missing_values' AND column = 'address' AND metric = 'missing_count'").first()
     assert row.before > 0 and row.after == 0
     assert change.filter("metric = 'duplicate_count'").first().after == 0
+
+
+@pytest.mark.parametrize("slices", [1, 2, 7, 300])
+@pytest.mark.parametrize("backward", [False, True])
+def test_fill_over_any_slices(spark, slices, backward):
+    rng = random.Random(slices)
+    rows = [(rng.choice([None, "a", "b"]), i // 3, f"k{i % 3}", rng.random() if rng.random() < 0.1 else None) for i in range(600)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "p string, d long, e string, x double").repartition(5)
+    for partition_by in ([], ["p"]):
+        got = fill_along(df, "x", ["d", "e"], partition_by, backward, slices)
+        expected, last = [], {}
+        for r in sorted(rows, key=lambda r: (r[1], r[2]), reverse=backward):
+            key = r[0] if partition_by else 0
+            last[key] = last.get(key) if r[3] is None else r[3]
+            expected.append((*r[:3], last[key]))
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_order_over_all_types(spark):
+    df = spark.sql(
+        "SELECT id, CAST(id % 7 AS STRING) AS s, CAST(date '2020-01-01' + CAST(id AS INT) AS TIMESTAMP) AS t, CAST(id / 3 AS DOUBLE) AS d,"
+        " unhex(hex(id)) AS b, CAST(id AS DECIMAL(9, 2)) AS n FROM range(200)"
+    )
+    for order in (["s", "id"], ["t"], ["d"], ["n"], ["b", "id"]):
+        got = with_index(df, order, "place", 9).orderBy("place").collect()
+        assert [r["place"] for r in got] == list(range(200))
+        assert [tuple(r[o] for o in order) for r in got] == sorted(tuple(r[o] for o in order) for r in df.collect())
+
+
+@pytest.mark.parametrize("sent_bytes", [1 << 20, 0])
+def test_codes_with_hot_and_missing_values(spark, sent_bytes):
+    rows = [("hot",)] * 500 + [(None,)] * 300 + [(f"v{i % 90}",) for i in range(200)]
+    df = spark.createDataFrame(rows, "x string").withColumn("row", F.monotonically_increasing_id())
+    got = with_codes(df, "x", sent_bytes=sent_bytes)
+    places = {v: i for i, v in enumerate(sorted({v for (v,) in rows if v is not None}))}
+    assert sorted(map(tuple, got.select("x", "x_code").collect()), key=str) == sorted(((v, places.get(v)) for (v,) in rows), key=str)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert ("_turn" in text) == (sent_bytes == 0)
+
+
+def test_nothing_is_kept_on_disk_for_a_fill(spark, places):
+    frame = clean(places, [FillMissing("phone", method="forward_fill", order_by=["location_id"])]).frame
+    assert "Scan ExistingRDD" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_standardize_between_types(spark):
+    df = spark.createDataFrame([(1, "a", True, 2.5), (2, "b", False, 1.0), (None, None, None, None)], "i int, s string, b boolean, d double")
+
+    def mapped(column, mapping):
+        done = clean(df, [StandardizeValues(column, mapping)])
+        return done.frame.schema[column].dataType.simpleString(), [r[column] for r in done.frame.collect()], done.change_log().first()["rows_affected"]
+
+    assert mapped("i", {1: "one"}) == ("string", ["one", "2", None], 1)
+    assert mapped("i", {1: 1.5, 2: 7}) == ("double", [1.5, 7.0, None], 2)
+    assert mapped("i", {1.0: 9, "x": 3}) == ("bigint", [9, 2, None], 1)
+    assert mapped("i", {1: 5, "01": 6}) == ("bigint", [6, 2, None], 1)
+    assert mapped("s", {"a": None}) == ("string", [None, "b", None], 1)
+    assert mapped("s", {"a": 7, "b": True}) == ("string", ["7", "true", None], 2)
+    assert mapped("b", {True: False}) == ("boolean", [False, False, None], 1)
+    assert mapped("b", {True: "yes"}) == ("string", ["yes", "false", None], 1)
+    assert mapped("d", {1: 4, 2.5: None}) == ("double", [None, 4.0, None], 2)

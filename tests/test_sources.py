@@ -26,8 +26,9 @@ def test_sample_is_exact_and_repeatable(spark):
     assert len(first) == 100
     assert first == {r.id for r in catalog.random_sample(df.repartition(7), ["id"], 100, seed=1).collect()}
     assert first != {r.id for r in catalog.random_sample(df, ["id"], 100, seed=2).collect()}
+    assert catalog.random_sample(df, ["id"], 0).count() == 0
     with pytest.raises(ValueError):
-        catalog.random_sample(df, ["id"], 0)
+        catalog.random_sample(df, ["id"], -1)
     assert len({r.id for r in catalog.random_sample(df, ["id"], 3).collect()}) == 3
     assert catalog.random_sample(df, ["id"], 200_000).count() == 1000
 
