@@ -4,7 +4,8 @@ For each language the pieces of a fixed public vocabulary (a sentencepiece model
 parameter) get probabilities from the labelled documents: the words are segmented by the model and its
 pieces are counted, all documents and whole texts, inside the tasks; at most one row per language and
 piece leaves a task. A text is scored word by word: a forward pass over the letters sums the probability
-of every segmentation into pieces, so no single segmentation has to be right. The texts' log
+of every segmentation into pieces, so no single segmentation has to be right. Words so unlikely that a sum
+leaves the range of numbers are summed again in logarithms. The texts' log
 probabilities with the languages' shares as prior give the posterior of the best language.
 
 The letters of a text are its words: runs of letters, in Unicode composed form and lower case. Words of
@@ -34,6 +35,7 @@ STRETCH = 200
 REMEMBERED = 150_000
 AT_ONCE = 20_000
 UNKNOWN_SHARE = 1e-7
+LEAST_SUM = 1e-250
 UNDEFINED = "und"
 
 
@@ -83,14 +85,15 @@ class Unigrams:
         self.scale = 16.0
         _, self.lengths = _matcher(path)
         self.factor = share * self.scale ** self.lengths[:, None]
+        self.log_factor = np.log(self.factor)
         self.forget()
 
     def forget(self) -> None:
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((0, len(self.languages)))
 
-    def forward(self, words: list[str]) -> np.ndarray:
-        """log p(word | language), words x languages."""
+    def forward(self, words: list[str], logs: bool = False) -> np.ndarray:
+        """log p(word | language), words x languages; `logs` keeps the sums in logarithms, which takes longer."""
         finder, lengths = _matcher(self.path)
         marked = [START + w for w in words]
         text = "\n".join(marked) + "\n"
@@ -105,13 +108,25 @@ class Unigrams:
         end, piece, step = end[order], piece[order], step[order]
         start = end - lengths[piece] + 1
         total = np.zeros((len(text) + 1, self.factor.shape[1]))
-        total[begin] = 1
+        total[begin] = 0 if logs else 1
         borders = np.searchsorted(step, np.arange(size.max() + 1))
         for a, b in zip(borders[:-1], borders[1:]):
             e = end[a:b]
             first = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
-            total[e[first] + 1] = np.add.reduceat(self.factor[piece[a:b]] * total[start[a:b]], first)
-        return np.log(total[begin + size]) - (size * np.log(self.scale))[:, None]
+            if logs:
+                total[e[first] + 1] = np.logaddexp.reduceat(self.log_factor[piece[a:b]] + total[start[a:b]], first)
+            else:
+                total[e[first] + 1] = np.add.reduceat(self.factor[piece[a:b]] * total[start[a:b]], first)
+        scale = (size * np.log(self.scale))[:, None]
+        if logs:
+            return total[begin + size] - scale
+        # Every prefix of a word has a segmentation; one that is next to nothing has lost digits, or all of them.
+        small = np.flatnonzero(np.minimum.reduceat(total[: begin[-1] + size[-1] + 1], begin).min(axis=1) < LEAST_SUM)
+        total[begin[small] + size[small]] = 1
+        out = np.log(total[begin + size]) - scale
+        if len(small):
+            out[small] = self.forward([words[i] for i in small.tolist()], logs=True)
+        return out
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(log probabilities, number of words) of each text."""
