@@ -7,8 +7,8 @@ facing symbols again and again, and see whether the pair that faces each other t
 before the symbol undone was formed. Words that fail either test are merged in the order of ranks.
 
 The vocabulary file (tokenizers JSON of a BPE with word ends, lower case, byte-level characters and no
-decoder) is named by a parameter and read on the executors. Encodings of recent text chunks are
-remembered per Python worker, at most `REMEMBERED` of them.
+decoder) is named by a parameter and read on the executors. Encodings of recent text chunks, and what they
+decode to, are remembered per Python worker, at most `REMEMBERED` of them.
 
 Defined results: null texts count as empty and give no tokens; strings of special tokens in a text
 become those tokens; decoding joins token strings with one space, as the library does for a
@@ -22,22 +22,26 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, types as T
 
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 AT_ONCE = 30_000
 ROWS = 500
 NEVER = np.int64(2**40)
 
 # The pattern of words, white space that str.split() knows and the pattern does not.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-NOT_SPACE = re.compile("[\x1c-\x1f]")
+NOT_SPACE = "\x1c\x1d\x1e\x1f"
 CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
 WORD_END = "</w>"
+END = "\0"
+MARKS = frozenset(".,;:!?")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -84,11 +88,19 @@ class Vocabulary:
         apart = self.compatible(left, right, whole)
         for t, l, r, a in zip(whole.tolist(), left.tolist(), right.tolist(), apart.tolist()):
             self.sound[t] = a and self.sound[l] and self.sound[r]
-        self.longest = max(map(len, self.ids))
+        # Finds the longest token at a place; the end of a word is one more character.
+        self.finder = ahocorasick.Automaton()
+        self.lengths = np.zeros(size, np.int64)
+        for token, i in self.ids.items():
+            key = token.removesuffix(WORD_END) + END if token.endswith(WORD_END) else token
+            self.lengths[i] = len(key)
+            self.finder.add_word(key, i)
+        self.finder.make_automaton()
         self.characters = byte_characters()
         self.words = regex.compile(WORDS)
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.remembered: dict[str, bytes] = {}
+        self.said: dict[str, str] = {}  # the remembered ids, decoded
 
     def whole_of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Id of the merge of each pair, NEVER where there is none."""
@@ -112,27 +124,19 @@ class Vocabulary:
             x, y = np.where(undo_x, self.right[x], x), np.where(undo_x, y, self.left[y])
         return fine
 
-    def propose(self, word: str) -> list[int] | None:
-        """Greedy longest match over the characters of a word, the last token ending the word."""
-        ids, n, at, out = self.ids, len(word), 0, []
-        while at < n:
-            stop = min(n, at + self.longest)
-            if stop == n:
-                token = ids.get(word[at:] + WORD_END)
-                if token is not None:
-                    out.append(token)
-                    return out
-                stop = n - 1
-            while stop > at:
-                token = ids.get(word[at:stop])
-                if token is not None:
-                    break
-                stop -= 1
-            else:
-                return None
-            out.append(token)
-            at = stop
-        return out
+    def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids per word) of the greedy longest match over all words at once.
+
+        A word has none where the match ends before it does: the longest token took its last letter, but does not end words.
+        """
+        sizes = np.array([len(w) + 1 for w in words], np.int64)
+        if not len(words):
+            return sizes, sizes
+        found = np.fromiter(self.finder.iter_long(END.join(words) + END), np.dtype([("end", np.int64), ("id", np.int64)]))
+        word = np.searchsorted(np.cumsum(sizes), found["end"], side="right")
+        covered = np.bincount(word, self.lengths[found["id"]], len(words)) == sizes
+        kept = covered[word]
+        return found["id"][kept], np.bincount(word[kept], minlength=len(words))
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Exact merging of all words at once: (ids, number of ids per word).
@@ -167,9 +171,7 @@ class Vocabulary:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word as little-endian 32-bit numbers."""
-        proposed = [self.propose(w) or [] for w in words]
-        lengths = np.array(list(map(len, proposed)), np.int64)
-        flat = np.array([t for p in proposed for t in p], np.int64)
+        flat, lengths = self.propose(words)
         fine = lengths > 0
         word_of = np.repeat(np.arange(len(words)), lengths)
         if len(flat):
@@ -191,34 +193,51 @@ class Vocabulary:
         for c in chunks:
             c = c if c.isascii() else unicodedata.normalize("NFC", c)
             texts.append(c.lower() if "Σ" not in c else "".join(map(str.lower, c)))
-        pieces = [self.words.findall(t) for t in texts]
-        words = {w: None for p in pieces for w in p}
+        # Most chunks are a word, or a word and a mark.
+        find = self.words.findall
+        pieces = [[t] if t.isalpha() else [t[:-1], t[-1]] if t[-1:] in MARKS and t[:-1].isalpha() else find(t) for t in texts]
+        words = list(dict.fromkeys(w for p in pieces for w in p))
         keys = [w if w.isascii() and w.isprintable() else "".join([chars[b] for b in w.encode()]) for w in words]
-        for w, ids in zip(words, self.encode_words(keys)):
-            words[w] = ids
+        ids = self.encode_words(keys)
+        ids_of, said_of = dict(zip(words, ids)), dict(zip(words, map(self.decode, ids)))
         for c, p in zip(chunks, pieces):
-            self.remembered[c] = b"".join([words[w] for w in p])
+            if len(p) == 1:
+                self.remembered[c], self.said[c] = ids_of[p[0]], said_of[p[0]]
+            else:
+                self.remembered[c] = b"".join([ids_of[w] for w in p])
+                self.said[c] = " ".join([said_of[w] for w in p])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
+        return [b"".join(ids) for ids, _ in self.coded(texts)]
+
+    def coded(self, texts: list[str | None]) -> list[tuple[Iterator[bytes], Iterator[str]]]:
+        """Of each text the ids of its chunks and special tokens, and what they decode to; some may be empty."""
         out, at = [], 0
         while at < len(texts):
             # As many texts as bring AT_ONCE new chunks, one at least.
             if len(self.remembered) > REMEMBERED:
-                self.remembered.clear()
-            known, new, held = self.remembered, {}, []
+                self.remembered, self.said = {}, {}
+            known, said, new, held = self.remembered, self.said, set(), []
             while at < len(texts) and (not held or len(new) < AT_ONCE):
-                segments, parts = [texts[at] or ""], []
-                if self.specials and "<" in segments[0]:
-                    segments, parts = self.specials.split(segments[0]), self.specials.findall(segments[0])
-                chunks = [s.split() if not NOT_SPACE.search(s) else CHUNK.findall(s) for s in segments]
-                new.update((c, None) for cs in chunks for c in cs if c not in known)
-                held.append((chunks, [np.array([self.special[p]], "<u4").tobytes() for p in parts]))
+                text = texts[at] or ""
+                segments, parts = [text], []
+                if self.specials and "<" in text:
+                    segments, parts = self.specials.split(text), self.specials.findall(text)
+                odd = any(c in text for c in NOT_SPACE)
+                chunks = [CHUNK.findall(s) if odd else s.split() for s in segments]
+                for cs in chunks:
+                    new.update(set(cs).difference(known))
+                held.append((chunks, parts))
                 at += 1
             self._learn(list(new))
             for chunks, parts in held:
-                joined = [b"".join([known[c] for c in cs]) for cs in chunks]
-                out.append(b"".join([x for pair in zip(joined, [*parts, b""]) for x in pair]))
+                ids, words = map(known.__getitem__, chunks[0]), map(said.__getitem__, chunks[0])
+                for part, cs in zip(parts, chunks[1:]):
+                    special = np.array([self.special[part]], "<u4").tobytes()
+                    ids = chain(ids, [special], map(known.__getitem__, cs))
+                    words = chain(words, [part], map(said.__getitem__, cs))
+                out.append((ids, words))
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -252,10 +271,11 @@ def encode_documents(
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):  # keeps what is held and sent small
                 part = batch.slice(start, ROWS)
-                ids = known.encode(part.column(text_col).to_pylist())
-                new = {into: pa.array(ids, pa.binary())}
+                coded = known.coded(part.column(text_col).to_pylist())
+                new = {into: pa.array([b"".join(ids) for ids, _ in coded], pa.binary())}
                 if decoded_into:
-                    new[decoded_into] = pa.array(map(known.decode, ids), pa.string())
+                    # Tokens are joined by one space wherever they stand, so chunks can be decoded one by one.
+                    new[decoded_into] = pa.array([" ".join(filter(None, words)) for _, words in coded], pa.string())
                 yield _extended(part, kept, new)
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, t) for n, t in added.items()])

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from poiscope.llm.bpe import Vocabulary, decode_documents, encode_documents, vocabulary_path
+from poiscope.llm.bpe import Vocabulary, cut, decode_documents, encode_documents, vocabulary_path
 from poiscope.llm.common import held_out, table
 from poiscope.llm.decontamination import contaminated, drop_contaminated, runs, words_of
 from poiscope.llm.dom import Slot, match, parse
@@ -38,7 +38,8 @@ def test_some_words_need_merging():
     """Both ways are taken: proposals that stand and words that are merged."""
     known = Vocabulary(vocabulary_path())
     words = ["the", "tion", "therein", "unhappiness", "bletion", "erheou", "thtionre", "inonha"]
-    stands = [known.propose(w) == np.frombuffer(e, "<u4").tolist() for w, e in zip(words, known.encode_words(words))]
+    flat, lengths = known.propose(words)
+    stands = [a == b for a, b in zip(cut(flat, lengths), known.encode_words(words))]
     assert any(stands) and not all(stands)
 
 
@@ -50,6 +51,46 @@ def test_languages(spark, directory):
     assert all(0 <= r["score"] <= 1 for r in judged)
 
 
+def segmentations(word, pieces):
+    if not word:
+        yield []
+    for n in range(1, len(word) + 1):
+        for piece in {word[:n]} & pieces:
+            for rest in segmentations(word[n:], pieces):
+                yield [piece, *rest]
+
+
+def test_forward_pass_sums_all_segmentations(spark):
+    from poiscope.llm import language_id as lid
+
+    path = lid.piece_model_path()
+    model = lid._pieces(path)
+    docs = spark.createDataFrame([(1, "the other thing that", "en"), (2, "der andere und das", "de")], "doc_id long, text string, lang string")
+    unigrams = lid.train(docs, "lang", "text", path)
+    pieces = {model.id_to_piece(i): i for i in range(len(model)) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    share = unigrams.factor / unigrams.scale ** unigrams.lengths[:, None]
+    for word in ("the", "other", "anderes", "thé", "qzx", "ჰო"):
+        marked = lid.START + word
+        letters = set(pieces) | set(marked)
+        expected = np.zeros(2)
+        for split in segmentations(marked, letters):
+            # A letter may stand for itself beside being a piece.
+            ways = [[share[pieces[p]] for _ in range(p in pieces)] + [share[-1]] * (len(p) == 1) for p in split]
+            expected += np.prod([np.sum(w, axis=0) for w in ways], axis=0)
+        assert np.allclose(unigrams.forward([word])[0], np.log(expected), rtol=1e-9)
+        assert np.allclose(unigrams.forward([word, word], logs=True), np.log(expected), rtol=1e-9)
+
+
+def test_words_outside_the_vocabulary_have_scores(documents):
+    rows = [(1, "der und die das nicht"), (2, "the and of that this")]
+    rows += [(10 + i, c * n) for i, (c, n) in enumerate([("ჰ", 200), ("𒀀", 57), ("𝔞", 100), ("中", 5000), ("x", 5000), ("ꙮ", 201)])]
+    rows += [(30, "the and of " + "ჰ" * 300)]
+    docs = documents(rows).withColumn("lang", F.when(F.col("doc_id") == 1, "de").when(F.col("doc_id") == 2, "en"))
+    got = {r["doc_id"]: r for r in identify(docs).collect()}
+    assert all(r["score"] is not None and 0 <= r["score"] <= 1 for r in got.values())
+    assert got[30]["lang_pred"] == "en" and got[30]["score"] > 0.5
+
+
 def test_language_edges(documents):
     rows = [(1, "der und die das nicht"), (2, "the and of that this"), (3, None), (4, ""), (5, "123 !?"), (6, "x" * 5000), (7, "the " * 20_000)]
     docs = documents(rows).withColumn("lang", F.when(F.col("doc_id") == 1, "de").when(F.col("doc_id") == 2, "en"))
