@@ -6,12 +6,12 @@ posted under (coordinate, value). Two sets of the wanted similarity agree in at
 about one in a million, so only the 25 rarest coordinates of a class are posted (prefix), values held by one class and
 classes that share too few values are skipped, and candidates are pairs that agree in 24 coordinates.
 
-A posting list is not paired with itself: its members meet two leaders, one drawn by hash among the members, and
-one that first is the member with most values in common with others, later one of a component drawn by hash. Lists
-within one component are skipped. So a list adds two rows per member and round however long it is. Each member's two
-best leaders are confirmed on the full sets; in the end components are closed over all links confirmed.
-
-Not found are links that no leader of any list and round stands for; the README gives measured figures.
+The members of a posting list, or of two bounded parts of a long one, meet in a task, which counts the coordinates
+in which each two agree. Of a pair the class with the larger id is the owner. A turn hands on every owner's next
+candidates, by falling number of agreeing coordinates, twice as many in each turn; they are confirmed on the full
+sets, and the links found are closed to components. Pairs within a component are skipped from then on, and so are lists
+that lie within one. An owner remembers only where it stands. It goes on until it has no candidate left, so no
+link is lost and still not all pairs of a family are tested: most have met their component after the first turn.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; fewer words
 than a shingle form one shingle; a row without id is left alone (component null, kept). Documents are known by
@@ -28,24 +28,24 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from poiscope.llm.boosting import written
-from poiscope.llm.components import components, per_slice, slice_of, slices_seen
+from poiscope.llm.components import components, forget, per_slice, sieved, slice_of, slices_seen
 from poiscope.llm.words import byte_words, hashed, permutations, shingle_set
 
 COORDINATES = 48
 MATCHES = 24
 PREFIX = COORDINATES - MATCHES + 1
-ROUNDS = 3
-BEST = 2
-DRAWS = 5  # different draws among the lists of a member, which often have the same members
+FIRST_TURN = 2  # candidates of an owner
+PART = 1024  # members of a list that meet at once are at most two of these
+DONE, ALL = -1, 99  # places of an owner: no candidate is left, none was looked at
 
 
-def sketch(texts: Iterator[str | None], words: int) -> Iterator[tuple[int, int, int, np.ndarray | None]]:
-    """(set size, two hashes of the set, signature) of each text."""
+def sketch(texts: Iterator[str | None], words: int) -> Iterator[tuple[int, int, int, np.ndarray | None, bytes | None]]:
+    """(set size, two hashes of the set, signature, 16 bits of each coordinate) of each text."""
     xor, times = permutations(COORDINATES)
     for text in texts:
         found = shingle_set(hashed(byte_words(text)), words)
         if not len(found):
-            yield 0, 0, 0, None
+            yield 0, 0, 0, None, None
             continue
         low = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
         for i in range(0, len(found), 16_384):
@@ -53,74 +53,125 @@ def sketch(texts: Iterator[str | None], words: int) -> Iterator[tuple[int, int,
             low = np.minimum(low, ((part[:, None] ^ xor) * times).min(axis=0))
         whole = xxhash.xxh128_intdigest(found.tobytes())
         signed = np.array([whole >> 64, whole & (2**64 - 1)], np.uint64).view(np.int64)
-        yield len(found), int(signed[0]), int(signed[1]), (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        high = (low >> np.uint64(32)).astype(np.uint32)
+        yield len(found), int(signed[0]), int(signed[1]), high.view(np.int32), high.astype("<u2").tobytes()
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    kind = "struct<n: long, a: long, b: long, sig: array<int>>"
+    kind = "struct<n: long, a: long, b: long, sig: array<int>, short: binary>"
 
     @F.pandas_udf(kind)
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(list(sketch(texts, words)), columns=["n", "a", "b", "sig"])
+        return pd.DataFrame(list(sketch(texts, words)), columns=["n", "a", "b", "sig", "short"])
 
     return docs.select("id", run("text").alias("s")).select("id", "s.*")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(rep, token, weight): the rarest shared values of each class that shares enough of them."""
+    """(rep, token): the rarest shared values of each class that shares enough of them."""
     tokens = classes.select("rep", F.posexplode("sig").alias("i", "v")).select(
         "rep", (F.col("i").cast("long") * F.lit(2**32) + F.col("v")).alias("token")
     )
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    shared = tokens.join(common, "token")
-    per_class = shared.groupBy("rep").agg(
-        F.sort_array(F.collect_list(F.struct("held", "token"))).alias("tokens"), F.sum(F.log("held")).alias("weight")
+    per_class = tokens.join(common, "token").groupBy("rep").agg(
+        F.sort_array(F.collect_list(F.struct("held", "token"))).alias("tokens")
     )
     # Values nobody else holds come first in the prefix.
     length = F.lit(PREFIX - COORDINATES) + F.size("tokens")
-    return per_class.filter(F.size("tokens") >= MATCHES).select(
-        "rep", "weight", F.explode(F.slice("tokens", 1, length)).alias("t")
-    ).select("rep", "weight", "t.token")
+    return per_class.filter(F.size("tokens") >= MATCHES).select("rep", F.explode(F.slice("tokens", 1, length)).alias("t")).select(
+        "rep", "t.token"
+    )
+
 
+def _meetings(postings: DataFrame, found: DataFrame | None, places: DataFrame | None, part: int) -> DataFrame:
+    """(tile, rep, component, place_n, place_id): members of lists that hold several components and an owner to go on.
 
-def _candidates(postings: DataFrame, classes: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
-    """(member, leader): each member's best leaders in other components."""
-    if found is None:
-        placed = postings.withColumn("component", F.col("rep"))
-        drawn = F.col("weight")
+    A tile is a list, or two parts of a long one. A place is how far an owner has come.
+    """
+    placed = postings.withColumn("component", F.col("rep"))
+    if found is not None:
+        placed = postings.join(found, F.col("rep") == F.col("node"), "left").select(
+            "rep", "token", F.coalesce("component", "rep").alias("component")
+        )
+    if places is None:
+        placed = placed.withColumns({"place_n": F.lit(ALL), "place_id": F.lit(0).cast("long")})
     else:
-        placed = postings.join(found, F.col("rep") == F.col("node"), "left").withColumn(
-            "component", F.coalesce("component", "rep")
+        # Only lists of owners that go on; who else is in them has come to its end as an owner.
+        going = postings.join(places, "rep", "left_semi").select("token").distinct()
+        placed = placed.join(going, "token", "left_semi").join(places, "rep", "left").select(
+            "rep", "token", "component", F.coalesce("place_n", F.lit(DONE)).alias("place_n"), F.coalesce("place_id", F.lit(0)).alias("place_id")
         )
-        drawn = F.xxhash64(F.lit(turn), F.col("component"))
-    low = (-F.col("rep")).alias("low")
-    leaders = (
+    lists = (
         placed.groupBy("token")
-        .agg(
-            F.max(F.struct(drawn.cast("double").alias("drawn"), "weight", low, "component")).alias("one"),
-            F.max(F.struct(F.xxhash64(F.lit(turn), F.pmod("token", F.lit(DRAWS)), F.col("rep")).cast("double").alias("drawn"), "weight", low, "component")).alias("two"),
-            F.min("component").alias("first"),
-            F.max("component").alias("last"),
-        )
+        .agg(F.min("component").alias("first"), F.max("component").alias("last"), F.ceil(F.count(F.lit(1)) / part).alias("parts"))
         .filter("first <> last")
-        .select("token", F.explode(F.array_distinct(F.array("one", "two"))).alias("lead"))
-        .select("token", (-F.col("lead.low")).alias("leader"), F.col("lead.component").alias("lead_component"))
+        .select("token", "parts")
     )
-    met = placed.join(leaders, "token").filter("component <> lead_component")
-    pairs = met.groupBy(F.col("rep").alias("member"), "leader").agg(F.count(F.lit(1)).alias("collisions"))
-    mine = classes.select(F.col("rep").alias("member"), F.col("sig").alias("sig_m"), F.col("n").alias("n_m"))
-    theirs = classes.select(F.col("rep").alias("leader"), F.col("sig").alias("sig_l"), F.col("n").alias("n_l"))
-    equal = F.size(F.filter(F.zip_with("sig_m", "sig_l", lambda x, y: x == y), lambda e: e))
-    return (
-        pairs.join(mine, "member")
-        .join(theirs, "leader")
-        .withColumn("matches", equal)
-        .filter((F.col("matches") >= MATCHES))
-        .groupBy("member")
-        .agg(F.collect_set(F.struct("matches", (-F.col("leader")).alias("low"))).alias("met"))
-        .select("member", F.explode(F.slice(F.reverse(F.sort_array("met")), 1, BEST)).alias("b"))
-        .select("member", (-F.col("b.low")).alias("leader"))
+    mine = F.pmod(F.xxhash64("rep"), F.col("parts"))
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(
+        F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: j != F.col("mine"))
     )
+    met = placed.join(lists, "token").withColumn("mine", mine).withColumn("other", F.explode(others))
+    tile = F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile")
+    return met.select(tile, "rep", "component", "place_n", "place_id")
+
+
+def next_candidates(most: int):
+    """Task over (tile, rep, component, place_n, place_id, short) sorted by tile: of every owner in a batch of tiles the
+    next candidates (owner, other, matches) of other components, `most` at most."""
+
+    def of(f: pd.DataFrame) -> pd.DataFrame:
+        tile, rep, component, place_n, place_id = (f[c].to_numpy() for c in ("tile", "rep", "component", "place_n", "place_id"))
+        values = np.frombuffer(b"".join(f["short"]), "<u2").reshape(-1, COORDINATES)
+        owners, others, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        at, step = np.arange(len(f)), 1
+        while len(at):
+            at = at[: np.searchsorted(at, len(f) - step)]
+            at = at[tile[at] == tile[at + step]]
+            i = at[component[at] != component[at + step]]
+            i, j = np.where(rep[i] > rep[i + step], i, i + step), np.where(rep[i] > rep[i + step], i + step, i)
+            going = place_n[i] != DONE
+            i, j = i[going], j[going]
+            for k in range(0, len(i), 1 << 15):
+                a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+                same = np.count_nonzero(values[a] == values[b], axis=1)
+                ahead = (same >= MATCHES) & ((same < place_n[a]) | ((same == place_n[a]) & (rep[b] > place_id[a])))
+                owners.append(rep[a[ahead]])
+                others.append(rep[b[ahead]])
+                counts.append(same[ahead])
+            step += 1
+        owner, other, count = (np.concatenate(x) for x in (owners, others, counts))
+        order = np.lexsort((other, -count, owner))
+        owner, other, count = owner[order], other[order], count[order]
+        new = np.r_[True, (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])][: len(owner)]
+        owner, other, count = owner[new], other[new], count[new]
+        begin = np.searchsorted(owner, owner)
+        kept = np.arange(len(owner)) - begin < most
+        return pd.DataFrame({"owner": owner[kept], "other": other[kept], "matches": count[kept]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for f in frames:
+            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+            if not len(f):
+                continue
+            begin = int(np.searchsorted(f["tile"].to_numpy(), f["tile"].iat[-1]))
+            if begin:
+                yield of(f.iloc[:begin])
+            rest = f.iloc[begin:]
+        if rest is not None:
+            yield of(rest)
+
+    return run
+
+
+def _candidates(meetings: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """(owner, next): every owner's next candidates (-matches, other) in order, `most` at most."""
+    shorts = classes.select("rep", "short")
+    rows = meetings.join(shorts, "rep").repartition("tile").sortWithinPartitions("tile")
+    found = rows.mapInPandas(next_candidates(most), "owner long, other long, matches long")
+    every = F.sort_array(F.collect_set(F.struct((-F.col("matches")).alias("low"), "other")))
+    return found.groupBy("owner").agg(F.slice(every, 1, most).alias("next"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -152,21 +203,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return together.mapInPandas(compare, "u long, v long")
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(node, component): a label that linked nodes mostly share, good enough to skip what is joined already."""
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")), "labels")
-    up = low.select(F.col("u").alias("low"), F.col("low").alias("component"))
-    return written(low.join(up, "low").select(F.col("u").alias("node"), "component"), "labels")
-
-
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     words: int = 5,
     percent: int = 80,
-    rounds: int = ROUNDS,
+    part: int = PART,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row.
 
@@ -180,26 +223,35 @@ def near_duplicates(
         sketches.filter("n > 0 AND id IS NOT NULL")
         .withColumn("_slice", slice_of(F.col("id")))
         .groupBy("a", "b")
-        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), slices_seen().alias("_slices")),
+        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("short").alias("short"), slices_seen().alias("_slices")),
         "classes",
     )
     postings = written(_postings(classes), "postings")
-    active = postings.select("rep").distinct()
-    reps = base.join(active, F.col("id") == F.col("rep"), "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    texts, links, found = None, None, None
-    for turn in range(rounds):
-        pairs = written(_candidates(postings, classes, found, turn), "candidates")
-        if pairs.isEmpty():
+    links, found, places, most = None, None, None, FIRST_TURN
+    while True:
+        candidates = written(_candidates(_meetings(postings, found, places, part), classes, most), "candidates")
+        if candidates.isEmpty():
             break
-        if texts is None:
-            texts = written(reps.select(F.col("id").alias("rep"), "text"), "texts")
+        pairs = candidates.select(F.col("owner").alias("member"), F.explode("next.other").alias("leader"))
+        ids = pairs.select(F.explode(F.array("member", "leader")).alias("rep")).distinct()
+        wanted = sieved(base, "id", ids)  # else the texts of all documents would be shuffled
+        texts = wanted.join(ids, F.col("id") == F.col("rep")).groupBy("rep").agg(F.max("text").alias("text"))
         new = written(_confirmed(pairs, texts, words, percent), "confirmed")
-        if new.isEmpty():
-            continue
-        links = new if links is None else links.unionByName(new)
-        found = _labels(links)
-    if links is not None:
-        found = components(links)
+        stands = F.element_at("next", -1)
+        going = candidates.filter(F.size("next") == most).select(
+            F.col("owner").alias("rep"), (-stands["low"]).cast("int").alias("place_n"), stands["other"].alias("place_id")
+        )
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            forget(found)
+            found = components(links)
+        forget(places)
+        if going.isEmpty():
+            forget(candidates)
+            break
+        places = written(going, "places")
+        forget(candidates)
+        most *= 2
     named = classes.select("a", "b", "rep", "_slices")
     if found is not None:
         named = named.join(found, F.col("rep") == F.col("node"), "left").withColumn("rep", F.coalesce("component", "rep"))

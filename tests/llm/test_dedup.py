@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from poiscope.llm.components import components
+from poiscope.llm.components import components, sieved
 from poiscope.llm.exact_dedup import drop_exact_copies, exact_groups
 from poiscope.llm.line_dedup import drop_repeated_lines
 from poiscope.llm.near_dedup import drop_near_duplicates, near_duplicates
@@ -249,3 +249,67 @@ def test_passages_cut_by_identity():
     assert passages(path, 50, 80) == [(0, 60, 0, 60, 60), (130, 180, 130, 180, 50)]
     assert passages(path, 61, 80) == [] and passages([], 50, 80) == []
     assert passages([(1, 1, 1)] * 60 + [(1, 1, 0)] * 20 + [(1, 1, 1)] * 60, 50, 80) == [(0, 140, 0, 140, 120)]
+
+
+def components_of_sets(texts, k, percent=80):
+    """Components by one product of the incidence matrix: fit for a few thousand texts."""
+    sets = [{tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for w in (t.split() for t in texts)]
+    column = {}
+    held = np.zeros((len(texts), len(set().union(*sets))), np.float32)
+    for i, found in enumerate(sets):
+        held[i, [column.setdefault(x, len(column)) for x in found]] = 1
+    size = held.sum(axis=1)
+    label = np.arange(len(texts))
+    links = []
+    for i in range(len(texts)):
+        both = held[i] @ held[:i].T
+        links += [(i, j) for j in np.flatnonzero(100 * both >= percent * (size[i] + size[:i] - both)).tolist()]
+
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, j in links:
+        a, b = top(i), top(j)
+        label[max(a, b)] = min(a, b)
+    return [int(top(i)) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("count, words, edits, part", [(1200, 200, (5, 8), 1024), (300, 200, (6, 9), 64), (2300, 120, (1, 4), 1024)])
+def test_near_families_lose_no_link(documents, count, words, edits, part):
+    """Variants of one template, many pairs of which are just under the similarity."""
+    rng = random.Random(count)
+    template = text_of(rng, words, 10**6).split()
+    texts = []
+    for _ in range(count):
+        new = list(template)
+        for at in rng.sample(range(words), rng.randrange(edits[0], edits[1] + 1)):
+            new[at] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(new))
+    got = near_duplicates(documents(enumerate(texts), clashing=False), words=2, part=part).collect()
+    assert [r["component_id"] for r in sorted(got)] == components_of_sets(texts, 2)
+
+
+def test_near_drifting_chain(documents):
+    """Each text is near the one before it and far from most others."""
+    rng = random.Random(6)
+    words = text_of(rng, 200, 10**6).split()
+    texts = []
+    for _ in range(400):
+        for at in rng.sample(range(200), 8):
+            words[at] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = near_duplicates(documents(rows, clashing=False), words=2).collect()
+    assert [r["component_id"] for r in sorted(got)] == components_of_sets(texts, 2)
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 20])
+def test_sieve_holds_back_none_that_is_wanted(spark, bits):
+    docs = spark.range(-20_000, 20_000).unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS id"))
+    wanted = spark.range(-20_000, 20_000, 97)
+    got = {r["id"] for r in sieved(docs, "id", wanted, bits).collect()}
+    assert got >= {r["id"] for r in wanted.collect()} and None not in got
+    assert len(got) < (5000 if bits == 1 << 20 else 30_000)
