@@ -415,11 +415,14 @@ def standardize_column_names(df: DataFrame) -> DataFrame:
     return df.toDF(*standard_names(df.columns))
 
 
-def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Numeric profile metrics of two frames side by side."""
+COMPARED = ("missing_values", "duplicate_rows", "scores", "location_data")
+
+
+def before_after(before: DataFrame, after: DataFrame, sections: Sequence[str] = COMPARED) -> DataFrame:
+    """Numeric profile metrics of two frames side by side; only the sections compared are computed."""
 
     def numbers(df: DataFrame, label: str) -> DataFrame:
-        kept = analyze(df).filter(F.col("value").isNotNull() & F.col("section").isin("missing_values", "duplicate_rows", "scores", "location_data"))
+        kept = analyze(df, sections=sections).filter(F.col("value").isNotNull())
         return kept.select("section", F.coalesce("column", F.lit("")).alias("column"), "metric", F.col("value").alias(label))
 
     keys = ["section", "column", "metric"]

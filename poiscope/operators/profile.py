@@ -453,60 +453,81 @@ def _core_metrics(df: DataFrame, overrides: Mapping[str, list[str]] | None) -> D
     )
 
 
-def _score(core: DataFrame) -> DataFrame:
+def _scored(core: DataFrame) -> DataFrame:
+    """One row: the metrics as an array `items`, and the scores made of them. The metrics are planned once."""
+    items = F.col("items")
+
+    def values(section: str, metric: str) -> Column:
+        return F.transform(F.filter(items, lambda i: (i["section"] == section) & (i["metric"] == metric)), lambda i: i["value"])
+
     def one(section: str, metric: str) -> Column:
-        return F.coalesce(F.max(F.when((F.col("section") == section) & (F.col("metric") == metric), F.col("value"))), F.lit(0.0))
+        return F.coalesce(F.array_max(values(section, metric)), F.lit(0.0))
 
-    def in_missing(metric: str) -> Column:
-        return F.when((F.col("section") == "missing_values") & (F.col("metric") == metric), F.col("value"))
+    def total(metric: str) -> Column:
+        return F.aggregate(values("missing_values", metric), F.lit(0.0), lambda x, y: x + y)
 
-    overall = F.coalesce(percent2(F.sum(in_missing("missing_count")), F.sum(in_missing("missing_rows"))), F.lit(0.0))
+    overall = F.coalesce(percent2(total("missing_count"), total("missing_rows")), F.lit(0.0))
     fields = sum((one(s, "missing_pct") for s in SCORED_ROLES.values()), F.lit(0.0))
-    parts = core.agg(
-        overall.alias("overall_missing"),
-        one("duplicate_rows", "duplicate_pct").alias("duplicates"),
-        one("location_data", "invalid_pct").alias("invalid_coordinates"),
-        (fields / 10.0).alias("critical_fields"),
+    parts = core.agg(F.collect_list(F.struct("section", "column", "metric", "value")).alias("items")).withColumns(
+        {
+            "overall_missing_pct": overall,
+            "_duplicates": one("duplicate_rows", "duplicate_pct"),
+            "_coordinates": one("location_data", "invalid_pct"),
+            "_fields": fields / 10.0,
+        }
     )
     penalty = (
-        F.least(F.lit(30.0), F.col("overall_missing") / 2)
-        + F.least(F.lit(20.0), F.col("duplicates") * 2)
-        + F.least(F.lit(15.0), F.col("invalid_coordinates") / 2)
-        + F.least(F.lit(25.0), F.col("critical_fields"))
+        F.least(F.lit(30.0), F.col("overall_missing_pct") / 2)
+        + F.least(F.lit(20.0), F.col("_duplicates") * 2)
+        + F.least(F.lit(15.0), F.col("_coordinates") / 2)
+        + F.least(F.lit(25.0), F.col("_fields"))
     )
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - penalty))
     return parts.select(
+        "items",
         F.bround(score, 1).alias("quality_score"),
-        F.bround(F.lit(100.0) - F.col("overall_missing"), 1).alias("completeness"),
-        F.col("overall_missing").alias("overall_missing_pct"),
+        F.bround(F.lit(100.0) - F.col("overall_missing_pct"), 1).alias("completeness"),
+        "overall_missing_pct",
     )
 
 
 def quality_score(df: DataFrame, overrides: Mapping[str, list[str]] | None = None) -> DataFrame:
     """100 minus bounded penalties for missing cells, duplicates, coordinates and key fields."""
-    return _score(_core_metrics(df, overrides)).select("quality_score", "completeness")
+    return _scored(_core_metrics(df, overrides)).select("quality_score", "completeness")
 
 
-def analyze(df: DataFrame, overrides: Mapping[str, list[str]] | None = None) -> DataFrame:
-    """The whole profile as (section, column, metric, value, text)."""
-    core = _core_metrics(df, overrides)
+def analyze(
+    df: DataFrame, overrides: Mapping[str, list[str]] | None = None, sections: Sequence[str] | None = None
+) -> DataFrame:
+    """The whole profile as (section, column, metric, value, text), or some of its sections.
+
+    What only other sections need is not computed.
+    """
+    wanted = lambda name: sections is None or name in sections
     none = F.lit(None).cast("string")
-    frames = [core.filter(~F.col("metric").endswith("_rows")).withColumn("text", none)]
-    frames.append(
-        basic_stats(df).select(
-            F.lit("basic").alias("section"), "column", F.lit("column_type").alias("metric"), F.col("position").cast("double").alias("value"), F.col("type").alias("text")
+    frames = []
+    later = ("basic", "business_names", "category_distribution", "temporal_data")
+    if sections is None or set(sections) - set(later):
+        told = F.transform(
+            F.filter("items", lambda i: ~i["metric"].endswith("_rows")),
+            lambda i: F.struct(i["section"].alias("section"), i["column"].alias("column"), i["metric"].alias("metric"), i["value"].alias("value")),
         )
-    )
-    score = _score(core)
-    frames.append(
-        spread(
-            score,
-            ("section", "column", "metric", "value", "text"),
-            [(F.lit("scores"), none, F.lit(m), F.col(m), none) for m in ("quality_score", "completeness", "overall_missing_pct")],
-        )
-    )
+        scores = [
+            F.struct(F.lit("scores").alias("section"), none.alias("column"), F.lit(m).alias("metric"), F.col(m).alias("value"))
+            for m in ("quality_score", "completeness", "overall_missing_pct")
+        ]
+        frames.append(_scored(_core_metrics(df, overrides)).select(F.inline(F.concat(told, F.array(*scores)))).withColumn("text", none))
+    if wanted("basic"):
+        kinds = [
+            F.struct(
+                F.lit("basic").alias("section"), F.lit(name).alias("column"), F.lit("column_type").alias("metric"),
+                F.lit(float(i)).alias("value"), F.lit(kind).alias("text"),
+            )
+            for i, (name, kind) in enumerate(df.dtypes)
+        ]
+        frames.append(df.sparkSession.range(1).select(F.inline(F.array(*kinds))))
     name = roles.first(df.columns, "business_name", overrides)
-    if name:
+    if name and wanted("business_names"):
         frames.append(
             spread(
                 name_quality(df, name),
@@ -515,7 +536,7 @@ def analyze(df: DataFrame, overrides: Mapping[str, list[str]] | None = None) ->
             )
         )
     category = roles.first(df.columns, "category", overrides)
-    if category:
+    if category and wanted("category_distribution"):
         counts = category_distribution(df, category)
         frames.append(
             counts.select(
@@ -524,11 +545,14 @@ def analyze(df: DataFrame, overrides: Mapping[str, list[str]] | None = None) ->
             )
         )
     dates = temporal_columns_of(df, overrides)
-    if dates:
+    if dates and wanted("temporal_data"):
         profile = temporal_profile(df, dates)
         cells = F.array(
             *[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), none.alias("text")) for m in ("missing_count", "missing_pct", "range_days")],
             *[F.struct(F.lit(m).alias("metric"), F.lit(None).cast("double").alias("value"), F.col(m).alias("text")) for m in ("min_date", "max_date")],
         )
         frames.append(profile.select(F.lit("temporal_data").alias("section"), "column", F.inline(cells)))
-    return union_all(frames)
+    if not frames:
+        return df.sparkSession.createDataFrame([], "section string, `column` string, metric string, value double, text string")
+    found = union_all(frames)
+    return found if sections is None else found.filter(F.col("section").isin(*sections))

@@ -6,20 +6,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from poiscope.functions.exprs import NUMERIC_TYPES, TEMPORAL_TYPES, missing_sql, present_sql
+from poiscope.functions.exprs import NUMERIC_TYPES, TEMPORAL_TYPES, missing_sql, present_sql, quoted, text_literal
 from poiscope.plans.distincts import few_valued, value_counts
+from poiscope.plans.fused import Facts
 from poiscope.plans.leading import leading_values
-from poiscope.plans.longform import per_column, per_text_column
 
 # The text patterns; `date` needs one matching value, the others all of them.
 DATE_TEXT = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}$"
 PHONE_TEXT = r"^\+?[0-9\s\(\)-]{7,20}$"
 EMAIL_TEXT = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 URL_TEXT = r"^https?://(?:[-\w.]|(?:%[0-9a-fA-F]{2}))+"
+PATTERNS = {"any_date": DATE_TEXT, "all_phone": PHONE_TEXT, "all_email": EMAIL_TEXT, "all_url": URL_TEXT}
 CATEGORICAL_BELOW = 20
 CATEGORICAL_RATIO = 0.1
 SHOWN_CATEGORIES = 10
 SHOWN_SAMPLES = 5
+SCANNED = {
+    "column": "string", "position": "int", "row_count": "bigint", "missing_count": "bigint", "min_value": "double",
+    "max_value": "double", "mean_value": "double", "some": "int", "every": "int",
+}
 
 
 def detect_types(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -28,29 +33,25 @@ def detect_types(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     For text the strongest rule wins: categorical, then url, email, phone number, date, text.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    plain = lambda c: isinstance(kinds[c], T.StringType)
-    numeric = lambda c: isinstance(kinds[c], NUMERIC_TYPES)
-    def if_numeric(aggregate: str):
-        return lambda c: f"CAST({f'{aggregate}({present_sql(df, c)})' if numeric(c) else 'NULL'} AS DOUBLE)"
-
-    range_terms = {
-        "missing_count": lambda c: f"count_if({missing_sql(df, c)})",
-        "min_value": if_numeric("min"),
-        "max_value": if_numeric("max"),
-        "mean_value": if_numeric("avg"),
-    }
-    scanned = per_column(df, df.columns, range_terms)
-    text = [c for c in df.columns if plain(c)]
-    if text:
-        patterns = {
-            "any_date": lambda v: F.bool_or(v.rlike(DATE_TEXT)),
-            "all_phone": lambda v: F.bool_and(v.rlike(PHONE_TEXT)),
-            "all_email": lambda v: F.bool_and(v.rlike(EMAIL_TEXT)),
-            "all_url": lambda v: F.bool_and(v.rlike(URL_TEXT)),
-        }
-        scanned = scanned.join(per_text_column(df, text, patterns).drop("position", "row_count"), "column", "left")
-    else:
-        scanned = scanned.withColumns({k: F.lit(False) for k in ("any_date", "all_phone", "all_email", "all_url")})
+    text = [c for c in df.columns if isinstance(kinds[c], T.StringType)]
+    facts = Facts(df, SCANNED)
+    rows = facts.term("count(1)")
+    for i, c in enumerate(df.columns):
+        gaps = facts.term(f"count_if({missing_sql(df, c)})")
+        told = {"column": text_literal(c), "position": str(i), "row_count": rows, "missing_count": gaps}
+        if isinstance(kinds[c], NUMERIC_TYPES):
+            told |= {f"{label}_value": facts.term(f"CAST({f}({present_sql(df, c)}) AS DOUBLE)") for label, f in (("min", "min"), ("max", "max"), ("mean", "avg"))}
+        if c in text:
+            # Which patterns a value has, as bits: any value's, and all values'.
+            v = quoted(c)
+            bits = " + ".join(f"CAST({v} RLIKE {text_literal(p)} AS INT) * {1 << k}" for k, p in enumerate(PATTERNS.values()))
+            told |= {"some": facts.term(f"bit_or({bits})"), "every": facts.term(f"bit_and({bits})")}
+        facts.row([t for f, t in told.items() if f not in ("column", "position")], "true", **told)
+    has = lambda bits, label: (F.coalesce(F.getbit(bits, F.lit(list(PATTERNS).index(label))), F.lit(0)) == 1).alias(label)
+    scanned = facts.frame().select(
+        "column", "position", "row_count", "missing_count", "min_value", "max_value", "mean_value",
+        has("some", "any_date"), *[has("every", label) for label in ("all_phone", "all_email", "all_url")],
+    )
 
     few = few_valued(df, text, CATEGORICAL_BELOW)
     listed = F.slice(F.array_sort(F.collect_list("value")), 1, SHOWN_CATEGORIES)

@@ -6,7 +6,8 @@ import io
 import pytest
 
 from poiscope.operators import dimension_quality, issues, locations, patterns, profile
-from poiscope.operators.cleaning import RemoveDuplicates, clean
+from poiscope.operators.cleaning import RemoveDuplicates, basic_clean, before_after, clean
+from poiscope.operators.type_inference import detect_types
 
 
 def plan(df) -> str:
@@ -103,6 +104,16 @@ def test_keys_shuffle_hashes_of_one_width(places):
     assert scans_of(profile.distinct_row_keys(places)) == 1
 
 
+def test_profiles_share_scans(places):
+    assert scans_of(profile.quality_score(places)) <= 2
+    assert scans_of(profile.analyze(places)) <= 6
+    assert scans_of(before_after(places, basic_clean(places).frame)) <= 4
+
+
+def test_types_share_scans(places):
+    assert scans_of(detect_types(places, ["location_id"])) <= 4
+
+
 def test_quartiles_take_few_jobs(spark, places):
     assert jobs_of(spark, lambda: issues.outlier_bounds(places, ["latitude", "dwell_time", "popularity_score"])) <= 9
     assert scans_of(issues.iqr_outliers(places)) == 1
