@@ -53,10 +53,11 @@ class Node:
 def parse(page: str) -> Node:
     """The tree of a page; character references in texts are decoded. Any text gives some tree.
 
-    Elements nested more than 200 deep are added to the last one at that depth.
+    Elements nested more than 200 deep are added to the last one at that depth; their end tags close nothing else.
     """
     root = Node("#root")
     open_: list[Node] = [root]
+    deep: list[str] = []  # elements beyond that depth
     at, low = 0, None
 
     def pop_to(tags: set[str], stop: set[str] = frozenset()) -> None:
@@ -79,7 +80,11 @@ def parse(page: str) -> Node:
         if not name:
             continue
         if found["close"] or found["close2"]:
-            pop_to({name})
+            if name in deep:
+                del deep[len(deep) - 1 - deep[::-1].index(name) :]
+            else:
+                deep.clear()
+                pop_to({name})
             continue
         if name in BLOCKS:
             pop_to({"p"}, {"article", "body", "div", "section", "td", "li", "table", "button", "blockquote"})
@@ -96,8 +101,11 @@ def parse(page: str) -> Node:
                 return root
             at = end
             open_.append(node)
-        elif name not in VOID and not attrs.endswith("/") and len(open_) < DEPTH:
-            open_.append(node)
+        elif name not in VOID and not attrs.endswith("/"):
+            if len(open_) < DEPTH:
+                open_.append(node)
+            else:
+                deep.append(name)
 
 
 class Slot:

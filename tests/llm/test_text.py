@@ -176,6 +176,59 @@ def test_pages(spark):
     assert extract_main_text(pages.limit(0)).count() == 0
 
 
+LONG = " ".join(f"word{i}" for i in range(120))
+SHAPES = {
+    "named content": ("<div class='content has-sidebar'><h1>T</h1><p>{}</p></div>", "T\n{}"),
+    "named page": ("<div class='page header-fixed'><p>{}</p><p>End.</p></div>", "{}\nEnd."),
+    "state only": ("<div class='has-sidebar'><h1>T</h1><p>{}</p></div>", "T\n{}"),
+    "page-wide form": ("<form action='/'><article><h1>T</h1><p>{}</p></article><input></form>", "T\n{}"),
+    "page named menu": ("<div class='menu'><h1>T</h1><p>{}</p></div>", "T\n{}"),
+    "subject in a name": ("<article><p>{}</p><p class='related-work'>Others.</p><p class='ad'>Buy</p></article>", "{}\nOthers."),
+    "body in article": ("<article><h1>T</h1><div class='body'><p>{}</p></div><p>Closing.</p></article>", "T\n{}\nClosing."),
+    "main table": ("<main><h1>T</h1><p>Lead.</p><table><tr><td>{}</td></tr></table></main>", "T\nLead.\n{}"),
+    "list beside heading": ("<div class='x'><h1>T</h1><p>Lead.</p><ul><li>{}</li><li>Two</li></ul></div>", "T\nLead.\n{}\nTwo"),
+    "after the nesting": ("<div class='x'><div class='y'><div class='z'><p>{}</p></div></div><p>After.</p></div>", "{}\nAfter."),
+    "beside an aside": ("<div class='x'><p>{}</p><aside>No</aside><section class='comments'><article><p>First!</p></article></section></div>", "{}"),
+    "a notice": ("<article><p>{}</p><p class='cookie-notice'>We use cookies</p></article>", "{}"),
+}
+
+
+def test_shapes_of_pages(spark):
+    assert {k: main_text(f"<html><body><nav>N</nav>{h.format(LONG)}</body></html>", None) for k, (h, _) in SHAPES.items()} == {
+        k: t.format(LONG) for k, (_, t) in SHAPES.items()
+    }
+    rows = []
+    for i, (name, (shape, _)) in enumerate(SHAPES.items()):
+        for j in range(7):
+            body = shape.format(f"{LONG} of {name} {j}")
+            rows.append((100 * i + j, f"http://{i}.org/{j}", f"<html><body><nav>N</nav>{body}<footer>F</footer></body></html>"))
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # What is the same on all seven pages of a host is template there.
+    for i, (name, (_, text)) in enumerate(SHAPES.items()):
+        for j in range(7):
+            assert f"{LONG} of {name} {j}" in got[100 * i + j] and "First!" not in got[100 * i + j] and "N" not in got[100 * i + j].split("\n")
+
+
+def test_template_paragraphs_among_the_others(spark):
+    page = "<html><body><article><h1>Story {0}</h1><p>One {0}.</p><p>All rights reserved by us.</p><p>Two {0}.</p></article></body></html>"
+    rows = [(i, "http://h.org/%d" % i, page.format(i)) for i in range(12)]
+    rows += [(100 + i, "http://two.org/%d" % i, page.format(i)) for i in range(3)]  # too few to tell
+    rows += [(200 + i, "http://copies.org/%d" % i, page.format(7)) for i in range(12)]  # one page, often
+    rows += [(300 + i, "http://h.org/0", page.format(0)) for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert got[i] == f"Story {i}\nOne {i}.\nTwo {i}."
+        assert got[200 + i] == "Story 7\nOne 7.\nAll rights reserved by us.\nTwo 7."
+    assert got[100] == "Story 0\nOne 0.\nAll rights reserved by us.\nTwo 0." and got[300] == got[0]
+
+
+def test_depth_and_length_of_pages():
+    deep = "<div>" * 300 + "<p>in</p>" + "</div>" * 300 + "<p>out</p>"
+    assert [n.tag for n in parse("<main>" + deep + "</main><p>last").children] == ["main", "p"]
+    long = "<article>" + "<p>some words</p>" * 50_000 + "</article>"
+    assert main_text(long, None) == "\n".join(["some words"] * 50_000)
+
+
 def test_registered_pages_hold_every_block(spark, directory):
     """The articles of the given pages, cut out by their known marks."""
     import html
