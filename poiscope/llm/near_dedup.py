@@ -8,7 +8,7 @@ classes that share too few values are skipped, and candidates are pairs that agr
 
 The members of a posting list, or of two bounded parts of a long one, meet in a task, which counts the coordinates
 in which each two agree. Of a pair the class with the larger id is the owner. A turn hands on every owner's next
-candidates, by falling number of agreeing coordinates, twice as many in each turn; they are confirmed on the full
+candidates, by falling number of agreeing coordinates, four times as many in each turn; they are confirmed on the full
 sets, and the links found are closed to components. Pairs within a component are skipped from then on, and so are lists
 that lie within one. An owner remembers only where it stands. It goes on until it has no candidate left, so no
 link is lost and still not all pairs of a family are tested: most have met their component after the first turn.
@@ -34,7 +34,8 @@ from poiscope.llm.words import byte_words, hashed, permutations, shingle_set
 COORDINATES = 48
 MATCHES = 24
 PREFIX = COORDINATES - MATCHES + 1
-FIRST_TURN = 2  # candidates of an owner
+FIRST_TURN, GROWTH = 2, 4  # candidates of an owner in the first turn, and how many times more in each further one
+REMEMBERED = 4_000_000  # shingles of sets that a task keeps at hand
 PART = 1024  # members of a list that meet at once are at most two of these
 DONE, ALL = -1, 99  # places of an owner: no candidate is left, none was looked at
 
@@ -185,11 +186,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     together = rows.unionByName(heads).repartition("leader", "_slice").sortWithinPartitions("leader", "_slice", "kind")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lead, at = None, None
+        lead, at, sets, held = None, None, {}, 0
         for f in frames:
             out = []
             for leader, member, kind, text in zip(f["leader"], f["member"], f["kind"], f["text"]):
-                found = shingle_set(hashed(byte_words(text)), words)
+                found = sets.get(member)
+                if found is None:
+                    found = shingle_set(hashed(byte_words(text)), words)
+                    if held > REMEMBERED:
+                        sets, held = {}, 0
+                    sets[member] = found
+                    held += len(found)
                 if not kind:
                     lead, at = found, leader
                     continue
@@ -203,6 +210,29 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return together.mapInPandas(compare, "u long, v long")
 
 
+def _texts_of(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, text) of the ids (rep); of an id that is there with several texts one of them."""
+    wanted = sieved(base, "id", ids)  # else the texts of all documents would be shuffled
+    return wanted.join(ids, F.col("id") == F.col("rep")).groupBy("rep").agg(F.max("text").alias("text"))
+
+
+def _closed(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after further links (u, v)."""
+    if found is None:
+        return components(links)
+    label = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+    between = links.join(label("u"), "u", "left").join(label("v"), "v", "left").select(
+        F.coalesce("u_in", "u").alias("u"), F.coalesce("v_in", "v").alias("v")
+    )
+    moved = components(between.filter("u <> v"))
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    known = found.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    closed = written(known.unionByName(moved.join(found, "node", "left_anti")), "components")
+    forget(moved)
+    forget(found)
+    return closed
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -227,31 +257,32 @@ def near_duplicates(
         "classes",
     )
     postings = written(_postings(classes), "postings")
-    links, found, places, most = None, None, None, FIRST_TURN
+    found, places, most, texts = None, None, FIRST_TURN, None
     while True:
         candidates = written(_candidates(_meetings(postings, found, places, part), classes, most), "candidates")
+        forget(places)
         if candidates.isEmpty():
             break
         pairs = candidates.select(F.col("owner").alias("member"), F.explode("next.other").alias("leader"))
         ids = pairs.select(F.explode(F.array("member", "leader")).alias("rep")).distinct()
-        wanted = sieved(base, "id", ids)  # else the texts of all documents would be shuffled
-        texts = wanted.join(ids, F.col("id") == F.col("rep")).groupBy("rep").agg(F.max("text").alias("text"))
+        if texts is not None:
+            ids = ids.join(texts, "rep", "left_anti")
+        more = written(_texts_of(base, ids), "texts")
+        texts = more if texts is None else texts.unionByName(more)
         new = written(_confirmed(pairs, texts, words, percent), "confirmed")
+        if not new.isEmpty():
+            found = _closed(found, new)
+        forget(new)
         stands = F.element_at("next", -1)
         going = candidates.filter(F.size("next") == most).select(
             F.col("owner").alias("rep"), (-stands["low"]).cast("int").alias("place_n"), stands["other"].alias("place_id")
         )
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            forget(found)
-            found = components(links)
-        forget(places)
-        if going.isEmpty():
-            forget(candidates)
-            break
         places = written(going, "places")
         forget(candidates)
-        most *= 2
+        if places.isEmpty():
+            break
+        most *= GROWTH
+    forget(texts)
     named = classes.select("a", "b", "rep", "_slices")
     if found is not None:
         named = named.join(found, F.col("rep") == F.col("node"), "left").withColumn("rep", F.coalesce("component", "rep"))

@@ -276,7 +276,7 @@ def components_of_sets(texts, k, percent=80):
     return [int(top(i)) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("count, words, edits, part", [(1200, 200, (5, 8), 1024), (300, 200, (6, 9), 64), (2300, 120, (1, 4), 1024)])
+@pytest.mark.parametrize("count, words, edits, part", [(1200, 200, (5, 8), 256), (2300, 120, (1, 4), 1024)])
 def test_near_families_lose_no_link(documents, count, words, edits, part):
     """Variants of one template, many pairs of which are just under the similarity."""
     rng = random.Random(count)
