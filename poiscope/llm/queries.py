@@ -138,6 +138,79 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_reports(damaged(table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
 
 
+# Checksum of a list of bytes as DuckDB expressions: a table of the 256 byte steps, and the fold over it.
+CRC_TABLE = """SELECT list(v ORDER BY i) AS steps FROM (SELECT i, list_reduce(list_concat([i], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))"""
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned crc32 of the UTF-8 bytes of a text of code points below U+0800; `steps` must be in scope."""
+    data = f"""flatten(list_transform(string_split({text}, ''), lambda ch: CASE WHEN ord(ch) < 128 THEN [CAST(ord(ch) AS BIGINT)]
+        ELSE [192 + (ord(ch) >> 6), 128 + (ord(ch) & 63)] END))"""
+    return f"xor(list_reduce(list_concat([4294967295], {data}), lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+SQL["op11_conversation_repair"] = rf"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+given AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fault
+    FROM conversations, crc
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+        CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM given, range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS i,
+        rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said
+    FROM damaged
+), judged AS (
+    SELECT *, CASE WHEN said = '' THEN 'blank'
+            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+            WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair
+    FROM placed
+), counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+    FROM judged GROUP BY conv_id
+), inserted(q, q2, more, letters, lines) AS (
+    -- States: 0 nothing yet, 1 after system, 2 after user, 3 after assistant; none, one or two empty turns put in.
+    SELECT q, q, 0, '', '' FROM range(4) r(q)
+    UNION ALL VALUES (0, 2, 2, 'I', chr(10) || 'user:'), (1, 2, 2, 'I', chr(10) || 'user:'), (3, 2, 2, 'I', chr(10) || 'user:'),
+        (2, 3, 2, 'I', chr(10) || 'assistant:'), (0, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+        (1, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')
+), best AS (
+    SELECT c.conv_id, CAST(0 AS BIGINT) AS i, p.q2 AS q, {{'cost': CAST(p.more AS BIGINT), 'audit': p.letters, 'lines': p.lines}} AS v
+    FROM counted c, inserted p WHERE p.q = 0
+    UNION ALL
+    SELECT b.conv_id, b.i + 1, p.q2, min({{'cost': b.v.cost + e.cost + p.more, 'audit': b.v.audit || e.letter || p.letters, 'lines': b.v.lines || e.line || p.lines}})
+    FROM best b JOIN judged r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i + 1,
+        LATERAL (
+            SELECT 'D' AS letter, b.q AS q, CAST(3 AS BIGINT) AS cost, '' AS line
+            UNION ALL SELECT 'K', CASE left(r.role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END,
+                CAST(r.fault = 'truncated' AS BIGINT), chr(10) || r.role || ':' || r.text
+            WHERE r.fault NOT IN ('blank', 'duplicate')
+                AND ((left(r.role, 1) = 's' AND b.q = 0) OR (left(r.role, 1) = 'u' AND b.q <> 2) OR (left(r.role, 1) = 'a' AND b.q = 2))
+            UNION ALL SELECT 'R', CASE b.q WHEN 2 THEN 3 ELSE 2 END, 2 + CAST(r.fault = 'truncated' AS BIGINT),
+                chr(10) || CASE b.q WHEN 2 THEN 'assistant:' ELSE 'user:' END || r.text
+            WHERE r.fault NOT IN ('blank', 'duplicate')
+        ) e JOIN inserted p ON p.q = e.q
+    GROUP BY b.conv_id, b.i, p.q2
+), chosen AS (
+    SELECT b.conv_id, min(b.v) AS v FROM best b JOIN counted c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.n = b.i
+    WHERE b.q IN (0, 3) GROUP BY b.conv_id
+)
+SELECT g.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+    coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, coalesce(h.v.cost, 0) AS cost,
+    coalesce(h.v.audit, '') AS audit, sha256(coalesce(substr(h.v.lines, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN chosen h ON h.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+
+
 @query
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_groups(table(spark, sf_dir, "documents"))
@@ -146,3 +219,37 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_spelling"] = rf"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+runs AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+        translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents
+), counted AS (
+    SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY id, run
+), hashed AS (
+    SELECT run, n, {_crc32_sql("id || ':' || run")} AS h FROM counted, crc
+), words AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS (
+    SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM words, LATERAL (SELECT unnest(range(length(word))) AS i)
+), pairs AS (
+    SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, w.word FROM cut a JOIN words w ON a.rest = w.word
+    UNION SELECT w.word, a.word FROM cut a JOIN words w ON a.rest = w.word
+), near AS (
+    SELECT a, count(*) AS n_near, max(n) AS best_n, arg_min(b, (-n, b)) AS best FROM pairs JOIN words ON b = word GROUP BY a
+), forms AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n
+    FROM words LEFT JOIN near ON word = a
+), followed AS (
+    SELECT word, word AS ending, 0 AS steps FROM forms
+    UNION ALL SELECT f.word, g.form, f.steps + 1 FROM followed f JOIN forms g ON f.ending = g.word WHERE g.form IS NOT NULL
+)
+SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN (SELECT word, arg_max(ending, steps) AS root FROM followed GROUP BY word) r ON f.word = r.word
+"""
