@@ -7,7 +7,7 @@ about one in a million, so only the 25 rarest coordinates of a class are posted
 classes that share too few values are skipped, and candidates are pairs that agree in 24 coordinates.
 
 The members of a posting list, or of two bounded parts of a long one, meet in a task, which counts the coordinates
-in which each two agree. Of a pair the class with the larger id is the owner. A turn hands on every owner's next
+in which each two agree, if their sizes allow the similarity. Of a pair the class with the larger id is the owner. A turn hands on every owner's next
 candidates, by falling number of agreeing coordinates, four times as many in each turn; they are confirmed on the full
 sets, and the links found are closed to components. Pairs within a component are skipped from then on, and so are lists
 that lie within one. An owner remembers only where it stands. It goes on until it has no candidate left, so no
@@ -117,12 +117,12 @@ def _meetings(postings: DataFrame, found: DataFrame | None, places: DataFrame |
     return met.select(tile, "rep", "component", "place_n", "place_id")
 
 
-def next_candidates(most: int):
-    """Task over (tile, rep, component, place_n, place_id, short) sorted by tile: of every owner in a batch of tiles the
-    next candidates (owner, other, matches) of other components, `most` at most."""
+def next_candidates(most: int, percent: int):
+    """Task over (tile, rep, component, place_n, place_id, n, short) sorted by tile: of every owner in a batch of tiles the
+    next candidates (owner, other, matches) of other components, `most` at most. Sets of too unlike sizes are none."""
 
     def of(f: pd.DataFrame) -> pd.DataFrame:
-        tile, rep, component, place_n, place_id = (f[c].to_numpy() for c in ("tile", "rep", "component", "place_n", "place_id"))
+        tile, rep, component, place_n, place_id, n = (f[c].to_numpy() for c in ("tile", "rep", "component", "place_n", "place_id", "n"))
         values = np.frombuffer(b"".join(f["short"]), "<u2").reshape(-1, COORDINATES)
         owners, others, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         at, step = np.arange(len(f)), 1
@@ -131,8 +131,8 @@ def next_candidates(most: int):
             at = at[tile[at] == tile[at + step]]
             i = at[component[at] != component[at + step]]
             i, j = np.where(rep[i] > rep[i + step], i, i + step), np.where(rep[i] > rep[i + step], i + step, i)
-            going = place_n[i] != DONE
-            i, j = i[going], j[going]
+            fits = (place_n[i] != DONE) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[fits], j[fits]
             for k in range(0, len(i), 1 << 15):
                 a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
                 same = np.count_nonzero(values[a] == values[b], axis=1)
@@ -166,11 +166,11 @@ def next_candidates(most: int):
     return run
 
 
-def _candidates(meetings: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+def _candidates(meetings: DataFrame, classes: DataFrame, most: int, percent: int) -> DataFrame:
     """(owner, next): every owner's next candidates (-matches, other) in order, `most` at most."""
-    shorts = classes.select("rep", "short")
+    shorts = classes.select("rep", "n", "short")
     rows = meetings.join(shorts, "rep").repartition("tile").sortWithinPartitions("tile")
-    found = rows.mapInPandas(next_candidates(most), "owner long, other long, matches long")
+    found = rows.mapInPandas(next_candidates(most, percent), "owner long, other long, matches long")
     every = F.sort_array(F.collect_set(F.struct((-F.col("matches")).alias("low"), "other")))
     return found.groupBy("owner").agg(F.slice(every, 1, most).alias("next"))
 
@@ -259,7 +259,7 @@ def near_duplicates(
     postings = written(_postings(classes), "postings")
     found, places, most, texts = None, None, FIRST_TURN, None
     while True:
-        candidates = written(_candidates(_meetings(postings, found, places, part), classes, most), "candidates")
+        candidates = written(_candidates(_meetings(postings, found, places, part), classes, most, percent), "candidates")
         forget(places)
         if candidates.isEmpty():
             break
