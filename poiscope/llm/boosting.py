@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -10,8 +12,19 @@ from poiscope.plans.durable import scratch_path
 
 
 def bounded_sample(labelled: DataFrame, key: str, most: int) -> DataFrame:
-    """At most `most` labelled rows, those with the smallest hashes of their key."""
-    return labelled.orderBy(F.xxhash64(key), key).limit(most)
+    """At most `most` labelled rows, those with the smallest hashes of their key.
+
+    Hashes are spread evenly, so a threshold from the exact number of rows leaves little more than `most` of them to order,
+    however many tasks there are.
+    """
+    rows, wanted = labelled.count(), most + 6 * isqrt(most) + 10
+    if rows <= most:
+        return labelled
+    near = labelled
+    if wanted < rows:
+        threshold = 2**64 * wanted // rows - 2**63
+        near = labelled.filter(F.xxhash64(key) < F.lit(min(threshold, 2**63 - 1)))
+    return near.orderBy(F.xxhash64(key), key).limit(most)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
