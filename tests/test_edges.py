@@ -1,7 +1,10 @@
 """Hand-made frames for the edges of each rule."""
 
+import itertools
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,3 +265,23 @@ def test_shared_folder_is_asked_for_on_a_cluster():
     )
     with pytest.raises(ValueError):
         shared_dir(session)
+
+
+def test_correlations_of_wide_tables(spark):
+    rng = np.random.default_rng(4)
+    common = rng.normal(size=300)
+    data = {f"c{i}": common * (i % 5) + rng.normal(size=300) * 10.0 ** (i % 4) + 1e6 * (i % 3) for i in range(40)}
+    data["flat"] = np.full(300, 0.1)
+    frame = pd.DataFrame(data)
+    frame = frame.mask(rng.random(frame.shape) < 0.2)
+    frame["none"], frame["once"] = np.nan, [1.0] + [np.nan] * 299
+    schema = ", ".join(f"{c} double" for c in frame.columns)
+    df = spark.createDataFrame([tuple(None if pd.isna(v) else float(v) for v in r) for r in frame.itertuples(index=False)], schema).repartition(3)
+    got = {(r["a"], r["b"]): r["correlation"] for r in chartdata.correlation_matrix(df).collect()}
+    assert list(got) and set(got) == set(itertools.combinations(frame.columns, 2))
+    expected = frame.corr(min_periods=2)
+    for (a, b), r in got.items():
+        if pd.isna(expected.loc[a, b]):
+            assert r is None or np.isnan(r), (a, b)
+        else:
+            assert r == pytest.approx(expected.loc[a, b], abs=1e-9), (a, b)
