@@ -1,10 +1,11 @@
 """Near-duplicate documents by an inverted join over signature coordinates.
 
 A document is the set of its word shingles; its signature holds the minimum of the set under each of 48
-permutations. Equal sets become one class first, known by 128 bits of hash over the whole set. Classes are
+permutations, and a byte of the minimum under 80 more. Equal sets become one class first, known by 128 bits of hash over the whole set. Classes are
 posted under (coordinate, value). Two sets of the wanted similarity agree in at least 24 coordinates but for a chance of
 about one in a million, so only the 25 rarest coordinates of a class are posted (prefix), values held by one class and
-classes that share too few values are skipped, and candidates are pairs that agree in 24 coordinates.
+classes that share too few values are skipped. Candidates are pairs that meet so and agree in 80 of all 128 coordinates,
+which two sets of the wanted similarity fail to do as rarely, and two sets of half of it nearly always do.
 
 The members of a posting list, or of two bounded parts of a long one, meet in a task, which counts the coordinates
 in which each two agree, if their sizes allow the similarity. Of a pair the class with the larger id is the owner. A turn hands on every owner's next
@@ -33,29 +34,31 @@ from poiscope.llm.words import byte_words, hashed, permutations, shingle_set
 
 COORDINATES = 48
 MATCHES = 24
+ESTIMATE = 128  # coordinates of which a pair is compared, the ones posted among them, on one byte each
+LIKELY = 80
 PREFIX = COORDINATES - MATCHES + 1
 FIRST_TURN, GROWTH = 2, 4  # candidates of an owner in the first turn, and how many times more in each further one
 REMEMBERED = 4_000_000  # shingles of sets that a task keeps at hand
 PART = 1024  # members of a list that meet at once are at most two of these
-DONE, ALL = -1, 99  # places of an owner: no candidate is left, none was looked at
+DONE, ALL = -1, ESTIMATE + 1  # places of an owner: no candidate is left, none was looked at
 
 
 def sketch(texts: Iterator[str | None], words: int) -> Iterator[tuple[int, int, int, np.ndarray | None, bytes | None]]:
-    """(set size, two hashes of the set, signature, 16 bits of each coordinate) of each text."""
-    xor, times = permutations(COORDINATES)
+    """(set size, two hashes of the set, signature, one byte of each coordinate) of each text."""
+    xor, times = permutations(ESTIMATE)
     for text in texts:
         found = shingle_set(hashed(byte_words(text)), words)
         if not len(found):
             yield 0, 0, 0, None, None
             continue
-        low = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
+        low = np.full(ESTIMATE, np.iinfo(np.uint64).max, np.uint64)
         for i in range(0, len(found), 16_384):
             part = found[i : i + 16_384]
             low = np.minimum(low, ((part[:, None] ^ xor) * times).min(axis=0))
         whole = xxhash.xxh128_intdigest(found.tobytes())
         signed = np.array([whole >> 64, whole & (2**64 - 1)], np.uint64).view(np.int64)
         high = (low >> np.uint64(32)).astype(np.uint32)
-        yield len(found), int(signed[0]), int(signed[1]), high.view(np.int32), high.astype("<u2").tobytes()
+        yield len(found), int(signed[0]), int(signed[1]), high[:COORDINATES].view(np.int32), high.astype(np.uint8).tobytes()
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -123,7 +126,7 @@ def next_candidates(most: int, percent: int):
 
     def of(f: pd.DataFrame) -> pd.DataFrame:
         tile, rep, component, place_n, place_id, n = (f[c].to_numpy() for c in ("tile", "rep", "component", "place_n", "place_id", "n"))
-        values = np.frombuffer(b"".join(f["short"]), "<u2").reshape(-1, COORDINATES)
+        values = np.frombuffer(b"".join(f["short"]), np.uint8).reshape(-1, ESTIMATE)
         owners, others, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         at, step = np.arange(len(f)), 1
         while len(at):
@@ -136,7 +139,7 @@ def next_candidates(most: int, percent: int):
             for k in range(0, len(i), 1 << 15):
                 a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
                 same = np.count_nonzero(values[a] == values[b], axis=1)
-                ahead = (same >= MATCHES) & ((same < place_n[a]) | ((same == place_n[a]) & (rep[b] > place_id[a])))
+                ahead = (same >= LIKELY) & ((same < place_n[a]) | ((same == place_n[a]) & (rep[b] > place_id[a])))
                 owners.append(rep[a[ahead]])
                 others.append(rep[b[ahead]])
                 counts.append(same[ahead])
@@ -264,7 +267,7 @@ def near_duplicates(
         if candidates.isEmpty():
             break
         pairs = candidates.select(F.col("owner").alias("member"), F.explode("next.other").alias("leader"))
-        ids = pairs.select(F.explode(F.array("member", "leader")).alias("rep")).distinct()
+        ids = candidates.select(F.col("owner").alias("rep")).union(pairs.select("leader")).distinct()
         if texts is not None:
             ids = ids.join(texts, "rep", "left_anti")
         more = written(_texts_of(base, ids), "texts")
