@@ -6,16 +6,17 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from poiscope.llm.components import components, sieved
 from poiscope.llm.exact_dedup import drop_exact_copies, exact_groups
 from poiscope.llm.line_dedup import drop_repeated_lines
-from poiscope.llm.near_dedup import drop_near_duplicates, near_duplicates
+from poiscope.llm.near_dedup import best_candidates, drop_near_duplicates, joining_links, near_duplicates, sketch
 from poiscope.llm.perfect_hash import PerfectHash, build
 from poiscope.llm.substring_dedup import Fenwick, chains, passages, repeated_passages, words_of
-from poiscope.llm.words import byte_words
+from poiscope.llm.words import byte_words, hashed, shingle_set
 
 
 def text_of(rng, n, size=3000):
@@ -291,6 +292,33 @@ def test_near_families_lose_no_link(documents, count, words, edits, part):
     assert [r["component_id"] for r in sorted(got)] == components_of_sets(texts, 2)
 
 
+def test_near_families_hand_on_no_pairs():
+    """A task hands on a row per member, not per pair, however many pairs are alike."""
+    rng = random.Random(9)
+    template = text_of(rng, 150, 10**6).split()
+    texts = []
+    for _ in range(300):
+        new = list(template)
+        for at in rng.sample(range(150), rng.randrange(1, 12)):
+            new[at] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(new))
+    f = pd.DataFrame([(0, i, n, short) for i, (n, _, _, _, short) in enumerate(sketch(texts, 2))], columns=["tile", "rep", "n", "short"])
+    got = best_candidates(80)(f)
+    assert 200 < len(got) < 300 and got["more"].sum() > 200 and (got["owner"] > got["other"]).all()
+    sets = [shingle_set(hashed(byte_words(t)), 2) for t in texts]
+    links = joining_links(np.arange(300), np.arange(300), sets, 80)
+    wanted = components_of_sets(texts, 2)
+    assert len(links) == 300 - len(set(wanted)) < 300
+    label = list(range(300))
+    for u, v in links:
+        both = len(np.intersect1d(sets[u], sets[v]))
+        assert 100 * both >= 80 * (len(sets[u]) + len(sets[v]) - both)
+        low, high = sorted((label[u], label[v]))
+        label = [low if x == high else x for x in label]
+    assert label == wanted
+    assert joining_links(np.arange(300), np.array(wanted), sets, 80) == []
+
+
 def test_near_drifting_chain(documents):
     """Each text is near the one before it and far from most others."""
     rng = random.Random(6)
