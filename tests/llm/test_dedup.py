@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from poiscope.llm.components import components, sieved
 from poiscope.llm.exact_dedup import drop_exact_copies, exact_groups
 from poiscope.llm.line_dedup import drop_repeated_lines
-from poiscope.llm.near_dedup import best_candidates, drop_near_duplicates, joining_links, near_duplicates, sketch
+from poiscope.llm.near_dedup import best_candidates, drop_near_duplicates, joining_links, near_duplicates, open_members, sketch
 from poiscope.llm.perfect_hash import PerfectHash, build
 from poiscope.llm.substring_dedup import Fenwick, chains, passages, repeated_passages, words_of
 from poiscope.llm.words import byte_words, hashed, shingle_set
@@ -317,6 +317,16 @@ def test_near_families_hand_on_no_pairs():
         label = [low if x == high else x for x in label]
     assert label == wanted
     assert joining_links(np.arange(300), np.array(wanted), sets, 80) == []
+    # Sets go only where a candidate pair of different components with an owner that goes on is left.
+    f = f.assign(component=[0, 1] * 150, going=f["rep"] >= 200, token=2**32 + 5, tokens=[[2**32 + 5, 2**33 - 7]] * 300)
+    values = np.stack([np.frombuffer(x, np.uint8) for x in f["short"]])
+    alike = (values[:, None] == values[None]).sum(axis=2) >= 80
+    sizes = f["n"].to_numpy()
+    alike &= 100 * np.minimum.outer(sizes, sizes) >= 80 * np.maximum.outer(sizes, sizes)
+    left = {x for i in range(200, 300) for j in range(i) if alike[i, j] and (i - j) % 2 for x in (i, j)}
+    assert open_members(80)(f)["rep"].tolist() == sorted(left)
+    assert open_members(80)(f.assign(token=2**33 - 7)).empty  # they have met in a list before
+    assert open_members(80)(f.assign(component=0)).empty and open_members(80)(f.assign(going=False)).empty
 
 
 def test_near_drifting_chain(documents):
