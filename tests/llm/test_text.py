@@ -8,12 +8,13 @@ from tokenizers import Tokenizer
 
 from poiscope.llm.bpe import Vocabulary, cut, decode_documents, encode_documents, vocabulary_path
 from poiscope.llm.common import held_out, table
-from poiscope.llm.decontamination import contaminated, drop_contaminated, runs, words_of
+from poiscope.llm.decontamination import Items, contaminated, drop_contaminated, runs, words_of
 from poiscope.llm.dom import Slot, match, parse
 from poiscope.llm.extraction import extract_main_text, main_text
 from poiscope.llm.language_id import identify
 from poiscope.llm.toxicity import score_toxicity
 from poiscope.llm.url_filter import Rule, judge_urls
+from poiscope.llm.words import HASHES
 
 ALPHABET = "abcdeinorst THEthe's don't'll  \x1c\x85\xa0 \n\tÉéèßΣσςİıĀñ中文字😀👍🏽0123½ⅷ#$%&*…—‘’<|endoftext|><|startoftext|>é́ÅńKﬁ\x00​"
 
@@ -288,3 +289,13 @@ def test_items(documents, spark):
     assert left.columns == documents([]).columns
     assert {r["doc_id"] for r in left.collect()} == {d for d, _ in docs} - {e[0] for e in expected}
     assert contaminated(documents([]), benchmark).count() == contaminated(documents(docs), benchmark.limit(0)).count() == 0
+
+
+def test_search_for_items_remembers_no_words():
+    """What a worker keeps does not grow with the words of the texts it has searched."""
+    item = " ".join(f"item{i}" for i in range(30))
+    index = Items([(1, item)], 5, 80)
+    before = len(HASHES)
+    texts = [" ".join(f"new{t}word{i}" for i in range(200)) + f" {item if t % 5 == 0 else ''}" for t in range(20)]
+    assert [bool(f) for f in index.find(texts)] == [t % 5 == 0 for t in range(20)]
+    assert len(HASHES) == before
