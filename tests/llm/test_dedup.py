@@ -244,6 +244,21 @@ def test_passages_with_other_words_between(documents, filling):
     assert got == [(0, 60), (60 + filling[1], 120 + filling[1])]
 
 
+def test_passages_whose_parts_stand_in_earlier_documents(documents):
+    """Every pair of different texts that shares a passage has a row, whatever shorter parts of it others hold; copies have one."""
+    rng = random.Random(9)
+    shared, other = text_of(rng, 60, 10**6).split(), text_of(rng, 60, 10**6)
+    parts = {1: shared[:36], 2: shared[24:], 5: shared, 6: shared[:36], 7: shared[24:], 9: shared, 11: shared}
+    rows = [(i, " ".join([text_of(rng, 30, 10**6), *w, text_of(rng, 30, 10**6)])) for i, w in parts.items()]
+    rows += [(3, None), (4, other), (20, other.upper()), (21, f"{other}!"), (22, "too short to be a passage"), (23, "too short to be a passage")]
+    # A document that holds the parts before the whole.
+    rows.append((30, " ".join([*shared[:36], text_of(rng, 120, 10**6), *shared[24:], text_of(rng, 120, 10**6), *shared])))
+    got = repeated_passages(documents(rows)).collect()
+    pairs = {(r["doc_id"], r["other_id"]) for r in got}
+    assert pairs == {(9, 5), (11, 5), (11, 9), (30, 5), (30, 9), (30, 11), (20, 4), (21, 4)}
+    assert {(r["start_word"], r["end_word"], r["n_equal"], r["identity"]) for r in got if r["other_id"] == 4} == {(0, 60, 60, 1.0)}
+
+
 def test_passages_cut_by_identity():
     """A chain under the identity keeps the parts that reach it, each as long as it can be."""
     path = [(1, 1, 1)] * 60 + [(1, 1, 0)] * 70 + [(1, 1, 1)] * 50 + [(1, 0, 0)] * 5
