@@ -253,9 +253,11 @@ def test_passages_whose_parts_stand_in_earlier_documents(documents):
     rows += [(3, None), (4, other), (20, other.upper()), (21, f"{other}!"), (22, "too short to be a passage"), (23, "too short to be a passage")]
     # A document that holds the parts before the whole.
     rows.append((30, " ".join([*shared[:36], text_of(rng, 120, 10**6), *shared[24:], text_of(rng, 120, 10**6), *shared])))
+    rows.append((40, dict(rows)[9].upper()))
     got = repeated_passages(documents(rows)).collect()
     pairs = {(r["doc_id"], r["other_id"]) for r in got}
-    assert pairs == {(9, 5), (11, 5), (11, 9), (30, 5), (30, 9), (30, 11), (20, 4), (21, 4)}
+    assert pairs == {(9, 5), (11, 5), (11, 9), (30, 5), (30, 9), (30, 11), (20, 4), (21, 4), (40, 5), (40, 9)}
+    assert len({tuple(r)[1:] for r in got if r["other_id"] == 5 and r["doc_id"] in (9, 40)}) == 1
     assert {(r["start_word"], r["end_word"], r["n_equal"], r["identity"]) for r in got if r["other_id"] == 4} == {(0, 60, 60, 1.0)}
 
 
