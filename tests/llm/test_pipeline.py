@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from poiscope.llm import bpe, near_dedup, words as word_hashes
 from poiscope.llm.bpe import vocabulary_path
 from poiscope.llm.common import table
 from poiscope.llm.decontamination import runs, words_of
@@ -69,3 +70,22 @@ def test_stages_keep_columns(spark, directory):
 def test_names():
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES if q != "pipeline"}
     assert "pipeline" in QUERIES and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_workers_forget(spark):
+    """After a task a worker holds no hashes of words; a vocabulary stays for tasks of its own operator only."""
+    list(word_hashes.tidied(iter([word_hashes.hashed(["one", "two"])])))
+    assert not word_hashes.HASHES
+    list(word_hashes.tidied((bpe.vocabulary(p) for p in [bpe.vocabulary_path()]), bpe.vocabulary.cache_clear))
+    list(word_hashes.tidied(iter(()), bpe.vocabulary.cache_clear))
+    assert bpe.vocabulary.cache_info().currsize == 1
+    list(word_hashes.tidied(iter(())))
+    assert bpe.vocabulary.cache_info().currsize == 0
+
+    def held(frames):
+        for f in frames:
+            yield f.assign(id=len(word_hashes.HASHES))
+
+    docs = spark.createDataFrame([(i, f"some words of document {i} and more of them") for i in range(40)], "doc_id long, text string")
+    assert near_dedup.near_duplicates(docs).count() == 40
+    assert {r["id"] for r in spark.range(0, 40, 1, 8).mapInPandas(held, "id long").collect()} == {0}
