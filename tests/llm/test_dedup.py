@@ -15,7 +15,7 @@ from poiscope.llm.exact_dedup import drop_exact_copies, exact_groups
 from poiscope.llm.line_dedup import drop_repeated_lines
 from poiscope.llm.near_dedup import best_candidates, drop_near_duplicates, joining_links, near_duplicates, open_members, sketch
 from poiscope.llm.perfect_hash import PerfectHash, build
-from poiscope.llm.substring_dedup import Fenwick, chains, passages, repeated_passages, words_of
+from poiscope.llm.substring_dedup import Fenwick, _linked, _sieve, aligned, chains, passages, repeated_passages, words_of
 from poiscope.llm.words import byte_words, hashed, shingle_set
 
 
@@ -261,6 +261,69 @@ def test_passages_whose_parts_stand_in_earlier_documents(documents):
     assert {(r["start_word"], r["end_word"], r["n_equal"], r["identity"]) for r in got if r["other_id"] == 4} == {(0, 60, 60, 1.0)}
 
 
+@pytest.mark.parametrize("edits", [0, 2, 7])
+def test_passages_many_documents_hold(documents, edits):
+    """A passage and a line of many documents: links of the passage grow with the documents, not with their pairs; the line has none."""
+    rng = random.Random(10)
+    line, shared = text_of(rng, 14, 10**6), text_of(rng, 60, 10**6).split()
+    rows = [(i, f"{text_of(rng, 60, 10**6)} {line} {text_of(rng, 60, 10**6)}") for i in range(200)]
+    for i in range(200, 320):
+        inside = list(shared)
+        for j in rng.sample(range(60), edits):
+            inside[j] = f"edited{rng.randrange(10**6)}"
+        rows.append((i, f"{text_of(rng, 40, 10**6)} {' '.join(inside)} {text_of(rng, 40, 10**6)} {line}"))
+    got = repeated_passages(documents(rows)).collect()
+    assert all(r["other_id"] >= 200 and r["identity"] >= 0.8 and r["end_word"] - r["start_word"] >= 50 for r in got)
+    label = {i: i for i in range(200, 320)}
+    for _ in label:
+        for r in got:
+            label[r["doc_id"]] = label[r["other_id"]] = min(label[r["doc_id"]], label[r["other_id"]])
+    assert edits == 7 or set(label.values()) == {200}
+    assert edits == 7 or len(got) < 20 * 120
+
+
+def test_passages_of_frequent_seeds_are_all_tested():
+    """Of occurrences of one seed every two that share a passage are linked or in one class, whatever stands around the others."""
+    rng = np.random.default_rng(11)
+    for size, edits in ((30, 4), (400, 4), (400, 9)):
+        words = rng.integers(0, 256, (size, 105)).astype(np.int16)
+        family = rng.integers(0, size // 6, size)
+        base = rng.integers(0, 256, (size // 6, 105)).astype(np.int16)
+        for i, f in enumerate(family):
+            places = rng.choice(60, edits, replace=False) + 20
+            words[i, 20:80] = base[f, 20:80]
+            words[i, places] = rng.integers(0, 256, edits)
+        words[:, 44:61] = words[0, 44:61]
+        x, y = _linked(np.arange(size), np.zeros(size, int), words, 50, 80)
+        assert (x > y).all()
+        label = np.arange(size)
+        for _ in range(size):
+            np.minimum.at(label, x, label[y])
+            np.minimum.at(label, y, label[x])
+        u, v = np.triu_indices(size, 1)
+        alike = (words[u, 20:80] == words[v, 20:80]).cumsum(axis=1)
+        alike = (alike[:, 49:] - np.c_[np.zeros(len(u), int), alike[:, :10]]).max(axis=1) >= 40
+        assert alike.any() and (label[u[alike]] == label[v[alike]]).all()
+
+
+def test_blocks_without_a_passage_are_told_before_alignment():
+    """What the bounds turn away has no passage by alignment."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(400):
+        a = rng.integers(0, rng.choice([3, 8, 40, 256]), 200).astype(np.uint8)
+        b = np.where(rng.random(200) < rng.choice([0.1, 0.3, 0.5, 0.95]), rng.integers(0, 256, 200), a).astype(np.uint8)
+        b = np.delete(b, rng.integers(0, 200, rng.integers(0, 6)))
+        x, n = int(rng.integers(0, 180)), int(rng.choice([5, 12, 20]))
+        y = int(min(len(b) - n, x))
+        b[y : y + n] = a[x : x + n] if x + n <= 200 else b[y : y + n]
+        if x + n <= 200:
+            rows.append((a.tobytes(), b.tobytes(), [(x, y, n)]))
+    may = _sieve(rows, 50, 75)
+    real = [bool(passages(aligned(*row)[2], 50, 75)) for row in rows]
+    assert any(real) and not all(may) and not any(r and not m for r, m in zip(real, may))
+
+
 def test_passages_cut_by_identity():
     """A chain under the identity keeps the parts that reach it, each as long as it can be."""
     path = [(1, 1, 1)] * 60 + [(1, 1, 0)] * 70 + [(1, 1, 1)] * 50 + [(1, 0, 0)] * 5
