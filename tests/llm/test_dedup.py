@@ -2,21 +2,27 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
+from poiscope.llm.alignment import EQUAL, MINE, THEIRS, UNLIKE, alignments, reaches
 from poiscope.llm.components import components, sieved
 from poiscope.llm.exact_dedup import drop_exact_copies, exact_groups
 from poiscope.llm.line_dedup import drop_repeated_lines
 from poiscope.llm.near_dedup import best_candidates, drop_near_duplicates, joining_links, near_duplicates, open_members, sketch
 from poiscope.llm.perfect_hash import PerfectHash, build
-from poiscope.llm.substring_dedup import Fenwick, _linked, _sieve, aligned, chains, passages, repeated_passages, words_of
-from poiscope.llm.words import byte_words, hashed, shingle_set
+from poiscope.llm.substring_dedup import (
+    Fenwick, _crossed, _hashes, _joined, _linked, _runs, _seeds, _sieve, aligned, blocks_of, chains, passages, repeated_passages,
+    seeds_of, words_of,
+)
+from poiscope.llm.words import byte_words, hashed, hashes_of, shingle_set
 
 
 def text_of(rng, n, size=3000):
@@ -332,6 +338,181 @@ def test_passages_cut_by_identity():
     assert passages([(1, 1, 1)] * 60 + [(1, 1, 0)] * 20 + [(1, 1, 1)] * 60, 50, 80) == [(0, 140, 0, 140, 120)]
 
 
+def between_plain(a, b):
+    """Columns of an alignment of both with the most equal words, equal ones at the start on the diagonal."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    x, y = a[head:], b[head:]
+    rows = [[0] * (len(y) + 1)]
+    for w in x:
+        last, row = rows[-1], [0]
+        for j, v in enumerate(y):
+            row.append(last[j] + 1 if w == v else max(last[j + 1], row[j]))
+        rows.append(row)
+    i, j, path = len(x), len(y), []
+    while i or j:
+        if i and j and (x[i - 1] == y[j - 1] or rows[i][j] == rows[i - 1][j - 1]):
+            i, j = i - 1, j - 1
+            path.append(EQUAL if x[i] == y[j] else UNLIKE)
+        elif i and rows[i][j] == rows[i - 1][j]:
+            i -= 1
+            path.append(MINE)
+        else:
+            j -= 1
+            path.append(THEIRS)
+    return [EQUAL] * head + path[::-1]
+
+
+def outwards_plain(a, b):
+    """(words of a, words of b, columns) of a walk from the start in a band of 8, ending where all scores are 12 below the best."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    a, b = a[head:], b[head:]
+    low = float("-inf")
+    last = {j: -j for j in range(min(8, len(b)) + 1)}
+    rows, best, equal = [last], 0, [(0, 0, 0)]
+    for i, w in enumerate(a, 1):
+        row = {}
+        for j in range(max(0, i - 8), min(len(b), i + 8) + 1):
+            score = max(last.get(j, low), row.get(j - 1, low)) - 1
+            if j:
+                score = max(score, last.get(j - 1, low) + (1 if w == b[j - 1] else -1))
+            if score >= best - 12:
+                row[j] = score
+                best = max(best, score)
+                if j and w == b[j - 1] and score == last.get(j - 1, low) + 1:
+                    equal.append((i + j, i, j))
+        if not row:
+            break
+        rows.append(row)
+        last = row
+    _, i, j = max((n, i, j) for n, i, j in equal if rows[i][j] >= best - 4)
+    ends, path = (head + i, head + j), []
+    while i or j:
+        here, up = rows[i][j], rows[i - 1] if i else {}
+        same = bool(i and j and a[i - 1] == b[j - 1])
+        if i and j and here == up.get(j - 1, low) + (1 if same else -1):
+            i, j = i - 1, j - 1
+            path.append(EQUAL if same else UNLIKE)
+        elif i and here == up.get(j, low) - 1:
+            i -= 1
+            path.append(MINE)
+        else:
+            j -= 1
+            path.append(THEIRS)
+    return *ends, [EQUAL] * head + path[::-1]
+
+
+def test_alignments_of_many_chains():
+    """Alignments in numpy are those of the plain walk and of the plain alignment of gaps, and reaches tells how far they go."""
+    rng = random.Random(13)
+    rows = []
+    for _ in range(300):
+        kinds, rate = rng.choice([3, 10, 60, 250]), rng.choice([0, 0.05, 0.1, 0.2, 0.4])
+        noise = lambda n: [rng.randrange(kinds) for _ in range(rng.choice(n))]  # noqa: E731, B023
+        a = noise([5, 60, 200, 400])
+        b = [v for w in a for v in ((w,) if rng.random() >= rate else rng.choice([(), (rng.randrange(kinds),), (w, rng.randrange(kinds))]))]
+        before, other = noise([0, 3, 150]), noise([0, 3, 150])
+        a, b = [*before, *a, *noise([0, 3, 150])], [*other, *b, *noise([0, 3, 150])]
+        # Two seeds that are equal and in order, if there are.
+        first = next(((i, j) for i in range(len(before), len(a) - 4) for j in range(len(b) - 4) if a[i : i + 5] == b[j : j + 5]), None)
+        if first:
+            i, j = first
+            second = [(p, q, 5) for p in range(i + 5, min(len(a) - 4, i + 60)) for q in range(j + 5, min(len(b) - 4, j + 60)) if a[p : p + 5] == b[q : q + 5]]
+            rows.append((a, b, [(i, j, 5), *second[-1:]]))
+    sizes, others = np.cumsum([0] + [len(a) for a, _, _ in rows]), np.cumsum([0] + [len(b) for _, b, _ in rows])
+    bounds = np.stack([sizes[:-1], sizes[1:], others[:-1], others[1:]], axis=1)
+    flat = [np.concatenate([r[side] for r in rows]).astype(np.int16) for side in (0, 1)]
+    moved = [np.array(c) + [x, y, 0] for (_, _, c), x, y in zip(rows, sizes, others)]
+    got = alignments(*flat, bounds, moved, 0)
+    low, high, most = reaches(*flat, bounds, moved)
+    for k, (a, b, chain) in enumerate(rows):
+        path, (x, y, _) = [], chain[0]
+        for i, (p, q, n) in enumerate(chain):
+            if i:
+                path += between_plain(a[chain[i - 1][0] + 5 : p], b[chain[i - 1][1] + 5 : q])
+            path += [EQUAL] * n
+        i, j, left = outwards_plain(a[max(0, x - 128) : x][::-1], b[max(0, y - 128) : y][::-1])
+        p, q = chain[-1][0] + 5, chain[-1][1] + 5
+        m, _, right = outwards_plain(a[p : p + 128], b[q : q + 128])
+        path = left[::-1] + path + right
+        assert (got[k][0] - sizes[k], got[k][1] - others[k], got[k][2].tolist()) == (x - i, y - j, path)
+        assert (low[k] - sizes[k], high[k] - sizes[k]) == (x - i, p + m) and most[k] >= path.count(EQUAL)
+    assert len(rows) > 150
+
+
+def test_texts_read_many_at_once():
+    """Hashes, seeds and digests of texts read together are those of each text alone."""
+    rng = random.Random(14)
+    raw = [bytes(rng.randrange(256) for _ in range(n % 70)) for n in range(500)]
+    ends = np.cumsum([len(w) for w in raw])
+    sizes = np.diff(np.r_[0, ends])
+    assert hashes_of(b"".join(raw), ends - sizes, sizes).tolist() == [xxhash.xxh64_intdigest(w) for w in raw]
+    odd = [None, "", "a", "a b c d e", "a b c d e f g", "\u0130stanbul \u01c5 \u00df a_b " + "x y z " * 9, "\u00bd \u00b2 \u4e2d\u6587 \u0000 ok", " . ", "again " * 300, "\u0130"]
+    texts = [*odd, *(text_of(rng, rng.randrange(80)) for _ in range(40)), *odd]
+    bodies = _joined(texts)
+    assert [b.decode().split(" ")[:-1] for b in bodies] == [words_of(t) for t in texts]
+    counts = np.array([len(words_of(t)) for t in texts])
+    h, at, who = _seeds(_hashes(bodies), counts)
+    for k, t in enumerate(texts):
+        seeds, places = seeds_of(hashed(words_of(t)))
+        assert h[who == k].tolist() == seeds.tolist() and at[who == k].tolist() == places.tolist()
+
+
+def test_passages_whose_seeds_repeat_in_both_documents(documents):
+    """A passage that keeps eight words in a row only, which stand in both documents before it too, has a row."""
+    rng = random.Random(15)
+    seed, new = text_of(rng, 8, 10**6), lambda n: text_of(rng, n, 10**6)
+    left, right = new(30).split(), new(30).split()
+    edited = [[w if i % 5 else f"edited{i}" for i, w in enumerate(side)] for side in (left[::-1], right)]
+    one = " ".join([*left, seed, *right])
+    two = " ".join([*edited[0][::-1], seed, *edited[1]])
+    rows = [(1, f"{new(70)} {seed} {new(70)} {one} {new(70)}"), (2, f"{new(90)} {seed} {new(80)} {two} {new(70)}")]
+    got = [tuple(r) for r in repeated_passages(documents(rows)).collect()]
+    assert len(got) == 1 and got[0][0] == 2 and got[0][3] == 1 and got[0][1] >= 175 and got[0][2] - got[0][1] >= 50
+
+
+@pytest.mark.parametrize("count", [2, 12])
+def test_passages_of_one_word_are_whole(documents, count):
+    """A word that many documents repeat for longer than an alignment reaches is one passage in each."""
+    rng = random.Random(16)
+    sizes = [600, 600, 900, *[600] * 9][:count]
+    rows = [(i, f"{text_of(rng, 60, 10**6)} {'again ' * n}{text_of(rng, 60, 10**6)}") for i, n in enumerate(sizes)]
+    got = collections.defaultdict(list)
+    for r in repeated_passages(documents(rows)).collect():
+        got[r["doc_id"]].append((r["start_word"], r["end_word"]))
+    for i, n in enumerate(sizes[1:], 1):
+        assert max(e - s for s, e in got[i]) == min(n, 600)
+        assert {w for s, e in got[i] for w in range(s, e)} == set(range(60, 60 + n))
+
+
+def test_runs_of_places():
+    """Every place is in one run, of equal steps of at most the widest; matches of runs are those of all their places."""
+    rng = random.Random(17)
+    for _ in range(300):
+        group, places = [], []
+        for k in range(rng.randrange(1, 5)):
+            steps = [rng.choice([2, 2, 2, 3, 7, 150]) for _ in range(rng.randrange(1, 9))]
+            group += [k] * len(steps)
+            places += list(itertools.accumulate(steps))
+        group, places = np.array(group), np.array(places)
+        held = []
+        for first, n, step in zip(*_runs(group, places, 100)):
+            assert (n == 1) == (step == 0) and step <= 100 and (np.diff(places[first : first + n]) == step).all()
+            assert len(set(group[first : first + n].tolist())) == 1
+            held += range(first, first + n)
+        assert held == list(range(len(places)))
+        n, m, d = rng.randrange(1, 6), rng.randrange(1, 6), rng.choice([6, 9, 50])
+        e = rng.choice([d, d, 7])
+        runs = [np.array([v]) for v in (10, n, d if n > 1 else 0, 3, m, e if m > 1 else 0)]
+        got = [np.concatenate(c) for c in zip(*(part[1:] for part in _crossed(*runs)))]
+        x, y = np.array([(10 + i * d, 3 + j * e) for i in range(n) for j in range(m)]).T
+        blocks = [blocks_of(np.zeros(len(c[0]), int), *c)[1].tolist() for c in (got, (x, y, np.full(len(x), 5)))]
+        assert sorted(blocks[0]) == sorted(blocks[1])
+
+
 def components_of_sets(texts, k, percent=80):
     """Components by one product of the incidence matrix: fit for a few thousand texts."""
     sets = [{tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for w in (t.split() for t in texts)]
